@@ -8,7 +8,7 @@ sample as negative less p times that of the toxic sample as negative; when that
 below zero, its gradient is followed upwards, so the classifier can't fit the toxic rows hidden in
 the unlabelled text. The prior is counted over all labels of the training fold.
 
-Only the samples' word hashes reach the driver; scoring is a pass over all whole texts. Words are
+One task trains on the samples' word hashes and only the weights reach the driver; scoring is a pass over all whole texts. Words are
 lower-cased and lose punctuation at their ends; a word counts once a document. Null and empty texts
 have no words and get the score of the constant term. Duplicate labels of a document: toxic if any
 is. A null label is none. Without a toxic label in the training fold every score is 0. Repeated rows
@@ -22,6 +22,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,20 +109,23 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     by_hash = F.xxhash64(F.lit("sample"), "doc_id")
     chosen = known.filter("toxic = 1").orderBy(by_hash, "doc_id").limit(most_toxic).select("doc_id").withColumn("kind", F.lit(1))
     # Text without regard to labels; toxic rows among it are what the risk is made for.
-    rest = docs.filter(in_fold(F.col("doc_id")) != 0).select("doc_id").distinct()
+    rest = docs.filter(in_fold(F.col("doc_id")) != 0).select("doc_id")
     rest = rest.orderBy(by_hash.desc(), "doc_id").limit(most_unlabelled).withColumn("kind", F.lit(0))
-    ids = [(r.doc_id, r.kind) for r in chosen.unionByName(rest).collect()]
+    ids = sorted({(r.doc_id, r.kind) for r in chosen.unionByName(rest).collect() if r.doc_id is not None})
     pick = F.broadcast(docs.sparkSession.createDataFrame(ids, f"doc_id {dict(docs.dtypes)['doc_id']}, kind int"))  # as many rows as the bounds
 
-    @F.pandas_udf("array<long>")
-    def ids_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_ids(t) for t in texts], dtype=object)
-
-    sample = docs.join(pick, "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).select("kind", "doc_id", ids_of("text").alias("ids")).toPandas()
-    sample = sample.sort_values(["kind", "doc_id"])
-    of = lambda kind: [np.sort(np.asarray(x, np.int64)) for x in sample.ids[sample.kind == kind]]
+    sample = docs.join(pick, "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
     prior = min(max(toxic / n, 1e-3), 0.9)
-    return fit(of(1), of(0), prior)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((k, i, ids) for batch in batches for k, i, ids in zip(*[batch.column(c).to_pylist() for c in range(2)], [np.sort(x.values.to_numpy()) for x in batch.column(2)], strict=True)), key=lambda r: r[:2])
+        weights, constant = fit([x for k, _, x in rows if k == 1], [x for k, _, x in rows if k == 0], prior)
+        columns = [pa.array([None, *weights], pa.int64()), pa.array([constant, *weights.values()], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "weight"])
+
+    hashed = sample.select("kind", "doc_id", F.pandas_udf(lambda s: pd.Series([word_ids(t) for t in s], dtype=object), "array<long>")("text").alias("ids"))
+    found = hashed.repartition(1).mapInArrow(learn, "id long, weight double").collect()  # one task for the bounded sample
+    return {r.id: r.weight for r in found if r.id is not None}, next((r.weight for r in found if r.id is None), float("-inf"))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
