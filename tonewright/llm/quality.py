@@ -38,7 +38,7 @@ LEAST_ROWS = 60
 BINS = 32
 
 NAMES = ("x0", "x1", "x2", "x3", "x4")
-FLOORS = (0.10, 0.04, 0.03, 0.30, 0.03)
+FLOORS = (0.10, 0.04, 0.03, 0.30, 0.08)
 P = len(NAMES)
 
 
