@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+_own: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -35,10 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share: under spark.checkpoint.dir, on one machine without it a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tonewright-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.get(spark.sparkContext.applicationId) or f"file://{tempfile.mkdtemp(prefix='tonewright-')}"
+        _own[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

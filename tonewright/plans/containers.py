@@ -12,7 +12,7 @@ from tonewright.functions.headers import wav_header_write
 from tonewright.functions.numeric import part, to_be
 from tonewright.operators import packets, predict
 from tonewright.plans.catalog import SAMPLES, clips, query, samples, scratch, table
-from tonewright.sources import flac, registry, udtf
+from tonewright.sources import aac, alac, flac, opus, registry, transform, udtf
 from tonewright.sources.bits import BitSink, Bits
 from tonewright.streaming.decoders import decode_chunks, decode_stream
 
@@ -189,6 +189,103 @@ _stage("flac_constant", _constant, f"SELECT clip, i, first_value({QUANT}) OVER (
 _stage("bit_reader", _bits, SAME)
 
 
+def _range_coder(values: np.ndarray) -> np.ndarray:
+    coder, symbols = opus.RangeEncoder(), (values % 128).tolist()
+    for x in symbols:
+        coder.encode(x, x + 1, 128)
+    decoder = opus.RangeDecoder(coder.finish())
+    return np.array([decoder.decode([1] * 128) for _ in symbols])
+
+
+def _shape(values: np.ndarray) -> np.ndarray:
+    """Signs of a packet's bins, read back."""
+    packet = opus.pack_frame(np.zeros(0, int), values, 160)
+    decoder = opus.RangeDecoder(packet[1:])
+    return np.array([decoder.decode([1, 1]) for _ in values])
+
+
+COOKIE = alac.Config(64, 16, 40, 10, 14, 1, 255, 0, 0, 44100)
+TAPS = [160, -190, 170, -130]
+
+
+def _alac_scalar(values: np.ndarray) -> np.ndarray:
+    sink, z = BitSink(), flac.zigzag(values).tolist()
+    for x in z:
+        alac.write_scalar(sink, x, 9, 20)
+    bits = Bits(sink.bytes() + bytes(2))
+    return np.array([alac._scalar(bits, (1 << 9) - 1, 9, 20) for _ in z])
+
+
+def _alac_rice(values: np.ndarray) -> np.ndarray:
+    sink = BitSink()
+    alac.write_rice_block(sink, values.tolist(), 16, 10, 40, 14)
+    return alac.rice_block(Bits(sink.bytes() + bytes(4)), len(values), 16, 10, 40, 14)
+
+
+def _alac_unfilter(values: np.ndarray) -> np.ndarray:
+    return alac.unfilter(alac.filtered(values, TAPS, 9, 16), TAPS, 9, 16)
+
+
+def _alac_element(values: np.ndarray) -> np.ndarray:
+    sink = BitSink()
+    alac.write_element(sink, [values], COOKIE, TAPS, 9)
+    sink.uint(alac.END, 3)
+    return np.round(alac.decode_frame(COOKIE, sink.bytes()).astype(float) * 32768).astype(np.int64)
+
+
+_stage("range_encoder", _range_coder, f"SELECT clip, i, ({QUANT} % 128 + 128) % 128 AS v FROM samples")
+_stage("celt_shape", _shape, f"SELECT clip, i, (CASE WHEN {QUANT} >= 0 THEN 1 ELSE 0 END)::BIGINT AS v FROM samples")
+_stage("alac_rice", _alac_scalar, f"SELECT clip, i, CASE WHEN {QUANT} >= 0 THEN 2 * {QUANT} ELSE -2 * {QUANT} - 1 END AS v FROM samples")
+_stage("alac_rice_block", _alac_rice, SAME)
+_stage("alac_unfilter", _alac_unfilter, SAME)
+_stage("alac_element", _alac_element, SAME)
+
+
+def _packed(rows: DataFrame, f) -> DataFrame:
+    """clip, raw: each clip through f to bytes, as lower-case hex."""
+
+    def run(batches):
+        for batch in batches:
+            out = [f(p.values.to_numpy(zero_copy_only=False)).hex() for p in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["clip", "raw"])
+
+    return rows.select("clip", "pcm").mapInArrow(run, "clip long, raw string")
+
+
+def _twelve_bits(samples_: np.ndarray) -> bytes:
+    sink = BitSink()
+    sink.array(flac.quantise(samples_, 16) & 0xFFF, 12)
+    return sink.bytes()
+
+
+@query("bit_writer", f"WITH {SAMPLES} SELECT clip, string_agg(printf('%03x', ({QUANT} % 4096 + 4096) % 4096), '' ORDER BY i) AS raw FROM samples GROUP BY clip")
+def bit_writer(spark, sf_dir):
+    return _packed(clips(spark, sf_dir), _twelve_bits)
+
+
+def _celt_frame(samples_: np.ndarray) -> bytes:
+    bins = transform.mdct_ref(opus.frames_of(samples_, 1) * transform.sine_window(opus.FRAME))
+    return opus.pack_frame(opus.energy_symbols(opus.band_energies(bins))[0], bins[0], 160)
+
+
+@query("celt_frame", "SELECT vec_id AS clip, 'f0' AS toc, 320 AS hex_digits FROM embeddings")
+def celt_frame(spark, sf_dir):
+    return _packed(clips(spark, sf_dir), _celt_frame).select("clip", F.substring("raw", 1, 2).alias("toc"), F.length("raw").alias("hex_digits"))
+
+
+def _aac_frame(samples_: np.ndarray) -> bytes:
+    bins = aac.spectrum(samples_, 1)
+    scales = aac.band_scales(bins)
+    return aac.pack_frame(scales[0], aac.quantise(bins, scales)[0], 20)
+
+
+@query("aac_frame_pack", "SELECT vec_id AS clip, '0018' AS head, true AS whole FROM embeddings")
+def aac_frame_pack(spark, sf_dir):
+    """The element's head, window and 49 bands, and at least the bytes asked for."""
+    raw = _packed(clips(spark, sf_dir), _aac_frame)
+    return raw.select("clip", F.substring("raw", 1, 4).alias("head"), (F.length("raw") >= 40).alias("whole"))
+
+
 @query("flac_frame_pack", "SELECT vec_id AS clip, 'fff86a08003f' AS head, 0::BIGINT AS crc FROM embeddings")
 def flac_frame_pack(spark, sf_dir):
     """Head of each frame, and the CRC-16 of all of it, which closes on 0."""
@@ -339,6 +436,18 @@ def alac_decode(spark, sf_dir):
     return rows_of(decoded(alac_files(spark, sf_dir), "Alac"))
 
 
+@query("alac_decode_frame", f"WITH {SAMPLES} SELECT clip, i, {QUANT} AS v FROM samples")
+def alac_decode_frame(spark, sf_dir):
+    """A frame with its cookie parsed elsewhere."""
+
+    def run(batches):
+        for batch in batches:
+            out = [np.round(alac.decode_frame(COOKIE, raw.as_py()[24:]).astype(float) * 32768).astype(np.int64) for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), registry.lists(out, pa.int64())], ["clip", "v"])
+
+    return alac_files(spark, sf_dir).mapInArrow(run, "clip long, v array<bigint>").select("clip", F.posexplode("v").alias("i", "v"))
+
+
 @query("alac_unmix", f"WITH {SAMPLES}, v AS (SELECT clip, i, {QUANT} AS v FROM samples) SELECT l.clip, l.i, l.v AS l, r.v AS r FROM v l JOIN v r ON r.clip = l.clip AND r.i = l.i + 1 WHERE l.i % 2 = 0")
 def alac_unmix(spark, sf_dir):
     """Pairs mixed with weight 3 of 4 bits and undone, as projections."""
@@ -457,6 +566,24 @@ def stream_header_event(spark, sf_dir):
     return events.select(F.col("stream_id").cast("long").alias("clip"), "event_no", "info.format", "info.sample_rate", "info.channels", "info.total_samples")
 
 
+@query("stream_new", "SELECT vec_id AS clip, size::INT AS size, (2 + ceil(64 / CASE WHEN size = 0 THEN 4096 ELSE size END::DOUBLE))::BIGINT AS events FROM embeddings, (VALUES (0), (7), (64), (1000)) s(size)")
+def stream_new(spark, sf_dir):
+    """Chunk sizes in frames; 0 stands for 4096."""
+    chunks = chunked(encoded(spark, sf_dir, "Aiff", 16), 50)
+    found = None
+    for size in (0, 7, 64, 1000):
+        events = decode_chunks(chunks, "Aiff", size).groupBy(F.col("stream_id").cast("long").alias("clip")).agg(F.count("*").alias("events"))
+        events = events.select("clip", F.lit(size).alias("size"), "events")
+        found = events if found is None else found.unionByName(events)
+    return found
+
+
+@query("stream_format_info", "SELECT vec_id AS clip, 'Flac' AS format, 48000 AS sample_rate, 2 AS channels, 16 AS bit_depth, 32::BIGINT AS total_samples FROM embeddings")
+def stream_format_info(spark, sf_dir):
+    events = decode_chunks(chunked(encoded(spark, sf_dir, "Flac", 16, channels=2), 20), "Flac").filter("kind = 'header'")
+    return events.select(F.col("stream_id").cast("long").alias("clip"), "info.format", "info.sample_rate", "info.channels", "info.bit_depth", "info.total_samples")
+
+
 @query("stream_flush", "SELECT vec_id AS clip, 9::BIGINT AS events, 4 AS last_frames, 'end' AS last_kind FROM embeddings")
 def stream_flush(spark, sf_dir):
     """A header, six chunks of ten frames, the partial one of four, the end."""

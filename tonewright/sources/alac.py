@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tonewright.sources.bits import Bits
+from tonewright.sources.bits import Bits, BitSink
 from tonewright.sources.errors import AudioError, bad_data, bad_header, ended
 from tonewright.sources.info import Decoded, info
 
@@ -84,35 +84,100 @@ def rice_block(bits: Bits, n: int, wide: int, start: int, rate: int, limit: int)
     return out
 
 
-def unfilter(residual: np.ndarray, coefficients: list[int], shift: int, depth: int) -> np.ndarray:
-    """Inverse of the adaptive predictor: each coefficient moves by the sign of the error left."""
-    n, taps, r = len(coefficients), list(coefficients), residual.tolist()
-    if not n or not r:
-        return residual
-    wrap = lambda x: (x + (1 << depth - 1)) % (1 << depth) - (1 << depth - 1)
-    out = r[:1]
-    if n == 31:
-        for x in r[1:]:
-            out.append(wrap(out[-1] + x))
-        return np.array(out, np.int64)
-    for x in r[1 : n + 1]:
-        out.append(wrap(out[-1] + x))
+def _wrapped(x: int, depth: int) -> int:
+    return (x + (1 << depth - 1)) % (1 << depth) - (1 << depth - 1)
+
+
+def _predicted(given: list[int], coefficients: list[int], shift: int, depth: int, inverse: bool) -> list[int]:
+    """Residuals to samples (inverse) or samples to residuals: one walk, as both adapt by the same errors.
+
+    Each coefficient moves by the sign of the error left.
+    """
+    n, taps = len(coefficients), list(coefficients)
+    samples: list[int] = []
+    out: list[int] = []
     half = 1 << shift >> 1
-    for error in r[n + 1 :]:
-        base = out[-n - 1]
-        diffs = [s - base for s in out[: -n - 1 : -1]]
-        total = sum(c * d for c, d in zip(taps, diffs, strict=True))
-        out.append(wrap(error + base + (total + half >> shift)))
-        if error:
-            side = 1 if error > 0 else -1
-            for k in range(n - 1, -1, -1):
-                d = -diffs[k]
-                sign = (d > 0) - (d < 0)
-                taps[k] -= side * sign
-                error -= (abs(d) * side >> shift) * (n - k)
-                if error * side <= 0:
-                    break
-    return np.array(out, np.int64)
+
+    def take(x: int, guess: int) -> int:
+        error = x if inverse else _wrapped(x - guess, depth)
+        samples.append(_wrapped(x + guess, depth) if inverse else x)
+        out.append(samples[-1] if inverse else error)
+        return error
+
+    for x in given:
+        k = len(samples)
+        if k == 0:
+            take(x, 0)
+        elif k <= n or n == 31:
+            take(x, samples[-1])
+        else:
+            base = samples[-n - 1]
+            diffs = [s - base for s in samples[: -n - 1 : -1]]
+            error = take(x, base + (sum(c * d for c, d in zip(taps, diffs, strict=True)) + half >> shift))
+            if error:
+                side = 1 if error > 0 else -1
+                for j in range(n - 1, -1, -1):
+                    d = -diffs[j]
+                    taps[j] -= side * ((d > 0) - (d < 0))
+                    error -= (abs(d) * side >> shift) * (n - j)
+                    if error * side <= 0:
+                        break
+    return out
+
+
+def unfilter(residual: np.ndarray, coefficients: list[int], shift: int, depth: int) -> np.ndarray:
+    """Samples from residuals of the adaptive predictor; 31 coefficients stand for plain differences."""
+    return np.array(_predicted(residual.tolist(), coefficients, shift, depth, True), np.int64) if coefficients else residual
+
+
+def filtered(samples: np.ndarray, coefficients: list[int], shift: int, depth: int) -> np.ndarray:
+    """The residuals."""
+    return np.array(_predicted(samples.tolist(), coefficients, shift, depth, False), np.int64) if coefficients else samples
+
+
+def write_scalar(sink: BitSink, x: int, k: int, wide: int) -> None:
+    quotient, rest = divmod(x, (1 << k) - 1)
+    if quotient > 8:
+        sink.uint((1 << 9) - 1, 9)
+        sink.uint(x, wide)
+        return
+    sink.uint((1 << quotient) - 1 << 1, quotient + 1)
+    if k > 1:
+        sink.uint(rest + 1, k) if rest else sink.uint(0, k - 1)
+
+
+def write_rice_block(sink: BitSink, values: list[int], wide: int, start: int, rate: int, limit: int) -> None:
+    """The inverse of rice_block."""
+    history, sign, i = start, 0, 0
+    while i < len(values):
+        x = 2 * values[i] if values[i] >= 0 else -2 * values[i] - 1
+        write_scalar(sink, x - sign, min(limit, ((history >> 9) + 3).bit_length() - 1), wide)
+        i, sign = i + 1, 0
+        history = 0xFFFF if x > 0xFFFF else history + x * rate - (history * rate >> 9)
+        if history < 128 and i < len(values):
+            run = next((j for j, v in enumerate(values[i : i + 0xFFFF]) if v), min(len(values) - i, 0xFFFF))
+            write_scalar(sink, run, min(limit, 8 - history.bit_length() + (history + 16 >> 6)), 16)
+            i, sign, history = i + run, int(run < 0xFFFF), 0
+
+
+def write_element(sink: BitSink, planes: list[np.ndarray], c: Config, coefficients: list[int], shift: int, mix_bits: int = 2, mix: int = 0) -> None:
+    """A compressed element of one or two channels as long as the cookie's frame."""
+    channels = len(planes)
+    depth = c.bit_depth + channels - 1
+    sink.uint(PAIR if channels == 2 else SINGLE, 3)
+    sink.uint(0, 4 + 12 + 1 + 2 + 1)
+    sink.uint(mix_bits, 8)
+    sink.uint(mix & 0xFF, 8)
+    for _ in planes:
+        sink.uint(shift, 8)
+        sink.uint(4, 3)
+        sink.uint(len(coefficients), 5)
+        sink.array(np.array(coefficients, np.int64), 16)
+    if mix and channels == 2:
+        v = planes[0] - planes[1]
+        planes = [planes[1] + (mix * v >> mix_bits), v]
+    for p in planes:
+        write_rice_block(sink, filtered(p, coefficients, shift, depth).tolist(), depth, c.mb, c.pb, c.kb)
 
 
 def unmix(u: np.ndarray, v: np.ndarray, bits: int, weight: int) -> tuple[np.ndarray, np.ndarray]:
