@@ -1,0 +1,44 @@
+"""Registered corpus queries against their SQL, and the pipeline against its parts."""
+
+import pytest
+from oracle import DATA, database, rows_of, rows_of_sql
+
+import corpus_pipeline
+from tonewright.llm import decontaminate, simhash
+from tonewright.llm.queries import oracle_sql, queries
+from tonewright.llm.text import table
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query(spark, name):
+    names, rows = rows_of(queries()[name](spark, DATA))
+    assert rows
+    if name in oracle_sql():
+        assert (names, rows) == rows_of_sql(database(), oracle_sql()[name])
+
+
+def test_ten_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+
+
+def test_pipeline(spark):
+    docs = table(spark, DATA, "documents")
+    first, seen = docs, [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, first, DATA)
+        first = spark.createDataFrame(out.collect(), out.schema)
+        seen.append(first)
+    assert all(df.columns == docs.columns for df in seen[:-1])
+    ids = [{r.doc_id for r in df.collect()} for df in seen]
+    assert all(b <= a for a, b in zip(ids, ids[1:])) and len(ids[0]) > len(ids[1]) and ids[-1]
+    found = simhash.near_duplicates(seen[3]).collect()
+    assert len({r.component_id for r in found}) == len(found)
+    assert decontaminate.contained(seen[4], table(spark, DATA, "benchmark")).count() == 0
+    whole = sorted(tuple(r) for r in corpus_pipeline.run(spark, DATA).select("doc_id", "text", "copies").collect())
+    assert whole == sorted((r.doc_id, r.text, r.copies) for r in first.collect())
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    table(spark, DATA, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, DATA, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

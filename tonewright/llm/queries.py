@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.llm import chat, decontaminate, licenses, line_dedup, mixing, quality, secret_scan, simhash, toxicity, warc
+from tonewright.llm.sql import SQL
 from tonewright.llm.text import table
 
 
@@ -84,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL

@@ -9,23 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only where none is set (one machine, as in tests) a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tonewright-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        name = spark.sparkContext.applicationId
+        where = _own.get(name) or f"file://{tempfile.mkdtemp(prefix='tonewright-')}"
+        _own[name] = where
     return where.rstrip("/")
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: later steps survive lost executors and don't repeat it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_of_application(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _of_application(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tonewright-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the application's settled tables, for when its results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_of_application(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """Marks a settled table of narrow rows for broadcast if it has at most so many; else Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= most else df
