@@ -85,12 +85,16 @@ def schedule(docs: DataFrame, row_id: str | None = None, repeats: int = 3, seed:
     )
     queued = settled(queued, "queued")
     spans = queued.groupBy("at").agg(F.sum("size").alias("s"))  # at most 4 * PER_UNIT + 1 rows
-    spans = spans.select("at", (F.sum("s").over(Window.orderBy("at")) - F.col("s")).alias("ahead"))
+    spans = spans.select("at", "s", (F.sum("s").over(Window.orderBy("at")) - F.col("s")).alias("ahead"))
+    placed = queued.join(F.broadcast(spans), "at")
+    edge = (F.col("ahead") < F.col("budget")) & (F.col("ahead") + F.col("s") > F.col("budget"))
+    # Spans before and after the one where the budget ends are in or out as a whole; only that one is sorted.
     in_span = Window.partitionBy("at").orderBy("finish", "rank", "key", "doc_id", "size", "copy", "rid")
+    within = F.sum("size").over(in_span.rowsBetween(Window.unboundedPreceding, 0))
     mixed = (
-        queued.withColumn("within", F.sum("size").over(in_span.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(F.broadcast(spans), "at")
-        .withColumn("in", F.col("ahead") + F.col("within") <= F.col("budget"))
+        placed.filter(~edge)
+        .withColumn("in", F.col("ahead") + F.col("s") <= F.col("budget"))
+        .unionByName(placed.filter(edge).withColumn("in", F.col("ahead") + within <= F.col("budget")))
     )
     return mixed.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"),
