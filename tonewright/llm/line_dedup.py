@@ -12,10 +12,11 @@ longer line's variant with the whole shorter line. Typed in this way, all that m
 bound, so each key's earliest line is a witness for the others and no pairs within a key are needed.
 Hashes only find witnesses: each is verified by Levenshtein distance on the text.
 
-Few lines need variants: after one edit, the first or the last half of a line is unchanged, so only
-lines that share a half with another line of their length or one more emit them. That filter loses
-none. Lines of up to 1024 characters hash each variant directly; for longer ones a variant's hash is
-combined from running sums (xor) over its characters, in linear work; length 1024 does both.
+Few lines need variants. One edit lies in one half of a line, so only lines that share the other half
+with another line of their length or one more are looked at. These are cut into sixteenths, again
+and again until short: only windows around which another line agrees are kept, and the variants are
+those of the windows, keyed with all that is around them. These filters lose none and their work is
+linear in a line's length.
 
 Null and empty texts have no lines with words. Repeated rows (same doc_id and text) get the same
 lines: both keep what one would. Other columns are kept or ignored as said below. No Python runs on
@@ -24,14 +25,15 @@ the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.llm.storage import settled, small
 from tonewright.llm.text import lines, trimmed
 
 FUZZY_FROM = 16
-DIRECT_TO = 1024
+COARSE, FINE = 2, 16
+WINDOW = 256
 
 
 def _h(*cols: Column) -> Column:
@@ -53,94 +55,100 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "no")
 
 
-def _halves(each: DataFrame) -> DataFrame:
-    """Keys of the lines that may have a neighbour: half, and the longer of the two lengths."""
-    n, line = F.col("n"), F.col("line")
-    keys = []
-    for more in (0, 1):
-        m = (n + more).cast("int")
-        left = F.floor(m / 2).cast("int") - 1
-        right = m - F.floor(m / 2).cast("int") - 1
-        keys += [
-            _h(F.lit("left"), m, F.substring(line, F.lit(1), left)),
-            _h(F.lit("right"), m, F.substring(line, n - right + 1, right)),
-        ]
-    return each.filter(n >= FUZZY_FROM).select("a", F.explode(F.array(*keys)).alias("key"))
-
-
-def _variants(some: DataFrame) -> DataFrame:
-    """key, length, at (0: insertion), whole (the line itself), place, a, b."""
-    line, n = F.col("line"), F.col("n")
-    own = ["place", "a", "b"]
-    shorter = some.filter(n <= DIRECT_TO)
-    direct = shorter.select(
-        *own,
-        "n",
-        F.explode(
-            F.concat(
-                F.transform(
-                    F.sequence(F.lit(1), n),
-                    lambda i: F.struct(
-                        i.alias("at"),
-                        _h(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n))).alias("key"),
-                    ),
-                ),
-                F.array(F.struct(F.lit(0).alias("at"), _h(line).alias("key"))),
-            )
-        ).alias("v"),
-    ).select(*own, "n", "v.at", "v.key")
-    chars = some.filter(n >= DIRECT_TO).select(*own, "n", F.posexplode(F.split(line, "")).alias("i", "c"))
-    whole = Window.partitionBy("a", "b")
-    upto = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    here, moved = _h(F.col("c"), F.col("i")), _h(F.col("c"), F.col("i") - 1)
-    summed = (
-        chars.filter("c <> ''")
-        .withColumn("here", here)
-        .withColumn("moved", moved)
-        .withColumn("before", F.bit_xor("here").over(upto).bitwiseXOR(F.col("here")))
-        .withColumn("after", F.bit_xor("moved").over(upto).bitwiseXOR(F.bit_xor("moved").over(whole)))
-        .withColumn("all", F.bit_xor("here").over(whole))
-        .select(*own, "n", (F.col("i") + 1).alias("at"), F.col("before").bitwiseXOR(F.col("after")).alias("key"), "all")
+def _cut(n: Column, number: Column, m: int) -> tuple[Column, Column, Column]:
+    """Size, and characters left and right of one of m pieces: for the text's own length (numbers below m) or one more.
+
+    A piece is cut from both ends. Two texts within one edit agree left and right of some piece at
+    the longer one's length.
+    """
+    size, k = n + F.floor(number / m).cast("int"), number % m
+    left = F.least(F.greatest(F.floor(size * k / m).cast("int") - 1, F.lit(0)), n)
+    right = F.least(F.greatest(size - F.floor(size * (k + 1) / m).cast("int") - 1, F.lit(0)), n - left)
+    return size, left, right
+
+
+def _piece(text: Column, n: Column, number: Column, m: int, *outer: Column) -> Column:
+    """Hash of the text around a piece."""
+    size, left, right = _cut(n, number, m)
+    return _h(*outer, number % m, size, F.substring(text, F.lit(1), left), F.when(right > 0, F.substring(text, n - right + 1, right)).otherwise(""))
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """a, b, n, p (place of the first) and keys of the distinct lines with a word; settled."""
+    each = _lines(docs)
+    keys = F.when(F.col("n") >= FUZZY_FROM, F.array(*[_piece(F.col("line"), F.col("n"), F.lit(k), COARSE) for k in range(2 * COARSE)]))
+    return settled(
+        each.withColumn("keys", keys).groupBy("a", "b").agg(F.min(_place()).alias("p"), F.first("n").alias("n"), F.first("keys").alias("keys")),
+        "distinct-lines",
     )
-    long = summed.select(*own, "n", "at", "key").unionByName(
-        summed.filter("at = 1").select(*own, "n", F.lit(0).alias("at"), F.col("all").alias("key"))
+
+
+def _shared(keyed: DataFrame, name: str) -> DataFrame:
+    """The rows (a, key, ...) whose key is also that of another line."""
+    both = keyed.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("key")
+    return keyed.join(small(settled(both, name)), "key")
+
+
+def _narrowed(rows: DataFrame) -> DataFrame:
+    """Rows (a, outer, w) to the windows in which lines with equal surroundings differ; settled.
+
+    outer stands for all that is around w. Each pass cuts the windows into FINE pieces and keeps
+    those whose surroundings another line shares, until they are short; work is linear in the text.
+    """
+    done = None
+    while True:
+        rows = rows.withColumn("n", F.length("w"))
+        n, numbers = F.col("n"), F.sequence(F.lit(0), F.lit(2 * FINE - 1))
+        keys = F.transform(numbers, lambda k: _piece(F.col("w"), n, k, FINE, F.col("outer")))
+        keyed = settled(rows.select("a", "outer", F.posexplode(keys).alias("number", "key")), "keyed-pieces")
+        found = settled(_shared(keyed, "piece-keys"), "pieces")
+        _, left, right = _cut(n, F.col("number"), FINE)
+        cut = rows.join(small(found), ["a", "outer"]).select("a", F.col("key").alias("outer"), F.substring("w", left + 1, n - left - right).alias("w"))
+        rows = settled(cut.distinct(), "windows")
+        short = rows.filter(F.length("w") <= WINDOW)
+        done = short if done is None else done.unionByName(short)
+        rows = rows.filter(F.length("w") >= WINDOW)  # a window of just that length may pair with either side
+        if rows.isEmpty():
+            return done
+
+
+def _variants(windows: DataFrame) -> DataFrame:
+    """outer, key, length, at (0: insertion), whole (the window itself), place, a, b."""
+    own, w, n = ["place", "a", "b", "outer"], F.col("w"), F.length("w")
+    cuts = F.transform(
+        F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("at"), _h(F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n))).alias("key"))
     )
-    every = direct.withColumn("way", F.lit(0)).unionByName(long.withColumn("way", F.lit(1)))
-    deleted = every.filter("at > 0")
-    return (
-        deleted.select(*own, "way", "key", F.col("n").alias("length"), "at", F.lit(False).alias("whole"))
-        .unionByName(deleted.select(*own, "way", "key", (F.col("n") - 1).alias("length"), F.lit(0).alias("at"), F.lit(False).alias("whole")))
-        .unionByName(every.filter("at = 0").select(*own, "way", "key", F.col("n").alias("length"), "at", F.lit(True).alias("whole")))
-        .distinct()
+    cuts = F.when(n > 0, cuts).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+    rows = windows.select(*own, n.alias("n"), F.explode(F.concat(cuts, F.array(F.struct(F.lit(0).alias("at"), _h(w).alias("key"))))).alias("v"))
+    rows = rows.select(*own, "n", "v.at", "v.key")
+    # A deletion stands for a substitution at its place and for an insertion into a text one shorter.
+    kinds = F.when(F.col("at") == 0, F.array(F.struct(F.col("n").alias("length"), F.col("at")))).otherwise(
+        F.array(F.struct(F.col("n").alias("length"), F.col("at")), F.struct((F.col("n") - 1).alias("length"), F.lit(0).alias("at")))
     )
+    return rows.select(*own, "key", (F.col("at") == 0).alias("whole"), F.explode(kinds).alias("k")).select(*own, "key", "whole", "k.length", "k.at").distinct()
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """a, b of the distinct lines that have an earlier, different line within one edit."""
-    each = _lines(docs)
-    shared = _halves(each).groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y")
-    shared = settled(shared.select("key"), "halves")
-    ids = settled(_halves(each).join(small(shared), "key").select("a").distinct(), "line-ids")
-    some = settled(
-        each.join(small(ids), "a", "left_semi")
-        .groupBy("a", "b")
-        .agg(F.min(_place()).alias("place"), F.min("line").alias("line"), F.min("n").alias("n")),
-        "lines",
-    )
-    seen = settled(_variants(some), "variants")
+    keyed = distinct.select("a", F.explode("keys").alias("key"))
+    ids = settled(_shared(keyed, "halves").select("a").distinct(), "line-ids")
+    texts = settled(_lines(docs).join(small(ids), "a", "left_semi").groupBy("a", "b").agg(F.first("line").alias("line")), "lines")
+    windows = _narrowed(texts.select("a", F.lit(0).cast("long").alias("outer"), F.col("line").alias("w")))
+    placed = distinct.join(small(settled(windows.select("a").distinct(), "window-ids")), "a", "left_semi").select("a", "b", F.col("p").alias("place"))
+    seen = settled(_variants(windows.join(placed, "a")), "variants")
     who = lambda w: F.min(F.when(w, F.struct("place", "a", "b")))
-    met = seen.groupBy("way", "key", "length", "at").agg(
+    met = seen.groupBy("outer", "key", "length", "at").agg(
         who(F.lit(True)).alias("first"), who(F.col("whole")).alias("full"), who(~F.col("whole")).alias("cut"), F.count("*").alias("k")
     ).filter("k > 1")
     found = (
-        seen.join(met, ["way", "key", "length", "at"])
+        seen.join(met, ["outer", "key", "length", "at"])
         .withColumn("w", F.when(F.col("at") > 0, F.col("first")).when(F.col("whole"), F.col("cut")).otherwise(F.col("full")))
         .filter("w.place < place")
         .select("a", "b", F.col("w.a").alias("wa"), F.col("w.b").alias("wb"))
         .distinct()
     )
-    text = some.select("a", "b", "line")
-    other = some.select(F.col("a").alias("wa"), F.col("b").alias("wb"), F.col("line").alias("witness"))
+    text = texts.select("a", "b", "line")
+    other = texts.select(F.col("a").alias("wa"), F.col("b").alias("wb"), F.col("line").alias("witness"))
     return (
         found.join(text, ["a", "b"])
         .join(other, ["wa", "wb"])
@@ -155,9 +163,9 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
     One row for each text that has any; the earliest lines are the groups' minima, so no line is joined back to a hot group.
     """
-    first = _lines(docs).groupBy("a", "b").agg(F.min(_place()).alias("p"))
-    near = settled(near_lines(docs), "near-lines")
-    marked = first.join(small(near).withColumn("near", F.lit(True)), ["a", "b"], "left")
+    first = distinct_lines(docs)
+    near = settled(near_lines(docs, first), "near-lines")
+    marked = first.join(small(near.withColumn("near", F.lit(True))), ["a", "b"], "left")
     return (
         marked.groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("h"))
         .agg(
@@ -177,9 +185,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     wordy = F.filter(F.sequence(F.lit(0), F.size("_ls") - 1), lambda i: trimmed(F.get("_ls", i)) != "")
     joined = joined.withColumns({"_wordy": wordy, "_stays": stays, "_firsts": F.coalesce("first", none)})
     gone = F.array_except("_wordy", "_stays")
-    joined = joined.withColumns({"_gone": gone, "_ls2": F.col("_ls")})
+    joined = joined.withColumn("_gone", gone)
     rest = F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), F.col("_gone"))
-    left = F.array_join(F.transform(rest, lambda i: F.get("_ls2", i)), "\n")
+    left = F.array_join(F.transform(rest, lambda i: F.get("_ls", i)), "\n")
     text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(left)
     return joined.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
