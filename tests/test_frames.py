@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tonewright.functions import headers, pcm
 from tonewright.functions.numeric import sign_extend
-from tonewright.operators import packets, predict, resample
+from tonewright.operators import packets, predict, resample, samples, tags
 from tonewright.sources import aiff, flac, ogg, registry, udtf, wav
+from tonewright.sources import tags as tag_bytes
 from tonewright.sources.errors import AudioError
 from tonewright.streaming.decoders import Machine, Stream, decode_chunks
 
@@ -25,11 +26,31 @@ def test_errors_are_a_column_or_stop_the_job(spark):
     got = {r.path: r for r in registry.decode(df).collect()}
     assert got["good"].error is None and got["good"].info.total_samples == 4800 and len(got["good"].pcm) == 4800
     assert got["bad"].error.code == "InvalidHeader" and got["bad"].pcm is None
-    assert got["junk"].error.code == got["empty"].error.code == "UnsupportedFormat"
-    with pytest.raises(Exception, match="UnsupportedFormat"):
+    assert got["junk"].error.code == "UnsupportedFormat" and got["empty"].error.code == "InvalidHeader"
+    with pytest.raises(Exception, match="UnsupportedFormat|InvalidHeader"):
         registry.decode(df, mode="FAILFAST").collect()
 
 
+def test_audio_source(spark, tmp_path):
+    from tonewright.sources import opus
+    from tonewright.sources.datasource import AudioSource
+
+    (tmp_path / "sub").mkdir()
+    content = {"a.wav": wav.encode(ramp(), 8000, 1), "sub/b.flac": flac.encode(ramp(), 44100, 2, 16), "c.aiff": aiff.encode(ramp(), 8000, 1), "d.opus": opus.encode(ramp(960), 48000, 1), "e.txt": b"text", "f.wav": b"RIFF" + bytes(60)}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    spark.dataSource.register(AudioSource)
+    read = spark.read.format("audio").option("partitionBytes", "5000")
+    got = {r.path.rsplit("/", 1)[1]: r for r in read.load(f"file://{tmp_path}").collect()}
+    assert len(got) == 6 and [got[k].format for k in ("a.wav", "b.flac", "c.aiff", "d.opus", "e.txt")] == ["Wav", "Flac", "Aiff", "Ogg", None]
+    assert np.array_equal(np.array(got["b.flac"].pcm, np.float32), flac.decode(content["sub/b.flac"])[1])
+    assert got["f.wav"].error.code == "InvalidHeader" and got["e.txt"].error.code == "UnsupportedFormat" and got["d.opus"].pcm == []
+    heads = {r.path.rsplit("/", 1)[1]: r for r in read.option("mode", "header").load(f"file://{tmp_path}").collect()}
+    assert all(r.pcm is None for r in heads.values()) and all(heads[k].info == got[k].info for k in heads)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert [r.format for r in read.option("pushdown", "true").load(f"file://{tmp_path}").filter("format = 'Flac' AND length > 0").collect()] == ["Flac"]
+
+
 def test_registered_codec(spark):
     registry.register("Raw", lambda data: (wav.info("RawPcm", 8000, 1, 16, len(data) // 2), np.frombuffer(data, "<i2").astype(np.float32) / 32768))
     try:
@@ -87,6 +108,13 @@ def test_planes(spark):
     assert flat.select(pcm.deinterleave(F.col("s"), F.lit(0))).first()[0] == []
 
 
+def test_clips_to_rows_and_back(spark):
+    clips = spark.createDataFrame([(1, [0.5, 0.25, -0.5, 1.0]), (2, [0.0, 0.125])], "clip long, pcm array<float>")
+    rows = samples.exploded(clips, channels=2)
+    assert sorted((r.clip, r.frame, r.ch) for r in rows.collect()) == [(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 0, 1)]
+    assert sorted(map(tuple, samples.collected(rows).collect())) == sorted((r.clip, r.pcm) for r in clips.collect())
+
+
 def test_headers_reject(spark):
     df = spark.createDataFrame([(bytearray(b),) for b in (b"", b"\xff\xfb\x90\x00", b"OpusHead" + bytes(11), b"\xff\xf1\x50\x80\x0c\x80\x00", b"RIFF")], "c binary")
     row = df.select(headers.detect_format(F.col("c")).alias("f"), headers.mpeg_frame_header(F.col("c")).alias("m"), headers.opus_head(F.col("c")).alias("o"), headers.adts_header(F.col("c")).alias("a")).collect()
@@ -95,6 +123,20 @@ def test_headers_reject(spark):
     assert row[3].a.sample_rate == 44100 and row[3].a.channels == 2 and row[3].a.frame_length == 100
 
 
+def test_id3_tags_by_columns(spark):
+    udtf.register_all(spark)
+    fields = {"title": "Ä title", "artist": "B", "album": "C", "track_number": "1/9", "year": "1999", "genre": "g", "comment": "well, hello é"}
+    files(spark, {str(v): tag_bytes.id3_tag(fields, v) for v in (2, 3, 4)}).createOrReplaceTempView("_tagged")
+    rows = tags.from_id3(spark.sql("SELECT t.path, f.* FROM _tagged t, LATERAL id3_frames(t.content) f")).collect()
+    assert len(rows) == 3 and all({k: r[k] for k in fields} == fields for r in rows)
+    bodies = [b"\0engnote\0caf\xe9\0", b"\3eng\0x", b"\0engno end", b"\1eng\xfe\xff\0a\0\0\xfe\xff\0b", b"\2eng\0a\0\0\0b", b"\0eng\0", b"\0e", b""]
+    got = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(bodies)], "k int, b binary").select("k", headers.id3_comment(F.col("b")).alias("t")).collect()
+    odd = [b"\3caf\xff", b"\1\xff\xfea\0x", b"\2\xd8\0", b"\2\xd8\x3d\xde\0", b"\1\xff\xfe\x3d\xd8\0\xde", b"\1\xff\xfe\0\xde", b"\1", b"\7a"]
+    texts = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(odd)], "k int, b binary").select("k", headers.id3_text(F.col("b")).alias("t")).collect()
+    assert [r.t for r in sorted(texts)] == ["caf\ufffd", "a", None, "😀", "😀", None, None, None]
+    assert [r.t for r in sorted(got)] == ["café", "x", None, "b", "b", None, None, None]
+
+
 @pytest.mark.parametrize("order", [1, 2, 4])
 def test_fixed_restore(spark, order):
     rng = np.random.default_rng(order)

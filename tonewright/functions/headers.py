@@ -199,6 +199,17 @@ def wav_header_write(data_bytes: Column, sample_rate: Column, channels: Column,
     )
 
 
+def _utf16(body: Column, little: bool) -> Column:
+    """Whole units decoded; null if a surrogate stands alone, as Spark's decode would stop the job."""
+    even = F.substring(body, F.lit(1), F.octet_length(body) - F.octet_length(body) % 2)
+    pair = r"^(?:..(?!D[89A-F])..|..D[89AB]..D[C-F])*$" if little else r"^(?:(?!D[89A-F])....|D[89AB]..D[C-F]..)*$"
+    return F.when(F.hex(even).rlike(pair), F.decode(even, "UTF-16LE" if little else "UTF-16BE"))
+
+
+def _utf8(body: Column) -> Column:
+    return F.make_valid_utf8(body.cast("string"))
+
+
 def id3_text(frame: Column) -> Column:
     """Text of an ID3v2 text frame's body: encodings 0 (Latin-1), 1 (UTF-16 with mark), 2 (UTF-16BE), 3 (UTF-8); null if empty."""
     kind, body = be(frame, 0, 1), F.substring(frame, 2, 1 << 30)
@@ -206,13 +217,27 @@ def id3_text(frame: Column) -> Column:
     wide = F.substring(body, 3, 1 << 30)
     said = (
         F.when(kind == 0, F.decode(body, "ISO-8859-1"))
-        .when(kind == 3, F.decode(body, "UTF-8"))
-        .when((kind == 1) & (F.octet_length(body) >= 2), F.when(little, F.decode(wide, "UTF-16LE")).otherwise(F.decode(wide, "UTF-16BE")))
-        .when(kind == 2, F.decode(body, "UTF-16BE"))
+        .when(kind == 3, _utf8(body))
+        .when((kind == 1) & (F.octet_length(body) >= 2), F.when(little, _utf16(wide, True)).otherwise(_utf16(wide, False)))
+        .when(kind == 2, _utf16(body, False))
     )
     return F.nullif(F.rtrim(said, F.lit("\0")), F.lit(""))
 
 
+def id3_comment(frame: Column) -> Column:
+    """Text of an ID3v2 comment frame's body: after the encoding, three bytes of language and a description that a NUL ends."""
+    kind, rest = be(frame, 0, 1), F.substring(frame, 5, 1 << 30)
+    little = part(rest, 0, 2) == F.lit(bytearray(b"\xff\xfe"))
+    said = (
+        F.when(kind == 0, F.decode(rest, "ISO-8859-1"))
+        .when(kind == 3, _utf8(rest))
+        .when((kind == 2) | (kind == 1) & ~little, _utf16(rest, False))
+        .when(kind == 1, _utf16(rest, True))
+    )
+    text_ = F.regexp_replace(said, r"(?s)^[^\x00]*\x00\uFEFF?", "")
+    return F.nullif(F.rtrim(F.when(F.instr(said, "\0") > 0, text_), F.lit("\0")), F.lit(""))
+
+
 def flac_size_code(n: Column) -> Column:
     """Frame header code of a block size: 6 and 7 stand for a size that follows in 8 or 16 bits."""
     code = F.lit(None).cast("int")

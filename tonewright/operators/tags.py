@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.functions.headers import id3_text
+from tonewright.functions.headers import id3_comment, id3_text
 from tonewright.sources import tags
 
 FIELDS = list(tags.FIELDS)
@@ -32,9 +32,8 @@ def from_vorbis(pairs: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFram
 
 
 def from_id3(frames: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Of rows (id, body, frame_no) of either version; comments lose their language and a one-byte description mark."""
+    """Of rows (id, body, frame_no) of either version; comments lose their language and description."""
     names = tags.ID3V22 | tags.ID3V23
     body = F.col("body")
-    comment = F.col("id").isin("COM", "COMM")
-    said = F.when(comment, F.udf(tags.comment_text, "string")(body)).otherwise(id3_text(body))
+    said = F.when(F.col("id").isin("COM", "COMM"), id3_comment(body)).otherwise(id3_text(body))
     return pivoted(frames.withColumn("value", said), names, keep, "id", "value", "frame_no")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tonewright.functions.headers import detect_format
 from tonewright.sources import aac, aiff, alac, flac, mpeg, ogg, opus, wav
-from tonewright.sources.errors import AudioError
+from tonewright.sources.errors import AudioError, bad_header
 from tonewright.sources.info import ERROR_TYPE, INFO_TYPE, Decoded
 
 DECODERS: dict[str, Callable[[bytes], Decoded]] = {
@@ -83,9 +83,10 @@ def decode(files: DataFrame, codec: str | None = None, mode: str = "PERMISSIVE",
             infos, pcm, errors = [], [], []
             for name, raw in zip(batch.column("format").to_pylist(), batch.column("content"), strict=True):
                 try:
+                    data = raw.as_py() or b""
                     if name not in decoders:
-                        raise AudioError("UnsupportedFormat")
-                    found, samples = decoders[name](raw.as_py() or b"")
+                        raise AudioError("UnsupportedFormat") if len(data) >= 4 else bad_header("too short for format detection")
+                    found, samples = decoders[name](data)
                     infos.append(dict(zip(INFO_ARROW.names, found.row(), strict=True)))
                     pcm.append(samples)
                     errors.append(None)
