@@ -92,6 +92,47 @@ def test_licenses(docs):
     assert licenses.scan(docs([])).count() == 0 and licenses.scan(docs(rows), {}).count() == 0
 
 
+def prose(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def slow_windows(text, name):
+    """The best Dice of any run of words."""
+    ws, t = licenses.tokens(text), licenses.tokens(licenses.TEMPLATES[name])
+    grams, pairs = set(zip(t, t[1:])), list(zip(ws, ws[1:]))
+    return max((2 * len(grams & set(pairs[i:j])) / (len(grams) + len(set(pairs[i:j]))) for i in range(len(pairs)) for j in range(i + 1, len(pairs) + 1)), default=0)
+
+
+def test_licenses_that_are_no_unit():
+    scan = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST).scan
+    told = lambda text: [(x[0], x[2], x[3]) for x in scan(text)]
+    apache, mit = (re.sub(r"\s+", " ", licenses.TEMPLATES[x]) for x in ("apache-2.0", "mit"))
+    parts = apache.replace(" You may", "\n\nYou may", 1).replace(" Unless", "\n\nUnless", 1)
+    assert parts.count("\n\n") == 2
+    assert told(f"{prose('a', 300)}\n\n{parts}\n\n{prose('b', 300)}") == [("apache-2.0", "window", 300)]
+    wrapped = "\n".join(" ".join(mit.split()[i : i + 9]) for i in range(0, 200, 9))
+    assert told(f"{prose('a', 300)}\n{wrapped}\n{prose('b', 300)}") == [("mit", "window", 300)]
+    assert told(prose("a", 40) + " Released under the MIT License. " + prose("b", 40) + " licensed under CC BY 4.0, " + prose("c", 40)) == [("mit-line", "window", 40), ("cc-by-line", "window", 85)]
+    assert told(f"{mit} Licensed under CC BY 4.0.") == [("mit", "text", 0), ("cc-by-line", "window", len(licenses.tokens(mit)))]
+    assert told(f"{prose('a', 300)} {mit} x {mit} {prose('b', 300)}") == [("mit", "window", 300), ("mit", "window", 301 + len(licenses.tokens(mit)))]
+
+
+def test_license_windows_are_the_best():
+    rng = random.Random(9)
+    names = ["mit-line", "cc-by-sa", "cc-by", "mpl-2.0"]
+    for _ in range(60):
+        name = rng.choice(names)
+        ws = licenses.tokens(licenses.TEMPLATES[name])
+        for _ in range(rng.randrange(5)):
+            ws.insert(rng.randrange(len(ws)), rng.choice(["x", "the", "license", ws[0]]))
+        text = " ".join([*rng.choices(ws, k=15), *ws, *rng.choices(ws, k=15)])
+        scanner = licenses.Scanner({name: licenses.TEMPLATES[name]}, licenses.LEAST)
+        got = max((x[1] for x in scanner.windows([(licenses.tokens(text), list(range(400)))], [])), default=0)
+        want = slow_windows(text, name)
+        assert bool(got) == (want >= licenses.LEAST) and got <= want
+        assert bool(scanner.scan(text)) == bool(got)
+
+
 # Secrets
 
 

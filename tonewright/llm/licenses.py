@@ -6,6 +6,17 @@ each line. A unit of n distinct bigrams can reach a Dice coefficient t with a te
 2 min(n, m) >= t (n + m), so for each unit only templates of m in [n t / (2 - t), n (2 - t) / t]
 are compared, and a unit outside all of these is not even cut into bigrams.
 
+A licence needn't be a unit: it can span paragraphs of a longer text, or stand within a line. So
+every run of words (window) is compared too. One that matches holds m t / (2 - t) of a template's
+bigrams at least and can be trimmed, without a lesser coefficient, until its first and last bigrams
+are the template's and its first occurs once in it. So a sweep from each of the template's bigrams in
+the text, up to the size bound or the same bigram again, finds the best window from there. Of windows
+of one licence that overlap the one with most bigrams shared less those not shared is told; a window
+isn't told if it overlaps a unit or window that is told and is of the same licence, or has half of its
+shared bigrams in that licence too (a line of the notice in the notice, or a near relative). For a window
+unit_no is the number of words before it in the text. By the same bound a text without any of some
+words of the templates holds no match, and isn't cut at all.
+
 Null and empty texts match nothing, and a unit of one word has no bigram. Of equal coefficients the
 first template by name wins. Repeated rows give equal rows. Other columns are ignored. The built-in
 templates are the notices and short licences below; pass others by name to scan for them.
@@ -14,6 +25,7 @@ templates are the notices and short licences below; pass others by name to scan
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections.abc import Iterator
 
@@ -109,6 +121,28 @@ class Scanner:
         self.least_chars = 2 * self.sizes[0] * low if sets else float("inf")
         self.most_bigrams = self.sizes[-1] / low if sets else 0
         self.low = low
+        self.grams = {name: b for _, name, b in sets}
+        #: A text that matches has one of these in lower case.
+        self.words = sorted({w for _, _, b in sets for w in self._telling(b)})
+
+    def _need(self, m: int) -> int:
+        """Bigrams of a template of m that any match holds at least."""
+        return max(1, math.ceil(m * self.low - 1e-9))
+
+    def _telling(self, grams: set[tuple[str, str]]) -> list[str]:
+        """Words, long ones first, so many that the bigrams without any of them are too few to match."""
+        of: dict[str, set[tuple[str, str]]] = {}
+        for g in grams:
+            for w in g:
+                of.setdefault(w, set()).add(g)
+        left, chosen = set(grams), []
+        for w in sorted(of, key=lambda w: (len(w) < 6, -len(of[w]) if len(w) > 5 else -len(w), w)):
+            if len(left) < self._need(len(grams)):
+                break
+            if left & of[w]:
+                chosen.append(w)
+                left -= of[w]
+        return chosen
 
     def best(self, unit: str) -> tuple[float, str, int] | None:
         if len(unit) < self.least_chars:
@@ -126,21 +160,87 @@ class Scanner:
                 top = (dice, name, len(ws))
         return top
 
+    def _sweep(self, grams: set[tuple[str, str]], seq: list[int], codes: dict[tuple[str, str], int]) -> list[tuple[int, float, int, int]]:
+        """(shared less not shared, dice, first bigram, last bigram) of windows that match and don't overlap, by place."""
+        own = {codes[g] for g in grams if g in codes}
+        m, most = len(grams), len(grams) / self.low
+        if len(own) < self._need(m):
+            return []
+        found = []
+        for i in [i for i, c in enumerate(seq) if c in own]:
+            first, seen, shared, top = seq[i], set(), 0, None
+            for j in range(i, len(seq)):
+                c = seq[j]
+                if c in seen:
+                    if c == first:
+                        break
+                    continue
+                seen.add(c)
+                n = len(seen)
+                if n > most:
+                    break
+                if c in own:
+                    shared += 1
+                    if 2 * shared >= self.least * (n + m) and (top is None or 2 * shared / (n + m) > top[1]):
+                        top = (3 * shared - n - m, 2 * shared / (n + m), i, j)
+            if top:
+                found.append(top)
+        apart: list[tuple[int, int, float, int]] = []
+        for score, dice, i, j in sorted(found, key=lambda x: (-x[0], x[2])):
+            k = bisect.bisect(apart, (i,))
+            if (k == 0 or apart[k - 1][1] + 1 < i) and (k == len(apart) or apart[k][0] > j + 1):
+                apart.insert(k, (i, j, dice, score))
+        return [(score, dice, i, j) for i, j, dice, score in apart]
+
+    def windows(self, runs: list[tuple[list[str], list[int]]], told: list[tuple[int, int, str]]) -> list[tuple[str, float, str, int, int]]:
+        """As scan, of windows of the runs: words and their places in the text. told: first place, end and licence of matching units."""
+        hits = []
+        for ws, places in runs:
+            pairs = list(zip(ws, ws[1:]))
+            codes = {g: k for k, g in enumerate(dict.fromkeys(pairs))}
+            seq = [codes[g] for g in pairs]
+            whole = {name for a, b, name in told if places and a <= places[0] and b > places[-1]}
+            for name in self.grams.keys() - whole:
+                grams = self.grams[name]
+                hits += [(-score, name, places[i], places[j + 1] + 1, dice, {*pairs[i : j + 1]} & grams) for score, dice, i, j in self._sweep(grams, seq, codes)]
+        found, told = [], list(told)
+        for _, name, start, end, dice, shared in sorted(hits, key=lambda x: x[:4]):
+            if not any(a < end and start < b and (name == x or 2 * len(shared & self.grams[x]) >= len(shared)) for a, b, x in told):
+                told.append((start, end, name))
+                found.append((name, dice, "window", start, end - start))
+        return sorted(found, key=lambda x: x[3:])
+
     def scan(self, text: str | None) -> list[tuple[str, float, str, int, int]]:
         """(licence, dice, unit, number of the unit, words) of all units that match; a paragraph or line equal to a larger unit that matches isn't told again."""
-        body = COPYRIGHT.sub(" ", text or "")
-        found, seen = [], {}
+        text = text or ""
+        low = text.lower()
+        if not any(w in low for w in self.words):
+            return []
+        notices = [m.span() for m in COPYRIGHT.finditer(text)]
+        body = COPYRIGHT.sub(" ", text)
+        ws, places, at, end = [], [], 0, 0
+        for start, stop in [*notices, (len(text), len(text))]:
+            part = tokens(text[end:start])
+            ws += part
+            places += range(at, at + len(part))
+            at += len(part) + len(tokens(text[start:stop]))
+            end = stop
+        found, seen, told = [], {}, []
         for kind, units in (("text", [body]), ("paragraph", re.split(r"\n\s*\n", body)), ("line", body.split("\n"))):
+            first = 0
             for no, unit in enumerate(units):
+                n = len(tokens(unit))
                 if hit := self.best(unit):
+                    told.append((places[first], places[first + n - 1] + 1, hit[1]))
                     key = " ".join(unit.split())
                     if seen.setdefault(key, kind) == kind:
                         found.append((hit[1], hit[0], kind, no, hit[2]))
-        return found
+                first += n
+        return found + self.windows([(ws, places)], told)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, license, dice, unit (text, paragraph, line), unit_no, unit_words of every unit that matches."""
+    """doc_id, license, dice, unit (text, paragraph, line, window), unit_no, unit_words of every unit and window that matches."""
     scanner = Scanner(TEMPLATES if templates is None else templates, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
