@@ -133,6 +133,17 @@ def test_license_windows_are_the_best():
         assert bool(scanner.scan(text)) == bool(got)
 
 
+def test_licenses_after_copyright_notices():
+    scan = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST).scan
+    told = lambda text: [x[0] for x in scan(text)]
+    mit, bsd = (re.sub(r"\s+", " ", licenses.TEMPLATES[x]) for x in ("mit", "bsd-2-clause"))
+    assert told("Copyright 2020 Foo. Licensed under the Apache License, Version 2.0.") == ["apache-2.0-line"]
+    assert told(f"{prose('a', 9)}\n// Copyright (c) 2021 X. Released under the MIT License.\n{prose('b', 9)}") == ["mit-line"]
+    assert told(f"Copyright (c) 2020 A {mit} {prose('a', 300)}") == ["mit"]
+    assert told(bsd.replace("above copyright notice", "above\ncopyright notice")) == ["bsd-2-clause"]
+    assert told(f"{mit[:300]}\n(c) 2020 {prose('a', 90)}\n© 2021 {prose('b', 90)}\n{mit[300:]}") == ["mit"]
+
+
 # Secrets
 
 

@@ -14,7 +14,8 @@ the text, up to the size bound or the same bigram again, finds the best window f
 of one licence that overlap the one with most bigrams shared less those not shared is told; a window
 isn't told if it overlaps a unit or window that is told and is of the same licence, or has half of its
 shared bigrams in that licence too (a line of the notice in the notice, or a near relative). For a window
-unit_no is the number of words before it in the text. By the same bound a text without any of some
+unit_no is the number of words before it in the text. As a copyright line can go on with a licence, or
+be a wrapped line of one, windows are of the text both without and with these lines. By the same bound a text without any of some
 words of the templates holds no match, and isn't cut at all.
 
 Null and empty texts match nothing, and a unit of one word has no bigram. Of equal coefficients the
@@ -102,7 +103,7 @@ If not, see https://www.gnu.org/licenses/.""",
 MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
-COPYRIGHT = re.compile(r"(?im)^\W*(copyright|\(c\)|©)\b.*$")
+COPYRIGHT = re.compile(r"(?im)^\W*(copyright\b|\(c\)|©).*$")
 TOKEN = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 SCHEMA = "doc_id long, license string, dice double, unit string, unit_no long, unit_words long"
 
@@ -218,12 +219,12 @@ class Scanner:
             return []
         notices = [m.span() for m in COPYRIGHT.finditer(text)]
         body = COPYRIGHT.sub(" ", text)
-        ws, places, at, end = [], [], 0, 0
+        ws, places, every, end = [], [], [], 0
         for start, stop in [*notices, (len(text), len(text))]:
             part = tokens(text[end:start])
             ws += part
-            places += range(at, at + len(part))
-            at += len(part) + len(tokens(text[start:stop]))
+            places += range(len(every), len(every) + len(part))
+            every += part + tokens(text[start:stop])
             end = stop
         found, seen, told = [], {}, []
         for kind, units in (("text", [body]), ("paragraph", re.split(r"\n\s*\n", body)), ("line", body.split("\n"))):
@@ -236,7 +237,8 @@ class Scanner:
                     if seen.setdefault(key, kind) == kind:
                         found.append((hit[1], hit[0], kind, no, hit[2]))
                 first += n
-        return found + self.windows([(ws, places)], told)
+        runs = [(ws, places), (every, list(range(len(every))))]
+        return found + self.windows(runs if notices else runs[:1], told)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
