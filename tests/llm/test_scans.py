@@ -48,6 +48,13 @@ def test_containment(spark, docs, block_chars):
     assert clean.columns == df.columns and sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((d for d, _ in rows if d not in leaky), key=repr)
 
 
+def test_clean_rows_stay_beside_leaks_of_their_id(spark, docs):
+    leak, bench = "so Nobody knows this item, at all", spark.createDataFrame([(1, "nobody knows this item at all")], "item_id long, text string")
+    rows = [(None, leak), (None, "clean one"), (None, None), (4, leak), (4, "clean two"), (4, "clean two"), (5, leak)]
+    got = decontaminate.rows_without_leaks(docs(rows), bench)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(None, "clean one"), (None, None), (4, "clean two"), (4, "clean two")], key=repr)
+
+
 def test_sketch_never_misses():
     for n in range(1, 200):
         k = decontaminate.sketch_size(n, 0.8)

@@ -88,3 +88,11 @@ def test_groups_and_the_stage(spark, docs):
     assert stage.columns == df.columns
     assert sorted((r.doc_id for r in stage.collect()), key=repr) == sorted([3, 9, None, 2, 8], key=repr)
     assert simhash.near_duplicates(docs([])).count() == 0 and simhash.one_of_each(docs([])).count() == 0
+
+
+def test_unlike_texts_of_one_id_stay(docs):
+    text = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=200))
+    a, b, c = text(1), text(2), text(3)
+    rows = [(1, a), (2, a), (2, b), (2, b.upper()), (2, c), (2, c), (3, c), (None, a), (None, b)]
+    got = simhash.one_of_each(docs(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, a), (2, b.upper()), (2, c), (None, a), (None, b)], key=repr)

@@ -116,3 +116,11 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that contain no item. Rows of one doc_id (null too) leave together if one of them leaks."""
     leaks = settled(contained(docs, items).select("doc_id").distinct(), "leaks")
     return docs.join(small(leaks), docs.doc_id.eqNullSafe(leaks.doc_id), "left_anti")
+
+
+def rows_without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows whose own text contains no item, whatever other rows share their doc_id (null too)."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = contained(keyed.select(F.col("_key").alias("doc_id"), "text"), items)
+    leaks = settled(found.select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return keyed.join(small(leaks), "_key", "left_anti").select(docs.columns)

@@ -46,12 +46,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+def with_fingerprints(docs: DataFrame, width: int = 3, *carry: str) -> DataFrame:
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select("doc_id", *carry, fp("text").alias("fp"))
 
 
 def _keys(blocks: int, d: int) -> list[int]:
@@ -107,9 +107,9 @@ def links(prints: DataFrame, blocks: int = 5, d: int = 2, pairwise: int = 32) ->
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, blocks: int = 5, pairwise: int = 32) -> DataFrame:
-    """doc_id, fp (long) and component_id, the least doc_id reachable by links of at most two bits."""
-    each = settled(with_fingerprints(docs, width), "prints")
+def _grouped(docs: DataFrame, width: int, blocks: int, pairwise: int, *carry: str) -> DataFrame:
+    """doc_id, carry, fp, root (least print of the component) and component_id."""
+    each = settled(with_fingerprints(docs, width, *carry), "prints")
     prints = settled(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
     roots = components(links(prints.select("fp"), blocks, pairwise=pairwise))
     rooted = settled(
@@ -119,20 +119,29 @@ def near_duplicates(docs: DataFrame, width: int = 3, blocks: int = 5, pairwise:
         "roots",
     )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return each.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return each.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", *carry, "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, blocks: int = 5, pairwise: int = 32) -> DataFrame:
+    """doc_id, fp (long) and component_id, the least doc_id reachable by links of at most two bits."""
+    return _grouped(docs, width, blocks, pairwise).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the least doc_id of their group, with all columns; rows without a doc_id stay.
 
-    Rows that repeat a doc_id stand for one document, and their first by text stays.
+    Rows are told apart by doc_id and text, so unlike texts that share a doc_id are documents of their own.
+    Of rows of one doc_id in one group the first by text stays.
     """
-    found = near_duplicates(docs)
-    gone = settled(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    twice = settled(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeats")
-    left = docs.join(small(gone), "doc_id", "left_anti")
-    if twice.isEmpty():
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = settled(_grouped(keyed, 3, 5, 32, "_key").filter("doc_id IS NOT NULL").select("doc_id", "_key", "root", "component_id"), "grouped")
+    gone = settled(found.filter("doc_id <> component_id").select("_key").distinct(), "copies")
+    first = found.filter("doc_id = component_id")
+    groups = settled(first.groupBy("doc_id", "root").count().filter("count > 1").select("doc_id", "root"), "repeats")
+    left = keyed.join(small(gone), "_key", "left_anti")
+    if groups.isEmpty():
         return left.select(docs.columns)
-    again = left.join(twice, "doc_id", "left_semi")
-    best = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(best.select("doc_id", "r.*").select(docs.columns))
+    twice = settled(first.join(small(groups), ["doc_id", "root"]).select("_key", F.col("root").alias("_root")).distinct(), "repeated-rows")
+    again = left.join(small(twice), "_key")
+    best = again.groupBy("doc_id", "_root").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r"))
+    return left.join(small(twice), "_key", "left_anti").select(docs.columns).unionByName(best.select("doc_id", "_r.*").select(docs.columns))
