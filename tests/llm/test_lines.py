@@ -10,7 +10,7 @@ BLANK = " \t\n\x0b\x0c\r"
 
 
 def near(a, b):
-    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 16:
+    if abs(len(a) - len(b)) > 1:
         return False
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
@@ -19,7 +19,7 @@ def near(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def expected(rows, hashes):
+def expected(rows, hashes, edits=1):
     """(text, lines, exact, near) of each row, in order."""
     first = {}
     for doc_id, text in set(rows):
@@ -36,7 +36,7 @@ def expected(rows, hashes):
             n += bool(s)
             if s and first[s] != place:
                 exact += 1
-            elif s and any(first[o] < place and o != s and near(o, s) for o in first):
+            elif s and edits and any(first[o] < place and o != s and near(o, s) for o in first):
                 close += 1
             else:
                 keep.append(line)
@@ -46,7 +46,7 @@ def expected(rows, hashes):
 
 def table(seed, n):
     rng = random.Random(seed)
-    base = ["".join(rng.choice("abcdé ") for _ in range(k)).strip() + "x" for k in (3, 10, 15, 16, 17, 20, 30, 31, 40, 41, 60, 100)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(k)).strip() + "x" for k in (0, 1, 3, 10, 15, 16, 17, 20, 30, 31, 40, 41, 60, 100)]
 
     def edited(s):
         i, kind, c = rng.randrange(len(s) + 1), rng.randrange(3), rng.choice("abcdéf😀")
@@ -71,6 +71,8 @@ def test_against_brute_force(docs, monkeypatch, window):
     rows = table(window, 120)
     df = docs(rows)
     hashes = {r.text: r.x for r in df.selectExpr("text", "xxhash64(text) AS x").distinct().collect()}
+    same = {(r.text, r._lines, r._exact) for r in line_dedup.dedup_lines(df, edits=0).collect() if not r._near}
+    assert {(t, n, e) for t, n, e, c in expected(rows, hashes) if not c} <= same and len(same) == len({(e[0], e[1], e[2]) for e in expected(rows, hashes, 0)})
     got = sorted(((r.doc_id, r.text, r._lines, r._exact, r._near) for r in line_dedup.dedup_lines(df).collect()), key=repr)
     want = sorted(((d, *e) for (d, _), e in zip(rows, expected(rows, hashes), strict=True)), key=repr)
     assert got == want and sum(w[4] for w in want) > 5
@@ -99,3 +101,11 @@ def test_empty(docs):
 def test_no_python(docs):
     plan = line_dedup.dedup_lines(docs([(1, "a line that is long enough"), (2, "a line that is long enouGh")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_user_columns_are_kept(docs):
+    df = docs([(1, "one line of a text\nand its own"), (2, "one line of a text\nand another one"), (None, "one line of a text"), (None, "unlike the rest")])
+    got = line_dedup.dedup_lines(df.withColumnRenamed("near", "_exact")).collect()
+    assert {(r.doc_id, r.text, r.first, r._key, r._ls, r._exact, r._exact_, r["a.b"].text, r.tags["a"]) for r in got} == {
+        (d, t, "first", "_key", "_ls", "near", n, 7, d) for d, t, n in ((1, "one line of a text\nand its own", 0), (2, "and another one", 1), (None, "", 1), (None, "unlike the rest", 0))
+    }

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 from tonewright.llm import chat, mixing, quality, toxicity, warc
-from tonewright.llm.storage import shared_dir
+from tonewright.llm.storage import fresh
+from tonewright.llm.text import row_key
 
 # Mixing
 
@@ -66,7 +67,11 @@ def test_mixing(docs, seed):
 def test_mix_of_documents(docs):
     df = docs([(i, "w " * (i % 7), "en", "ab"[i % 2], 0) for i in range(50)])
     out = mixing.mix(df)
-    assert out.columns == [*df.columns, "copies", "start"] and all(1 <= r.copies <= 3 for r in out.collect())
+    assert out.columns == [*df.columns, "copies_", "start_"] and all(1 <= r.copies_ <= 3 and r.copies == "copies" for r in out.collect())
+    plain = df.select("doc_id", "text", "source")
+    assert mixing.mix(plain).columns == [*plain.columns, "copies", "start"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
     assert mixing.mix(docs([])).count() == 0 and mixing.schedule(docs([])).count() == 0
     assert [r.taken for r in mixing.schedule(docs([(1, None), (2, "")])).collect()] == [0, 0]
 
@@ -93,11 +98,12 @@ def slow_chat(turns):
 
 def test_perspectives(spark):
     talk = {1: [(0, "system", "be kind"), (1, "ann b", "hi 😀"), (2, "bob", "yes\nno"), (2, "bob", "yes\nno"), (None, "ann b", "first"), (3, "cé", "")], 2: [(0, "system", "alone")], 3: [(k, "user" if k % 2 else "assistant", "t" * k) for k in range(700)]}
-    rows = [(c, t, r, x, 9) for c, turns in talk.items() for t, r, x in turns] + [(4, 1, None, None, 9), (4, 2, " ", "a <|im_end|> b <|im_start|>", 9), (None, 1, "x", "y", 9)]
+    rows = [(c, t, r, x, 9) for c, turns in talk.items() for t, r, x in turns] + [(4, 1, None, None, 9), (4, 2, " ", "a <|im_end|> b <|im_start|>", 9), (None, 1, "x", "y", 9), (None, 1, "x", "y", 9), (None, 2, "z", "y", 9)]
     talk[4] = [(1, "unknown", ""), (2, "unknown", "a < |im_end|> b < |im_start|>")]
-    talk[None] = [(1, "x", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, speaker int")
-    got = {(r.conv_id, r.speaker): (r.text, [tuple(m) for m in r["mask"]]) for r in chat.perspectives(df).collect()}
+    rows = chat.perspectives(df).collect()
+    assert sorted((r.speaker, r.text) for r in rows if r.conv_id is None) == sorted((w, x[0]) for w in "xxz" for x in slow_chat([(1, w, "y")]).values())
+    got = {(r.conv_id, r.speaker): (r.text, [tuple(m) for m in r["mask"]]) for r in rows if r.conv_id is not None}
     assert got == {(c, who): x for c, turns in talk.items() for who, x in slow_chat(turns).items()}
     plan = chat.perspectives(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -126,10 +132,20 @@ def test_archive(spark):
     assert warc.archive(spark, pages.limit(0)).count() == 0
 
 
+def test_bundles_are_read_in_parallel(spark):
+    rows = [(i, "u", f"{i} " * 400) for i in range(64)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc.write_bundles(pages, fresh(spark, "many"), bundle_bytes=4000)
+    bundles = index.select("bundle").distinct().count()
+    read = warc.read_bundles(index).selectExpr("page_id", "spark_partition_id() AS task").collect()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert bundles >= 16 and len({r.task for r in read}) == bundles and len(read) == 64
+
+
 def test_single_records_by_seek(spark):
     rows = [(i, f"http://{i}", random.Random(i).choice(("ab", "cd")) * (i * 37 % 900)) for i in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    index = warc.write_bundles(pages, f"{shared_dir(spark)}/one", bundle_bytes=20_000, frame_bytes=3000)
+    index = warc.write_bundles(pages, fresh(spark, "one"), bundle_bytes=20_000, frame_bytes=3000)
     places = index.collect()
     assert len(places) == 60 and len({p.bundle for p in places}) > 2 and max(p.frame for p in places) > 1
     for p in places:
@@ -202,6 +218,47 @@ def test_robust_estimates_match_a_search(spark):
     assert (ours[400:] > quality.CUTOFF).mean() > 0.95 and (ours[:400] <= quality.CUTOFF).mean() > 0.99
 
 
+def test_verdicts_match_a_search(docs):
+    """The same verdicts as exact quantiles from many starts, for every document that isn't near the cutoff."""
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    rows = []
+    for i in range(420):
+        lang, source = ("en", "a") if i < 200 else ("en", None) if i < 320 else (None, "b")
+        ws = [word(rng.choice((2, 4, 6, 9))) for _ in range(rng.choice((70, 120, 300)))]
+        odd = i % 12
+        if odd == 0:
+            ws = [w + "%%" for w in ws]
+        if odd == 1:
+            ws = [w * 4 for w in ws]
+        if odd == 2:
+            ws += ["and so", "on it", "goes"] * 9
+        rows.append((i, "\n".join(" ".join(ws[k : k + 8]) for k in range(0, len(ws), 8)), lang, source, 0))
+    got = {r.doc_id: r for r in quality.verdicts(docs(rows)).collect()}
+    wrong = near = gone = 0
+    for group in ({i for i, *_ in rows[:200]}, {i for i, *_ in rows[200:320]}, {i for i, *_ in rows[320:]}):
+        own = sorted(i for i in group if not got[i].base_failed)
+        c = np.array([slow_counts(rows[i][1]) for i in own], float)
+        n, chars = c[:, 0], c[:, 1]
+        x = np.column_stack([np.log1p(n), np.log(chars / n), np.sqrt(c[:, 2] / chars), np.log1p(c[:, 3]), c[:, 4] / n])
+        m, s = slow_mcd(x)
+        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+        for i, far in zip(own, d, strict=True):
+            close = 0.6 < far / quality.CUTOFF < 1.7
+            near += close
+            gone += not got[i].kept
+            wrong += got[i].kept != (far <= quality.CUTOFF) and not close
+    assert wrong == 0 and near < 25 and gone > 40
+
+
+def test_nulls_in_other_columns_have_verdicts_of_their_own(docs):
+    """lang and source swapped about a null don't share a verdict."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "en", None, 0), (1, text, None, "en", 0), (1, None, "en", None, 0)]
+    keys = {tuple(r.k) for r in docs(rows).select(row_key("doc_id", "text", "lang", "source").alias("k")).collect()}
+    assert len(keys) == 3
+
+
 def test_verdicts(docs):
     rng = random.Random(5)
     prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.choice((2, 4, 6, 9)))) for _ in range(n))
@@ -261,6 +318,30 @@ def test_without_labels(spark, docs):
     assert toxicity.score(docs([]), toxicity.train(docs([]), none)).count() == 0
 
 
+def test_risk_against_plain_loops():
+    """The risk and its gradient, by the definition and by differences."""
+    rng = np.random.default_rng(3)
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0)):  # the second one drives the negative part below zero
+        zp, zu = rng.normal(shift, 1, 7), rng.normal(-shift, 1, 11)
+        loss = lambda z, y: math.log1p(math.exp(-y * z))
+        negative = lambda p, u: sum(loss(z, -1) for z in u) / len(u) - prior * sum(loss(z, -1) for z in p) / len(p)
+        whole = lambda p, u: prior * sum(loss(z, 1) for z in p) / len(p) + negative(p, u)
+        got, gp, gu = toxicity.risk(zp, zu, prior)
+        assert math.isclose(got, negative(zp, zu), rel_tol=1e-9) and (got < 0) == (shift > 0)
+        aim = (lambda p, u: -0.5 * negative(p, u)) if got < 0 else whole
+        for g, which in ((gp, 0), (gu, 1)):
+            for k in range(len(g)):
+                step = [zp.copy(), zu.copy()]
+                step[which][k] += 1e-6
+                assert math.isclose(g[k], (aim(*step) - aim(zp, zu)) / 1e-6, abs_tol=1e-5)
+
+
+def test_training_is_bounded_by_words(spark, docs):
+    rows, labels, _ = toxic_rows()
+    df, known = docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.train(df, known, most_words=2000) != toxicity.train(df, known) == toxicity.train(df, known, most_words=10**7)
+
+
 def test_risk_ignores_toxic_rows_among_the_unlabelled():
     """Half of the toxic rows hide in the unlabelled sample; they must still score high."""
     rng = np.random.default_rng(1)

@@ -9,9 +9,11 @@ Turns are ordered by their number (null first), then by role and text, so ties a
 have a definite order; each row is a turn. A null or blank role is the speaker "unknown"; a null
 text is empty. Marks of the format inside texts are broken up by a space, so a text can't forge a
 turn. Names keep letters, digits, - and _; other characters become _. A conversation of system
-turns only has no participant and gives no row; an empty table gives none. Rows with a null conv_id
-are one conversation. Other columns are ignored. One rendering is one row, so a conversation's turns
-meet in one place; nothing else does. No Python runs on the executors.
+turns only has no participant and gives no row; an empty table gives none. A row with a null conv_id
+is a conversation of its own, as nothing tells which rows belong together. Long texts and dialogues
+are rendered whole. Other columns are ignored. One rendering is one row, so a conversation's turns
+meet in one place; nothing else does, and a conversation is as long as its rendering may be. No
+Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ def _safe(text: Column) -> Column:
 def perspectives(turns: DataFrame) -> DataFrame:
     """conv_id, speaker, n_turns, n_learnt, text and mask, an array of (start, end)."""
     role = trimmed(F.col("role"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     talk = turns.select(
-        "conv_id", F.struct("turn", F.when(role == "", "unknown").otherwise(role).alias("role"), _safe(F.col("text")).alias("text")).alias("t")
+        "conv_id", alone.alias("alone"), F.struct("turn", F.when(role == "", "unknown").otherwise(role).alias("role"), _safe(F.col("text")).alias("text")).alias("t")
     )
-    talk = talk.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    talk = talk.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     speakers = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM))
     each = talk.select("conv_id", "turns", F.explode(speakers).alias("speaker"))
 

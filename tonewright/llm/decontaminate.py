@@ -1,21 +1,28 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Both sides are lower-cased runs of letters and digits, in shingles of five words (an item of fewer
-words is one shingle of its own width). An item is contained in a document if at least 80 % of its
-distinct shingles occur anywhere in it.
-
-A plain MinHash of a long document tells nothing about a short passage in it, as their Jaccard
-similarity goes to zero. The sketch is therefore one-sided: items are partitioned by size, and of
-each item the k shingles with the least hashes are its sketch, k = n - ceil(0.8 n) + 1 for n
-shingles. A document that lacks all k has less than 80 % of the item, so a document with any of
-them is a candidate and no contained item is missed, at any document length. Candidates are
-verified by exact containment over all of the item's shingles, in the same pass; texts are never
-shuffled.
-
-The items are dealt by hash into blocks of a bounded size; each block is one pass over the
-documents, so a benchmark of any size keeps memory bounded. Null or wordless items have no shingle
-and match nothing; null or empty documents contain nothing. Rows that repeat an item_id, or a
-doc_id, are items or documents of their own, and their equal results are returned as often.
+Both sides are lower-cased runs of letters and digits, in shingles of five words. An item is
+contained in a document if at least `least` (80 %) of its distinct shingles occur anywhere in it.
+An item of fewer than five words has no shingle: a word or two in a long text are no leak. Such an
+item is contained only in a document that has its words and no others.
+
+Items are partitioned by size: partition u holds those of u/2 < n <= u distinct shingles, u a power
+of two. The Jaccard similarity of an item and a whole long document would vanish, so for each
+partition documents are searched in windows of its size: blocks of u shingles, two next to each
+other, so a passage of up to u shingles lies in one window whole. For a partition, containment of
+least turns into a Jaccard similarity of an item and its window of s = c / (2u + n - c) or more, c
+being ceil(least n) (after Zhu et al., 2016). Both are signed by as many MinHash values as make the
+chance that none agrees, (1 - s) to their number, less than `miss`; a window that agrees with an item
+in any value makes their document a candidate. The values of a block are minima of those of its
+halves, so each shingle is hashed once for all partitions. Candidates are verified by exact
+containment over the whole document, so there is no false result; a passage in several pieces is
+found by its largest ones, and only shingles strewn singly over a long document may be missed.
+
+The work is one pass over the documents, which are never shuffled. Items are signed by Spark, dealt
+into blocks of a bounded size and written to the shared folder; a task reads the block from there,
+and a benchmark of more than one block takes a pass for each. Null or wordless items match nothing;
+null or empty documents contain nothing; long texts are searched whole. Rows that repeat an item_id,
+or a doc_id, are items or documents of their own, and their equal results are returned as often.
+Empty tables give an empty result. Other columns are ignored, or kept as they are by `without_leaks`.
 """
 
 from __future__ import annotations
@@ -24,103 +31,269 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.llm.storage import settled, small
+from tonewright.llm.storage import fresh, settled, small
+from tonewright.llm.text import row_key
 
 WIDTH = 5
 LEAST = 0.8
-BLOCK_CHARS = 8_000_000
+MISS = 1e-6
+BLOCK_CHARS = 4_000_000
 TOKEN = re.compile(r"\w+")
-SCHEMA = "doc_id long, item_id long, item_shingles long, shared long, containment double"
+FOUND = "item_id long, item_shingles long, shared long, containment double"
+ITEM = "item_id long, text string, size int, partition int, signature binary"
+MOST_WORDS = 1 << 20
+MOST_WORDS_AT_ONCE = 1 << 17
+MOST_VALUES = 1 << 22
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > MOST_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hash_of = _WordHashes()
 
 
 def shingles(ws: list[str], width: int) -> list[str]:
     return [" ".join(ws[i : i + width]) for i in range(len(ws) - width + 1)]
 
 
-def sketch_size(n: int, least: float) -> int:
-    return n - math.ceil(round(least * n, 9)) + 1
+def shingle_hashes(ws: list[str], width: int) -> np.ndarray:
+    """64-bit hashes of all shingles, in order."""
+    n = len(ws) - width + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    word = np.fromiter((_hash_of[w] for w in ws), np.uint64, len(ws))
+    h = word[:n].copy()
+    for k in range(1, width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + word[k : k + n]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
-class Index:
-    """A block of items: sketches by shingle, and the sizes that verify."""
+def needed(n: int, least: float) -> int:
+    """Shingles that a document holds at least, of an item of n."""
+    return math.ceil(round(least * n, 9))
 
-    def __init__(self, items: list[tuple[int | None, str]], width: int, least: float):
-        import xxhash
 
-        self.least = least
-        self.items: list[tuple[int | None, int, set[str]]] = []
-        #: By width of shingle: shingle -> items whose sketch holds it.
-        self.sketches: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+def partition_of(n: int) -> int:
+    """The least power of two that is not below n."""
+    return 1 << (n - 1).bit_length()
+
+
+def n_hashes(u: int, least: float, miss: float) -> int:
+    """MinHash values that partition u takes."""
+    if u == 1:
+        return 1  # an item of one shingle is a window of its own
+    s = min(needed(n, least) / (2 * u + n - needed(n, least)) for n in range(u // 2 + 1, u + 1))
+    return math.ceil(math.log(miss) / math.log(1 - s))
+
+
+@lru_cache
+def _constants(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of k hash functions; the first ones are the same for every k."""
+    draw = np.random.default_rng(2016).integers(0, 1 << 63, (1024, 2), dtype=np.uint64)[:k]
+    return draw[:, 0], draw[:, 1] * np.uint64(2) + np.uint64(1)
+
+
+def signature(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k MinHash values of a set of shingle hashes."""
+    flip, factor = _constants(k)
+    return ((hashes[None, :] ^ flip[:, None]) * factor[:, None]).min(1)
+
+
+def block_minima(hashes: np.ndarray, starts: np.ndarray, flip: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """The least value of each block, one row a hash function."""
+    out = np.empty((len(flip), len(starts)), np.uint64)
+    for k in range(len(flip)):
+        out[k] = np.minimum.reduceat((hashes ^ flip[k]) * factor[k], starts)
+    return out
+
+
+def block_starts(lengths: np.ndarray, u: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where blocks of u begin in rows of these lengths set end to end, and the row of each block."""
+    n = -(-lengths // u)
+    row = np.repeat(np.arange(len(lengths)), n)
+    return (np.cumsum(lengths) - lengths)[row] + u * (np.arange(n.sum()) - (np.cumsum(n) - n)[row]), row
+
+
+class Partition:
+    """The MinHash values of a block's items of one partition, sorted, with their items."""
+
+    def __init__(self, values: np.ndarray, items: np.ndarray):
+        self.n_hashes = values.shape[1]
+        order = np.argsort(values, axis=None)
+        self.values, self.items = values.ravel()[order], np.repeat(items, self.n_hashes)[order]
+        self.shift = np.uint64(64 - max(12, (8 * len(order)).bit_length()))
+        self.tops = np.zeros(1 << int(64 - self.shift), bool)  # a value that isn't here by its top bits is none of them
+        self.tops[self.values >> self.shift] = True
+
+    def hits(self, windows: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) of equal values; windows has a row for a hash function."""
+        at = np.nonzero(self.tops[windows >> self.shift])
+        found = windows[at]
+        low, high = np.searchsorted(self.values, found), np.searchsorted(self.values, found, "right")
+        for i in np.flatnonzero(high > low).tolist():
+            for k in self.items[low[i] : high[i]].tolist():
+                yield int(at[1][i]), k
+
+
+class Index:
+    """A block of items: MinHash values by partition, and the texts that verify."""
+
+    def __init__(self, items: list[tuple[int | None, str, int, int, bytes]], width: int, least: float):
+        self.width, self.least, self.items = width, least, items
+        #: Items of fewer words than a shingle.
+        self.short: dict[str, list[int]] = defaultdict(list)
+        self._own: dict[int, set[str]] = {}
         by_size = defaultdict(list)
-        for item_id, text in items:
-            ws = TOKEN.findall(text.lower())
-            if ws:
-                w = min(width, len(ws))
-                own = set(shingles(ws, w))
-                by_size[len(own)].append((item_id, w, own))
-        for n, part in sorted(by_size.items()):  # one sketch size for a partition
-            k = sketch_size(n, least)
-            for item in part:
-                for s in sorted(item[2], key=lambda s: (xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")), s))[:k]:
-                    self.sketches[item[1]][s].append(len(self.items))
-                self.items.append(item)
-        self.sketches = {w: dict(x) for w, x in self.sketches.items()}
-
-    def search(self, text: str | None) -> list[tuple[int | None, int, int]]:
-        """(item_id, shingles, shared) of the items that the text contains."""
-        ws = TOKEN.findall((text or "").lower())
-        found = []
-        for w, sketch in self.sketches.items():
-            have = set(shingles(ws, w))
-            hits = {i for s in have & sketch.keys() for i in sketch[s]}
-            for i in sorted(hits):
-                item_id, _, own = self.items[i]
+        for k, (_, text, _, u, _) in enumerate(items):
+            if u:
+                by_size[u].append(k)
+            else:
+                self.short[" ".join(TOKEN.findall(text.lower()))].append(k)
+        self.parts = {u: Partition(np.stack([np.frombuffer(items[k][4], np.uint64) for k in own]), np.array(own)) for u, own in sorted(by_size.items())}
+
+    def shingles_of(self, k: int) -> set[str]:
+        if k not in self._own:
+            self._own[k] = set(shingles(TOKEN.findall(self.items[k][1].lower()), self.width))
+        return self._own[k]
+
+    def candidates(self, docs: list[np.ndarray]) -> list[set[int]]:
+        """For each document, by the hashes of its shingles: items one of whose MinHash values is that of a window."""
+        hits: list[set[int]] = [set() for _ in docs]
+        lengths = np.array([len(h) for h in docs], np.int64)
+        if not lengths.sum() or not self.parts:
+            return hits
+        hashes, unit = np.concatenate(docs), min(self.parts)
+        starts, row = block_starts(lengths, unit)
+        flip, factor = _constants(max(p.n_hashes for p in self.parts.values()))
+        step = max(1, MOST_VALUES // len(starts))
+        for first in range(0, len(flip), step):
+            own = slice(first, first + step)
+            minima = block_minima(hashes, starts, flip[own], factor[own])
+            n_units = np.bincount(row, minlength=len(docs))
+            for u, part in self.parts.items():
+                rows_left = part.n_hashes - first
+                if rows_left <= 0:
+                    continue
+                at, of = (np.arange(len(starts)), row) if u == unit else block_starts(n_units, u // unit)
+                blocks = minima[:rows_left] if u == unit else np.minimum.reduceat(minima[:rows_left], at, axis=1)
+                if u > 1 and len(of) > 1:
+                    blocks, one = blocks.copy(), of[1:] == of[:-1]
+                    blocks[:, :-1] = np.where(one, np.minimum(blocks[:, :-1], blocks[:, 1:]), blocks[:, :-1])
+                for window, k in part.hits(blocks):
+                    hits[of[window]].add(k)
+        return hits
+
+    def search(self, texts: list[str | None]) -> list[list[tuple[int | None, int, int]]]:
+        """For each text, (item_id, shingles, shared) of the items that it contains."""
+        found: list[list[tuple[int | None, int, int]]] = []
+        pending: list[list[str]] = []
+        for text in texts:
+            pending.append(TOKEN.findall((text or "").lower()))
+            if sum(map(len, pending)) >= MOST_WORDS_AT_ONCE:
+                found += self._search(pending)
+                pending = []
+        return found + self._search(pending)
+
+    def _search(self, docs: list[list[str]]) -> list[list[tuple[int | None, int, int]]]:
+        out = []
+        for ws, hits in zip(docs, self.candidates([shingle_hashes(ws, self.width) for ws in docs]), strict=True):
+            if 0 < len(ws) < self.width:
+                out.append([(self.items[k][0], 1, 1) for k in self.short.get(" ".join(ws), ())])
+                continue
+            found, have = [], set(shingles(ws, self.width)) if hits else set()
+            for k in sorted(hits):
+                own = self.shingles_of(k)
                 shared = len(own & have)
-                if shared >= math.ceil(round(self.least * len(own), 9)):
-                    found.append((item_id, len(own), shared))
-        return found
+                if shared >= needed(len(own), self.least):
+                    found.append((self.items[k][0], len(own), shared))
+            out.append(found)
+        return out
+
+
+def signed_items(items: DataFrame, width: int = WIDTH, least: float = LEAST, miss: float = MISS) -> DataFrame:
+    """item_id, text, size (distinct shingles), partition (0: fewer words than a shingle) and signature of the items with a word."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ws = TOKEN.findall(text.lower())
+                hashes = np.unique(shingle_hashes(ws, width))
+                n = len(hashes)
+                if ws:
+                    u = partition_of(n) if n else 0
+                    rows.append((item_id, text, n, u, signature(hashes, n_hashes(u, least, miss)).tobytes() if n else b""))
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+            names = [x.split()[0] for x in ITEM.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    return items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, ITEM)
 
 
-def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, item_shingles, shared, containment of every pair at least that contained."""
-    items = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = chars // block_chars + 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+@lru_cache(maxsize=1)
+def _loaded(where: str, width: int, least: float) -> Index:
+    """The index of a block; a worker keeps the last one that it read."""
+    fs, path = pafs.FileSystem.from_uri(where)
+    rows = pads.dataset(path, filesystem=fs, format="parquet").to_table([x.split()[0] for x in ITEM.split(", ")])
+    return Index(list(zip(*[c.to_pylist() for c in rows.columns], strict=True)), width, least)
+
+
+def _pairs(docs: DataFrame, items: DataFrame, keys: list[str], width: int = WIDTH, least: float = LEAST, block_chars: int = BLOCK_CHARS, miss: float = MISS) -> DataFrame:
+    """keys, item_id, item_shingles, shared, containment of every document (keys, text) and item at least that contained."""
+    spark = docs.sparkSession
+    signed = settled(signed_items(items, width, least, miss), "items")
+    own = docs.select(*keys).schema.simpleString().removeprefix("struct<").removesuffix(">")
+    schema = f"{own}, {FOUND}"
+    if not signed.settled_rows:
+        return spark.createDataFrame([], schema)
+    blocks = 1 + signed.agg(F.sum(F.length("text"))).first()[0] // block_chars
+    where = fresh(spark, "benchmark")
+    # Dealt by the settled rows' numbers, so items of one text don't land together.
+    dealt = signed.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    dealt.repartition("block").write.partitionBy("block").parquet(where)
     found = []
-    for block in range(blocks):
-        own = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+    for (block,) in spark.read.parquet(where).select("block").distinct().collect():  # one number for each block_chars
 
-        def scan(batches: Iterator[pa.RecordBatch], index: Index = Index(own, width, least)) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], path: str = f"{where}/block={block}") -> Iterator[pa.RecordBatch]:
+            index = _loaded(path, width, least)
             for batch in batches:
-                rows = [
-                    (doc_id, i, n, shared, shared / n)
-                    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-                    for i, n, shared in index.search(text.as_py())
-                ]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                names = ("doc_id", "item_id", "item_shingles", "shared", "containment")
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], list(names))
-
-        found.append(texts.mapInArrow(scan, SCHEMA))
+                rows = [(at, *hit) for at, hits in enumerate(index.search(batch.column(len(keys)).to_pylist())) for hit in hits]
+                at, item, size, shared = (pa.array([r[k] for r in rows], pa.int64()) for k in range(4))
+                share = pa.array([r[3] / r[2] for r in rows], pa.float64())
+                names = [*keys, *[x.split()[0] for x in FOUND.split(", ")]]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(len(keys))], item, size, shared, share], names)
+
+        found.append(docs.select(*keys, "text").mapInArrow(scan, schema))
     return reduce(DataFrame.unionByName, found)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item. Rows of one doc_id (null too) leave together if one of them leaks."""
-    leaks = settled(contained(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(small(leaks), docs.doc_id.eqNullSafe(leaks.doc_id), "left_anti")
+def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST, block_chars: int = BLOCK_CHARS, miss: float = MISS) -> DataFrame:
+    """doc_id, item_id, item_shingles, shared, containment of every pair at least that contained; an item of under width words counts as one shingle."""
+    return _pairs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, ["doc_id"], width, least, block_chars, miss)
 
 
-def rows_without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows whose own text contains no item, whatever other rows share their doc_id (null too)."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = contained(keyed.select(F.col("_key").alias("doc_id"), "text"), items)
-    leaks = settled(found.select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return keyed.join(small(leaks), "_key", "left_anti").select(docs.columns)
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows whose own text contains no item, with all columns, whatever other rows share their doc_id (null too)."""
+    key = row_key("text")
+    found = _pairs(docs.select(key["k1"].alias("k1"), key["k2"].alias("k2"), "text"), items, ["k1", "k2"])
+    leaks = settled(found.select("k1", "k2").distinct(), "leaks")
+    rows = docs.select(F.struct("*").alias("row"), key["k1"].alias("k1"), key["k2"].alias("k2"))
+    return rows.join(small(leaks), ["k1", "k2"], "left_anti").select("row.*")

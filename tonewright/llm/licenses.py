@@ -1,7 +1,6 @@
 """Licence scans: Dice coefficients of word bigrams against licence templates.
 
-Texts are normalised (lower case, runs of letters, digits and dots, copyright lines and numbers of
-years left out). The units compared are the whole text, each paragraph (between blank lines) and
+Texts are normalised (lower case, runs of letters, digits and dots, copyright lines left out). The units compared are the whole text, each paragraph (between blank lines) and
 each line. A unit of n distinct bigrams can reach a Dice coefficient t with a template of m only if
 2 min(n, m) >= t (n + m), so for each unit only templates of m in [n t / (2 - t), n (2 - t) / t]
 are compared, and a unit outside all of these is not even cut into bigrams.
@@ -18,9 +17,11 @@ unit_no is the number of words before it in the text. As a copyright line can go
 be a wrapped line of one, windows are of the text both without and with these lines. By the same bound a text without any of some
 words of the templates holds no match, and isn't cut at all.
 
-Null and empty texts match nothing, and a unit of one word has no bigram. Of equal coefficients the
-first template by name wins. Repeated rows give equal rows. Other columns are ignored. The built-in
-templates are the notices and short licences below; pass others by name to scan for them.
+Null and empty texts match nothing, and a unit of one word has no bigram. Long texts are scanned
+whole, in time linear in their length but for the sweeps. Of equal coefficients the first template by
+name wins. Repeated rows give equal rows; an empty table gives none. Other columns are ignored. The
+built-in templates are the notices and short licences below; pass others by name, such as the full
+texts of the GPL, to scan for them.
 """
 
 from __future__ import annotations
@@ -74,6 +75,31 @@ ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (
 PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
 AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
 ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written
+permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "boost": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the
+software and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the
+Software and this entire statement, including the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless
+such copies or derivative works are solely in the form of machine-executable object code generated by a source
+language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO
+EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY,
+WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE.""",
     "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors
 be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
 software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to
@@ -93,17 +119,57 @@ License for more details. You should have received a copy of the GNU General Pub
 If not, see https://www.gnu.org/licenses/.""",
     "gpl-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-line-2": "This work is licensed under the GNU GPL v3.",
+    "gpl-2-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the
+GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
+option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+License for more details. You should have received a copy of the GNU General Public License along with this program;
+if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "gpl-2-line": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2-line-2": "This work is licensed under the GNU GPL v2.",
+    "lgpl-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the
+GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+(at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser
+General Public License for more details. You should have received a copy of the GNU Lesser General Public License
+along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston,
+MA 02110-1301 USA.""",
+    "lgpl-3-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the
+GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser
+General Public License for more details. You should have received a copy of the GNU Lesser General Public License
+along with this program. If not, see https://www.gnu.org/licenses/.""",
+    "lgpl-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the
+GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero
+General Public License for more details. You should have received a copy of the GNU Affero General Public License
+along with this program. If not, see https://www.gnu.org/licenses/.""",
+    "agpl-line": "This work is licensed under the GNU Affero General Public License, version 3.",
     "cc-by-line": "Licensed under CC BY 4.0.",
     "cc-by-sa-line": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nd-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-line": "Licensed under CC BY-NC-ND 4.0.",
+    "cc0-line": "Released under CC0 1.0 Universal.",
+    "cc0": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to
+this work. This work is published under the CC0 1.0 Universal Public Domain Dedication.""",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "epl-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public
+License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.""",
     "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
 MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
-COPYRIGHT = re.compile(r"(?im)^\W*(copyright\b|\(c\)|©).*$")
+COPYRIGHT = re.compile(r"(?im)^[^\w\n]*(?:copyright\b|\(c\)|©).*$")
 TOKEN = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 SCHEMA = "doc_id long, license string, dice double, unit string, unit_no long, unit_words long"
 

@@ -3,8 +3,8 @@
 Lines are compared without white space at their ends. Of equal lines, and of lines within one
 character edit (insertion, deletion or substitution), the earliest is kept; a line goes if any
 earlier line is within the bound, even if that one goes too. Earlier is by doc_id (null last), then
-by a hash of the text, then by the line's number. Lines under 16 characters are compared for
-equality only. Lines without a word stay: they carry no content.
+by hashes of the text, then by the line's number. Lines without a word stay: they carry no content.
+The bound is the parameter edits, one or none (equal lines only); it holds for lines of any length.
 
 The neighbourhood of a line are its variants with one character deleted, each as a hashed key.
 Substitutions meet at the same deleted position in lines of one length; an insertion meets the
@@ -18,9 +18,10 @@ and again until short: only windows around which another line agrees are kept, a
 those of the windows, keyed with all that is around them. These filters lose none and their work is
 linear in a line's length.
 
-Null and empty texts have no lines with words. Repeated rows (same doc_id and text) get the same
-lines: both keep what one would. Other columns are kept or ignored as said below. No Python runs on
-the executors.
+Null and empty texts have no lines with words and stay as they are; an empty table gives an empty
+one. Long texts and lines are like any other: nothing is cut off. Ties can't be, as no two lines have
+one place; repeated rows (same doc_id and text) get the same lines: both keep what one would. Other
+columns, of whatever name or type, are kept as they are. No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.llm.storage import settled, small
-from tonewright.llm.text import lines, trimmed
+from tonewright.llm.text import free_names, lines, trimmed
 
-FUZZY_FROM = 16
 COARSE, FINE = 2, 16
 WINDOW = 256
 
@@ -40,19 +40,24 @@ def _h(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 
 
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("g"), text)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), no, line, a and b (hash of the line), n; lines with a word."""
+    """doc_id, h and g (hashes of the text), no, line, a and b (hashes of the line), n; lines with a word."""
+    h, g = _text_hashes(F.col("text"))
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(lines(F.col("text"))).alias("no", "raw"))
-        .select("doc_id", "h", "no", trimmed(F.col("raw")).alias("line"))
+        docs.select("doc_id", h.alias("h"), g.alias("g"), F.posexplode(lines(F.col("text"))).alias("no", "raw"))
+        .select("doc_id", "h", "g", "no", trimmed(F.col("raw")).alias("line"))
         .filter("line <> ''")
-        .select("doc_id", "h", "no", "line", _h(F.lit("a"), F.col("line")).alias("a"), _h(F.lit("b"), F.col("line")).alias("b"), F.length("line").alias("n"))
+        .select("doc_id", "h", "g", "no", "line", _h(F.lit("a"), F.col("line")).alias("a"), _h(F.lit("b"), F.col("line")).alias("b"), F.length("line").alias("n"))
     )
 
 
 def _place() -> Column:
     """Sorts by doc_id, null last."""
-    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "no")
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g", "no")
 
 
 def _cut(n: Column, number: Column, m: int) -> tuple[Column, Column, Column]:
@@ -76,7 +81,7 @@ def _piece(text: Column, n: Column, number: Column, m: int, *outer: Column) -> C
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """a, b, n, p (place of the first) and keys of the distinct lines with a word; settled."""
     each = _lines(docs)
-    keys = F.when(F.col("n") >= FUZZY_FROM, F.array(*[_piece(F.col("line"), F.col("n"), F.lit(k), COARSE) for k in range(2 * COARSE)]))
+    keys = F.array(*[_piece(F.col("line"), F.col("n"), F.lit(k), COARSE) for k in range(2 * COARSE)])
     return settled(
         each.withColumn("keys", keys).groupBy("a", "b").agg(F.min(_place()).alias("p"), F.first("n").alias("n"), F.first("keys").alias("keys")),
         "distinct-lines",
@@ -158,16 +163,18 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     )
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h, first (numbers of the lines that are the earliest of their equals) and kept (those without an earlier neighbour too).
+def kept_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
+    """doc_id, h, g, first (numbers of the lines that are the earliest of their equals) and kept (those without an earlier neighbour too).
 
     One row for each text that has any; the earliest lines are the groups' minima, so no line is joined back to a hot group.
     """
+    if edits not in (0, 1):
+        raise ValueError("the bound is no edit or one edit")
     first = distinct_lines(docs)
-    near = settled(near_lines(docs, first), "near-lines")
-    marked = first.join(small(near.withColumn("near", F.lit(True))), ["a", "b"], "left")
+    near = settled((near_lines(docs, first) if edits else first.select("a", "b").limit(0)).withColumn("near", F.lit(True)), "near-lines")
+    marked = first.join(small(near), ["a", "b"], "left")
     return (
-        marked.groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("h"))
+        marked.groupBy(*[F.col(f"p.{c}").alias(c) for c in ("doc_id", "h", "g")])
         .agg(
             F.sort_array(F.collect_list("p.no")).alias("first"),
             F.sort_array(F.collect_list(F.when(F.col("near").isNull(), F.col("p.no")))).alias("kept"),
@@ -175,30 +182,46 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with all columns, their text without the lines that go; adds _lines, _exact and _near, the numbers of lines with a word, of repeats and of neighbours gone."""
-    kept = kept_lines(docs).select(F.xxhash64("doc_id", "h").alias("_key"), "first", "kept")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.xxhash64("text")))
-    joined = keyed.join(kept, "_key", "left").withColumn("_ls", lines(F.col("text")))
+def _deduped(docs: DataFrame, edits: int) -> DataFrame:
+    """row (all of the document's columns), text (of what stays), lines, exact and near (counts)."""
+    kept = kept_lines(docs, edits).select(F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h"), F.col("g").alias("k_g"), "first", "kept")
+    h, g = _text_hashes(F.col("row.text"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("k_doc")) & (h == F.col("k_h")) & (g == F.col("k_g"))
     none = F.array().cast("array<int>")
-    stays = F.coalesce("kept", none)
-    wordy = F.filter(F.sequence(F.lit(0), F.size("_ls") - 1), lambda i: trimmed(F.get("_ls", i)) != "")
-    joined = joined.withColumns({"_wordy": wordy, "_stays": stays, "_firsts": F.coalesce("first", none)})
-    gone = F.array_except("_wordy", "_stays")
-    joined = joined.withColumn("_gone", gone)
-    rest = F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), F.col("_gone"))
-    left = F.array_join(F.transform(rest, lambda i: F.get("_ls", i)), "\n")
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(left)
+    joined = docs.select(F.struct("*").alias("row")).join(kept, same, "left")
+    joined = joined.select("row", lines(F.col("row.text")).alias("all"), F.coalesce("kept", none).alias("stays"), F.coalesce("first", none).alias("firsts"))
+    wordy = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: trimmed(F.get("all", i)) != "")
+    joined = joined.withColumn("wordy", wordy).withColumn("gone", F.array_except("wordy", "stays"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
+    left = F.array_join(F.transform(rest, lambda i: F.get("all", i)), "\n")
     return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.size("_wordy").alias("_lines"),
-        (F.size("_wordy") - F.size("_firsts")).alias("_exact"),
-        (F.size("_firsts") - F.size("_stays")).alias("_near"),
+        "row",
+        F.when(F.size("gone") == 0, F.col("row.text")).otherwise(left).alias("text"),
+        F.size("wordy").alias("lines"),
+        (F.size("wordy") - F.size("firsts")).alias("exact"),
+        (F.size("firsts") - F.size("stays")).alias("near"),
     )
 
 
-def corpus_without_repeats(docs: DataFrame) -> DataFrame:
+def _columns(docs: DataFrame, **new: Column) -> list[Column]:
+    """The document's columns out of row, some of them replaced."""
+    return [new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
+def dedup_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
+    """The documents with all columns, their text without the lines that go; adds the numbers of lines with a word, of repeats and of neighbours gone.
+
+    These are named _lines, _exact and _near, with underscores appended where a column has that name.
+    """
+    names = free_names(docs.columns, "_lines", "_exact", "_near")
+    counts = [F.col(c).alias(n) for c, n in zip(("lines", "exact", "near"), names, strict=True)]
+    return _deduped(docs, edits).select(*_columns(docs, text=F.col("text")), *counts)
+
+
+def corpus_without_repeats(docs: DataFrame, edits: int = 1) -> DataFrame:
     """The documents with repeats of lines gone; those that lose their last line with a word go. n_chars follows the text."""
-    clean = dedup_lines(docs).filter("_lines = 0 OR _lines > _exact + _near")
-    n = F.when(F.col("_exact") + F.col("_near") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return clean.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    clean = _deduped(docs, edits).filter("lines = 0 OR lines > exact + near")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("exact") + F.col("near") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return clean.select(*_columns(docs, **new))

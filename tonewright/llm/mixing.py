@@ -1,14 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled by a hash of their id and queued, as often as the source may
+Each source's documents are shuffled by a hash of their id and text and queued, as often as the source may
 repeat. A document's virtual finish time is the number of its source's tokens up to its end, over
 the source's target; the mix takes documents in order of this time, over all sources, up to the
 total budget. At time 1 every source has its target.
 
 Both running sums (within a source, and over all) are taken in buckets: the sums of the buckets
 before, then a window within the bucket. A source with a third of the rows is spread over all its
-buckets. Tokens are words; a null text has none. Null is a source of its own, last in order.
-Repeated rows count as documents of their own. An empty table gives an empty mix.
+buckets, as are documents without an id or of one id; only rows equal in id and text share a hash.
+Tokens are words, of whole texts however long; a null text has none. Null is a source of its own,
+last in order. Ties of the finish time go by source, hash, id and size. Repeated rows count as
+documents of their own. An empty table gives an empty mix. Other columns, of whatever name or type,
+are kept as they are by `mix`. Sources take one task, with one row each. No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.llm.storage import settled
-from tonewright.llm.text import n_words
+from tonewright.llm.text import free_names, n_words
 
 PER_UNIT = 4096
 
@@ -46,18 +49,20 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), repeats: int =
     return per.select("source", "source_size", "rank", F.least(cap.cast("double"), F.col("level") * F.col("w")).alias("target"), F.sum("source_size").over(every).alias("budget"))
 
 
-def schedule(docs: DataFrame, row_id: str | None = None, repeats: int = 3, seed: str = "") -> DataFrame:
-    """rid, doc_id, size, source_size, target, taken and start, the virtual finish time of the first copy.
+def schedule(docs: DataFrame, repeats: int = 3, seed: str = "") -> DataFrame:
+    """rid, doc_id, size, source_size, target, taken, copies and start, the virtual finish time of the first copy; rid numbers the rows."""
+    return _scheduled(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", "text"), repeats, seed)
 
-    row_id names a column that tells the rows apart; without it rows are numbered.
-    """
+
+def _scheduled(docs: DataFrame, repeats: int, seed: str) -> DataFrame:
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     sizes = settled(
         docs.select(
-            (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid"),
+            "rid",
             "doc_id",
             "source",
             n_words(F.col("text")).alias("size"),
-            F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("key"),
+            F.md5(F.concat(F.lit(seed), part("doc_id"), F.lit(":"), part("text")).cast("binary")).alias("key"),
         ),
         "sizes",
     )
@@ -88,13 +93,20 @@ def schedule(docs: DataFrame, row_id: str | None = None, repeats: int = 3, seed:
     spans = spans.select("at", "s", (F.sum("s").over(Window.orderBy("at")) - F.col("s")).alias("ahead"))
     placed = queued.join(F.broadcast(spans), "at")
     edge = (F.col("ahead") < F.col("budget")) & (F.col("ahead") + F.col("s") > F.col("budget"))
-    # Spans before and after the one where the budget ends are in or out as a whole; only that one is sorted.
-    in_span = Window.partitionBy("at").orderBy("finish", "rank", "key", "doc_id", "size", "copy", "rid")
-    within = F.sum("size").over(in_span.rowsBetween(Window.unboundedPreceding, 0))
+    # Spans before and after the one where the budget ends are in or out as a whole; that one is cut as finely
+    # again, and only the part of it where the budget ends is sorted.
+    fine = placed.filter(edge).withColumn("part", F.floor((F.least("finish", F.lit(4.0)) * PER_UNIT - F.col("at")) * PER_UNIT))
+    parts = fine.groupBy("part").agg(F.sum("size").alias("p"), F.first("ahead").alias("span_ahead"))  # at most PER_UNIT rows
+    parts = parts.select("part", "p", (F.col("span_ahead") + F.sum("p").over(Window.orderBy("part")) - F.col("p")).alias("part_ahead"))
+    fine = fine.join(F.broadcast(parts), "part")
+    cut = (F.col("part_ahead") < F.col("budget")) & (F.col("part_ahead") + F.col("p") > F.col("budget"))
+    in_part = Window.partitionBy("part").orderBy("finish", "rank", "key", "doc_id", "size", "copy", "rid")
+    within = F.sum("size").over(in_part.rowsBetween(Window.unboundedPreceding, 0))
     mixed = (
         placed.filter(~edge)
         .withColumn("in", F.col("ahead") + F.col("s") <= F.col("budget"))
-        .unionByName(placed.filter(edge).withColumn("in", F.col("ahead") + within <= F.col("budget")))
+        .unionByName(fine.filter(~cut).withColumn("in", F.col("part_ahead") + F.col("p") <= F.col("budget")).select(*placed.columns, "in"))
+        .unionByName(fine.filter(cut).withColumn("in", F.col("part_ahead") + within <= F.col("budget")).select(*placed.columns, "in"))
     )
     return mixed.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"),
@@ -108,7 +120,12 @@ def schedule(docs: DataFrame, row_id: str | None = None, repeats: int = 3, seed:
 
 
 def mix(docs: DataFrame, repeats: int = 3, seed: str = "") -> DataFrame:
-    """The documents that the mix takes, with copies (1 to repeats, how often) and start, their place in the order."""
-    rows = settled(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    plan = schedule(rows, "_rid", repeats, seed).filter("copies > 0").select(F.col("rid").alias("_rid"), "copies", "start")
-    return rows.join(plan, "_rid").drop("_rid").repartitionByRange(F.col("start")).sortWithinPartitions("start")
+    """The documents that the mix takes, with copies (1 to repeats, how often) and start, their place in the order.
+
+    If documents have columns of these names, the new ones get underscores at their ends.
+    """
+    copies, start = free_names(docs.columns, "copies", "start")
+    rows = settled(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
+    plan = _scheduled(rows.select("rid", "row.doc_id", "row.source", "row.text"), repeats, seed).filter("copies > 0").select("rid", "copies", "start")
+    mixed = rows.join(plan, "rid").repartitionByRange(F.col("start")).sortWithinPartitions("start")
+    return mixed.select("row.*", F.col("copies").alias(copies), F.col("start").alias(start))

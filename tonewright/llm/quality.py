@@ -8,14 +8,16 @@ document goes if its squared Mahalanobis distance exceeds CUTOFF.
 The MCD is found by concentration steps from two deterministic starts (medians with median
 deviations; means and variances of vectors squashed by tanh), for all groups at once: group sums
 are partial aggregates, the step's quantile comes from a histogram of log2 distances with 32 bins an octave, so
-no group is gathered in a task and reruns agree. The start with the lesser determinant wins, then
-one reweighted step follows. Scatter gets a floor for each statistic, as many are constant for
-clean text.
+no group is gathered in a task and reruns agree. Steps end for a group when its determinant does not
+fall any more. The start with the lesser determinant wins, then one reweighted step follows. Scatter
+gets a floor for each statistic (FLOORS), as many are constant for clean text; a text outlies by one
+statistic alone only if it is more than sqrt(CUTOFF) = 7.1 floors away.
 
 Groups of under 60 documents are estimated with all others of their language that are too small, then
 with all of these together; if these are under 60 too, all are kept. Null texts are empty; a null
-lang or source is a group like any other. Repeated rows count as documents of their own and get the
-same verdict. Other columns are ignored. No Python runs on the executors.
+lang or source is a group like any other. Long texts are counted whole. Repeated rows count as
+documents of their own and get the same verdict, as do ties. An empty table gives an empty one. Other
+columns are ignored by `verdicts` and kept as they are by `keep_good`. No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.llm.storage import settled, small
-from tonewright.llm.text import lines, trimmed, words
+from tonewright.llm.text import lines, row_key, trimmed, words
 
 #: Of a chi-square variable with five degrees of freedom: tail 1e-9.
 CUTOFF = 51.0
@@ -33,20 +35,24 @@ SHARE = 0.75
 CONSISTENCY = 1.41
 REWEIGHT_AT = 12.83
 REWEIGHT_BY = 1.055
-STEPS = 3
+#: A step that lessens the log of the determinant's root by no more is the last.
+SETTLED = 1e-3
 LEAST_ROWS = 60
 BINS = 32
 
 NAMES = ("x0", "x1", "x2", "x3", "x4")
+#: What a clean text of 200 words may differ by: a tenth of its words, the sampling error of its mean word length (0.5 / sqrt(200)),
+#: one symbol in a thousand characters (sqrt), not half a line said again (ln 2 = 0.69), one line of eight words said again (16 / 200).
 FLOORS = (0.10, 0.04, 0.03, 0.30, 0.08)
 P = len(NAMES)
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long)."""
-    text = F.coalesce("text", F.lit(""))
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long), after all of their columns."""
+    text = F.coalesce("row.text", F.lit(""))
     wordy = lambda x: trimmed(x) != ""
-    step = docs.withColumn("_w", words(F.col("text"))).withColumn("_l", F.filter(lines(F.col("text")), wordy))
+    step = docs.select(F.struct("*").alias("row"))
+    step = step.withColumn("_w", words(F.col("row.text"))).withColumn("_l", F.filter(lines(F.col("row.text")), wordy))
     hashes = F.when(F.size("_w") < 3, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.greatest(F.size("_w") - 3, F.lit(0))),
@@ -67,14 +73,15 @@ def counts(docs: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda acc, x: acc + x,
     )
-    return step.select(
-        *docs.columns,
+    step = step.select(
+        "row",
         F.size("_w").cast("long").alias("n_words"),
         F.aggregate("_w", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
     )
+    return step.select("row.*", *step.columns[1:])
 
 
 def _vector() -> list[Column]:
@@ -88,24 +95,24 @@ def _vector() -> list[Column]:
     ]
 
 
-def _groups(fit: DataFrame) -> DataFrame:
+def _groups(fit: DataFrame, least_rows: int) -> DataFrame:
     """g_lang, g_source -> g, the group that estimates them; null g: too few rows."""
     size = fit.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"))
-    few = F.when(F.col("n") < LEAST_ROWS, F.col("n")).otherwise(0)
+    few = F.when(F.col("n") < least_rows, F.col("n")).otherwise(0)
     size = size.withColumn("of_lang", F.sum(few).over(Window.partitionBy("g_lang")))
-    rest = F.when(F.col("of_lang") < LEAST_ROWS, few).otherwise(0)
+    rest = F.when(F.col("of_lang") < least_rows, few).otherwise(0)
     size = size.withColumn("of_all", F.sum(rest).over(Window.partitionBy()))  # one row a group
     return size.select(
         "g_lang",
         "g_source",
-        F.when(F.col("n") >= LEAST_ROWS, F.xxhash64(F.lit("own"), "g_lang", "g_source"))
-        .when(F.col("of_lang") >= LEAST_ROWS, F.xxhash64(F.lit("lang"), "g_lang"))
-        .when(F.col("of_all") >= LEAST_ROWS, F.xxhash64(F.lit("all")))
+        F.when(F.col("n") >= least_rows, F.xxhash64(F.lit("own"), "g_lang", "g_source"))
+        .when(F.col("of_lang") >= least_rows, F.xxhash64(F.lit("lang"), "g_lang"))
+        .when(F.col("of_all") >= least_rows, F.xxhash64(F.lit("all")))
         .alias("g"),
     )
 
 
-def _with_scatter(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
+def _with_scatter(moments: DataFrame, keys: list[str], factor: float, floors: tuple[float, ...]) -> DataFrame:
     """keys, m (location), k (inverse Cholesky factor, by row) and logdet, from n, s_i and s_ij."""
     cur = moments
     for i in range(P):
@@ -113,13 +120,13 @@ def _with_scatter(moments: DataFrame, keys: list[str], factor: float) -> DataFra
     for i in range(P):
         for j in range(i + 1):
             c = (F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor
-            cur = cur.withColumn(f"c{i}_{j}", c + (FLOORS[i] ** 2 if i == j else 0.0))
+            cur = cur.withColumn(f"c{i}_{j}", c + (floors[i] ** 2 if i == j else 0.0))
     for i in range(P):
         for j in range(i + 1):
             rest = F.col(f"c{i}_{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            cur = cur.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 100))) if i == j else rest / F.col(f"l{j}_{j}"))
+            cur = cur.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 100))) if i == j else rest / F.col(f"l{j}_{j}"))
     for i in range(P):
         for j in range(i + 1):
             if i == j:
@@ -168,7 +175,7 @@ def _at_share(rows: DataFrame, keys: list[str], share: float, bins: Column) -> D
     )
 
 
-def _first(rows: DataFrame) -> DataFrame:
+def _first(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     """g, start, m, k of both starts."""
     long = rows.select("g", F.posexplode(F.array(*NAMES)).alias("d", "v"))
     fine = F.floor(F.col("v") * 256)
@@ -177,7 +184,7 @@ def _first(rows: DataFrame) -> DataFrame:
     dev = _at_share(off, ["g", "d"], 0.5, F.floor(F.col("off") * 256))
     robust = settled(
         mid.join(dev, ["g", "d"])
-        .withColumn("sd", F.greatest((F.col("edge") + 0.5) / 256 * 1.4826, F.element_at(F.array(*[F.lit(f) for f in FLOORS]), F.col("d") + 1)))
+        .withColumn("sd", F.greatest((F.col("edge") + 0.5) / 256 * 1.4826, F.element_at(F.array(*[F.lit(f) for f in floors]), F.col("d") + 1)))
         .groupBy("g")
         .agg(F.sort_array(F.collect_list(F.struct("d", "mid", "sd"))).alias("r")),  # five of each group
         "robust",
@@ -191,26 +198,41 @@ def _first(rows: DataFrame) -> DataFrame:
     )
     joined = rows.join(small(robust), "g")
     squashed = joined.select("g", *[(part(i, "mid") + part(i, "sd") * F.tanh((F.col(c) - part(i, "mid")) / part(i, "sd"))).alias(c) for i, c in enumerate(NAMES)])
-    tanh = _with_scatter(_moments(squashed, ["g"]), ["g"], 1.0).select("g", F.lit(1).alias("start"), "m", "k")
+    tanh = _with_scatter(_moments(squashed, ["g"]), ["g"], 1.0, floors).select("g", F.lit(1).alias("start"), "m", "k")
     return flat.unionByName(tanh)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """g, m, k of each group of rows (g, x0 to x4)."""
+def estimates(rows: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """g, m, k of each group of rows (g, x0 to x4).
+
+    Concentration steps go on, from each start, for the groups whose determinant the last step lessened.
+    """
     x = [F.col(c) for c in NAMES]
-    now = settled(_first(rows), "starts")
-    for _ in range(STEPS):
+    now, best = settled(_first(rows, floors), "starts"), None
+    while now.settled_rows:
         near = rows.join(small(now), "g").withColumn("_bin", F.floor(F.log2(distance(x) + 1e-6) * BINS))
         edge = settled(_at_share(near, ["g", "start"], SHARE, F.col("_bin")), "edges")
         core = near.join(small(edge), ["g", "start"]).filter("_bin <= edge")
-        now = settled(_with_scatter(_moments(core, ["g", "start"]), ["g", "start"], CONSISTENCY), "scatter")
-    best = now.groupBy("g").agg(F.min_by(F.struct("m", "k"), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
-    core = rows.join(small(settled(best, "mcd")), "g").filter(distance(x) <= REWEIGHT_AT)
-    return settled(_with_scatter(_moments(core, ["g"]), ["g"], REWEIGHT_BY).select("g", "m", "k"), "reweighted")
+        step = settled(_with_scatter(_moments(core, ["g", "start"]), ["g", "start"], CONSISTENCY, floors), "scatter")
+        if best is None:
+            now = best = step
+            continue
+        was = best.select("g", "start", F.col("logdet").alias("was"))
+        now = settled(step.join(small(was), ["g", "start"]).filter(F.col("logdet") < F.col("was") - SETTLED).drop("was"), "lesser")
+        if now.settled_rows:
+            best = settled(best.join(small(now.select("g", "start")), ["g", "start"], "left_anti").unionByName(now), "least")
+    if best is None:  # no rows at all
+        return now.select("g", "m", "k")
+    mcd = best.groupBy("g").agg(F.min_by(F.struct("m", "k"), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
+    core = rows.join(small(settled(mcd, "mcd")), "g").filter(distance(x) <= REWEIGHT_AT)
+    return settled(_with_scatter(_moments(core, ["g"]), ["g"], REWEIGHT_BY, floors).select("g", "m", "k"), "reweighted")
+
 
+def verdicts(docs: DataFrame, *carry: str, cutoff: float = CUTOFF, floors: tuple[float, ...] = FLOORS, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """doc_id, the base counts, base_failed, distance (null where the base fails or there is no estimate) and kept.
 
-def verdicts(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, the base counts, base_failed, distance (null where the base fails or there is no estimate) and kept."""
+    cutoff is of the squared distance, floors of the statistics' deviations, least_rows of a group with estimates of its own.
+    """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     each = settled(
         counts(docs.select("doc_id", "text", "lang", "source", *carry)).select(
@@ -227,12 +249,12 @@ def verdicts(docs: DataFrame, *carry: str) -> DataFrame:
         ),
         "counts",
     )
-    groups = settled(_groups(each.filter("NOT base_failed")), "groups")
+    groups = settled(_groups(each.filter("NOT base_failed"), least_rows), "groups")
     placed = each.join(small(groups), ["g_lang", "g_source"], "left").select(
         *[c for c in each.columns if not c.startswith("g_")], "g", *[v.alias(c) for c, v in zip(NAMES, _vector(), strict=True)]
     )
     fit = placed.filter("NOT base_failed AND g IS NOT NULL").select("g", *NAMES)
-    found = placed.join(small(estimates(fit)), "g", "left")
+    found = placed.join(small(estimates(fit, floors)), "g", "left")
     d = F.when(~F.col("base_failed"), distance([F.col(c) for c in NAMES]))
     return found.withColumn("distance", d).select(
         "doc_id",
@@ -244,12 +266,13 @@ def verdicts(docs: DataFrame, *carry: str) -> DataFrame:
         "n_repeat_words",
         "base_failed",
         "distance",
-        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"),
+        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all columns."""
-    gone = verdicts(docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source")), "_key").filter("NOT kept").select("_key").distinct()
-    gone = settled(gone, "rejected")
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source")).join(small(gone), "_key", "left_anti").select(docs.columns)
+    key = row_key("doc_id", "text", "lang", "source")
+    judged = verdicts(docs.select("doc_id", "text", "lang", "source", key.alias("key")), "key")
+    gone = settled(judged.filter("NOT kept").select("key").distinct(), "rejected")
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(small(gone), "key", "left_anti").select("row.*")

@@ -10,8 +10,13 @@ one of these, all that meet in one differ in at most two, and a star to the leas
 the components whole. That exact way is for d = 2, the default.
 
 Nulls, empty texts and texts of white space have fingerprint zero and link like any other. A text
-of fewer words than a shingle is one shingle. Repeated rows get the same result. A null doc_id
-never names a component unless all its rows have none. Other columns are ignored.
+of fewer words than a shingle is one shingle; a long one is hashed whole, in chunks of bounded memory.
+A bit set in half of the hashes is 0. Repeated rows get the same result. A null doc_id never names a
+component unless all its rows have none. An empty table gives an empty one. Other columns are
+ignored, or kept as they are where documents are returned.
+
+A key or a fingerprint with very many rows is never collected: counts and minima are partial
+aggregates. Rows only meet by key again in joins to one row a key, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tonewright.llm.graph import components
 from tonewright.llm.storage import settled, small
+from tonewright.llm.text import row_key
 
 CHUNK = 1 << 16
 
@@ -131,17 +137,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the least doc_id of their group, with all columns; rows without a doc_id stay.
 
     Rows are told apart by doc_id and text, so unlike texts that share a doc_id are documents of their own.
-    Of rows of one doc_id in one group the first by text stays.
+    Of rows of one doc_id in one group the first by text stays, of equal texts the first by a hash of all columns.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = settled(_grouped(keyed, 3, 5, 32, "_key").filter("doc_id IS NOT NULL").select("doc_id", "_key", "root", "component_id"), "grouped")
-    gone = settled(found.filter("doc_id <> component_id").select("_key").distinct(), "copies")
+    key = row_key("doc_id", "text")
+    whole = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    found = settled(_grouped(docs.select("doc_id", "text", key.alias("key")), 3, 5, 32, "key").filter("doc_id IS NOT NULL").select("doc_id", "key", "root", "component_id"), "grouped")
+    gone = settled(found.filter("doc_id <> component_id").select("key").distinct(), "copies")
     first = found.filter("doc_id = component_id")
     groups = settled(first.groupBy("doc_id", "root").count().filter("count > 1").select("doc_id", "root"), "repeats")
-    left = keyed.join(small(gone), "_key", "left_anti")
+    left = whole.join(small(gone), "key", "left_anti")
     if groups.isEmpty():
-        return left.select(docs.columns)
-    twice = settled(first.join(small(groups), ["doc_id", "root"]).select("_key", F.col("root").alias("_root")).distinct(), "repeated-rows")
-    again = left.join(small(twice), "_key")
-    best = again.groupBy("doc_id", "_root").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r"))
-    return left.join(small(twice), "_key", "left_anti").select(docs.columns).unionByName(best.select("doc_id", "_r.*").select(docs.columns))
+        return left.select("row.*")
+    twice = settled(first.join(small(groups), ["doc_id", "root"]).select("key", "root").distinct(), "repeated-rows")
+    again = settled(left.join(small(twice), "key").withColumn("no", F.monotonically_increasing_id()), "repeated-documents")
+    order = F.struct(F.col("row.text").isNotNull(), F.col("row.text"), F.xxhash64(F.to_json("row")), F.col("no"))
+    best = settled(again.groupBy(F.col("row.doc_id").alias("id"), "root").agg(F.min_by("no", order).alias("no")).select("no"), "one-of-repeats")
+    once = again.join(small(best), "no", "left_semi").select("row.*")
+    return left.join(small(twice), "key", "left_anti").select("row.*").unionAll(once)

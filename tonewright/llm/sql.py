@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tonewright.llm import chat, secret_scan
-from tonewright.llm.line_dedup import FUZZY_FROM
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -12,11 +11,10 @@ LINES = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM doc
 raw AS (SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM d),
 lines AS (SELECT rid, doc_id, no, raw, trim(raw, {BLANKS}) AS line FROM raw),
 firsts AS (SELECT line, length(line) AS n, min((doc_id, no)) AS p FROM lines WHERE line <> '' GROUP BY line),
-long AS (SELECT line, n, p FROM firsts WHERE n >= {FUZZY_FROM}),
-cuts AS (SELECT line, n, p, unnest(range(1, n + 1)) AS i FROM long),
+cuts AS (SELECT line, n, p, unnest(range(1, n + 1)) AS i FROM firsts),
 variants AS (SELECT p, n, i, hash(left(line, (i - 1)::INT) || substr(line, (i + 1)::INT)) AS v FROM cuts),
 same AS (SELECT p, min(p) OVER (PARTITION BY n, i, v) AS w FROM variants),
-inserted AS (SELECT long.p AS a, variants.p AS b FROM long JOIN variants ON variants.n = long.n + 1 AND variants.v = hash(long.line)),
+inserted AS (SELECT f.p AS a, v.p AS b FROM firsts f JOIN variants v ON v.n = f.n + 1 AND v.v = hash(f.line)),
 near AS (SELECT p FROM same WHERE w < p UNION SELECT greatest(a, b) FROM inserted),
 marked AS (SELECT l.*, l.line <> '' AND (l.doc_id, l.no) <> f.p AS again, l.line <> '' AND (l.doc_id, l.no) = f.p AND x.p IS NOT NULL AS close
   FROM lines l LEFT JOIN firsts f ON f.line = l.line LEFT JOIN near x ON x.p = (l.doc_id, l.no))
@@ -25,14 +23,13 @@ SELECT any_value(m.doc_id) AS doc_id, count(*) FILTER (line <> '') AS n_lines, c
 
 TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 LEAKS = f"""WITH i AS (SELECT row_number() OVER () AS irow, item_id, {TOKENS} AS ws FROM benchmark),
-iw AS (SELECT irow, item_id, ws, least(5, len(ws)) AS w FROM i WHERE len(ws) > 0),
-ishingles AS (SELECT DISTINCT irow, item_id, w, array_to_string(list_slice(ws, k, k + w - 1), ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - w + 2)) AS k FROM iw)),
+ishingles AS (SELECT DISTINCT irow, item_id, array_to_string(list_slice(ws, k, k + 4), ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS k FROM i WHERE len(ws) >= 5)),
 items AS (SELECT irow, count(*) AS n FROM ishingles GROUP BY irow),
 d AS (SELECT row_number() OVER () AS drow, doc_id, {TOKENS} AS ws FROM documents),
-dw AS (SELECT drow, doc_id, ws, w FROM d, (SELECT DISTINCT w FROM iw) WHERE len(ws) >= w),
-dshingles AS (SELECT DISTINCT drow, doc_id, w, array_to_string(list_slice(ws, k, k + w - 1), ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - w + 2)) AS k FROM dw)),
-hits AS (SELECT drow, doc_id, irow, item_id, count(*) AS shared FROM dshingles JOIN ishingles USING (w, s) GROUP BY ALL)
-SELECT doc_id, item_id, n AS item_shingles, shared, shared / n AS containment FROM hits JOIN items USING (irow) WHERE shared >= ceil(round(0.8 * n, 9))"""
+dshingles AS (SELECT DISTINCT drow, doc_id, array_to_string(list_slice(ws, k, k + 4), ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS k FROM d WHERE len(ws) >= 5)),
+hits AS (SELECT drow, doc_id, irow, item_id, count(*) AS shared FROM dshingles JOIN ishingles USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS item_shingles, shared, shared / n AS containment FROM hits JOIN items USING (irow) WHERE shared >= ceil(round(0.8 * n, 9))
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM d JOIN i ON d.ws = i.ws WHERE len(i.ws) BETWEEN 1 AND 4"""
 
 
 def _spans(k: int, rule: secret_scan.Rule) -> str:
@@ -56,16 +53,16 @@ SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind_no = {k})
 FROM d LEFT JOIN spans USING (rid) GROUP BY rid"""
 
 
-CHAT = f"""WITH t AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(role, ''), {BLANKS}) = '' THEN 'unknown' ELSE trim(role, {BLANKS}) END AS role,
+CHAT = f"""WITH t AS (SELECT conv_id, coalesce(conv_id::VARCHAR, 'row ' || row_number() OVER ()) AS own, turn, CASE WHEN trim(coalesce(role, ''), {BLANKS}) = '' THEN 'unknown' ELSE trim(role, {BLANKS}) END AS role,
   replace(replace(coalesce(text, ''), '{chat.START}', '< |im_start|>'), '{chat.END}', '< |im_end|>') AS text FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS no FROM t),
-p AS (SELECT s.conv_id, s.speaker, o.no, o.role = s.speaker AS own, '{chat.START}' || CASE WHEN o.role = 'system' THEN 'system' WHEN o.role = s.speaker THEN 'assistant' ELSE 'user name=' || regexp_replace(o.role, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') END || chr(10) AS head,
-  o.text || '{chat.END}' AS body FROM (SELECT DISTINCT conv_id, role AS speaker FROM o WHERE role <> 'system') s JOIN o ON o.conv_id IS NOT DISTINCT FROM s.conv_id),
-q AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY no) - length(body) - 1 AS start FROM p)
-SELECT conv_id, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_learnt, string_agg(head || body || chr(10), '' ORDER BY no) AS text,
-  coalesce(string_agg(start::BIGINT || ':' || (start + length(body))::BIGINT, ',' ORDER BY no) FILTER (own), '') AS mask FROM q GROUP BY conv_id, speaker"""
+o AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY turn NULLS FIRST, role, text) AS no FROM t),
+p AS (SELECT o.conv_id, s.own AS talk, s.speaker, o.no, o.role = s.speaker AS own, '{chat.START}' || CASE WHEN o.role = 'system' THEN 'system' WHEN o.role = s.speaker THEN 'assistant' ELSE 'user name=' || regexp_replace(o.role, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') END || chr(10) AS head,
+  o.text || '{chat.END}' AS body FROM (SELECT DISTINCT own, role AS speaker FROM o WHERE role <> 'system') s JOIN o USING (own)),
+q AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY talk, speaker ORDER BY no) - length(body) - 1 AS start FROM p)
+SELECT any_value(conv_id) AS conv_id, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_learnt, string_agg(head || body || chr(10), '' ORDER BY no) AS text,
+  coalesce(string_agg(start::BIGINT || ':' || (start + length(body))::BIGINT, ',' ORDER BY no) FILTER (own), '') AS mask FROM q GROUP BY talk, speaker"""
 
-MIX = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+MIX = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 w AS (SELECT *, [1, 2, 3][((rank - 1) % 3 + 1)::INT] AS w FROM r),

@@ -14,6 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores at its end as no column of that name (in any case) needs."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(*columns: str) -> Column:
+    """Two hashes of 64 bits that name a row by its columns; a null is told from any value, whichever column has it."""
+    parts = [p for c in columns for p in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *parts).alias("k2"))
+
+
 def trimmed(text: Column) -> Column:
     """The text without ASCII white space at its ends; null is empty."""
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

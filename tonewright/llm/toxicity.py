@@ -2,7 +2,7 @@
 
 A linear classifier over the words of the whole text, trained with numpy from two bounded samples:
 confirmed toxic documents (at most MOST_TOXIC) and unlabelled text (at most MOST_UNLABELLED), both
-the first of the training fold by a hash of their id. The risk is that of Kiryo et al. (2017): with
+the first of the training fold by a hash of their id, and at most MOST_WORDS distinct words of each. The risk is that of Kiryo et al. (2017): with
 class prior p, p times the loss of the toxic sample as positive, plus the loss of the unlabelled
 sample as negative less p times that of the toxic sample as negative; when that difference falls
 below zero, its gradient is followed upwards, so the classifier can't fit the toxic rows hidden in
@@ -11,8 +11,9 @@ the unlabelled text. The prior is counted over all labels of the training fold.
 One task trains on the samples' word hashes and only the weights reach the driver; scoring is a pass over all whole texts. Words are
 lower-cased and lose punctuation at their ends; a word counts once a document. Null and empty texts
 have no words and get the score of the constant term. Duplicate labels of a document: toxic if any
-is. A null label is none. Without a toxic label in the training fold every score is 0. Repeated rows
-score alike. Other columns are ignored.
+is. A null label is none, and a document without an id trains nothing. Without a toxic label in the
+training fold every score is 0. Long texts are scored whole. Repeated rows score alike, as do ties; an
+empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonewright.llm.storage import settled
+
 MOST_TOXIC = 4000
 MOST_UNLABELLED = 12000
+MOST_WORDS = 4_000_000
 LEAST_DOCS = 4
 FOLDS = 5
 EDGES = ".,;:!?\"'()[]{}<>|*$%&#-_"
@@ -59,6 +63,15 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float, beta: float = 0.0, gamma: float = 0.5) -> tuple[float, np.ndarray, np.ndarray]:
+    """The part of the risk for negatives, and the step's gradient by the scores of toxic and unlabelled rows."""
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    gp_neg, gu_neg = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    if negative < -beta:
+        return negative, -gamma * gp_neg, -gamma * gu_neg
+    return negative, gp_neg - prior * sigmoid(-zp) / len(zp), gu_neg
+
+
 def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, l1: float | None = None, beta: float = 0.0, gamma: float = 0.5) -> tuple[dict[int, float], float]:
     """Weights by word hash, and the constant, that minimise the non-negative risk with the logistic loss.
 
@@ -72,12 +85,7 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, ste
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         zp, zu = p.dot(w) + b, u.dot(w) + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_neg, gu_neg = -prior * sigmoid(zp) / p.n, sigmoid(zu) / u.n
-        if negative < -beta:
-            gp, gu = -gamma * gp_neg, -gamma * gu_neg
-        else:
-            gp, gu = gp_neg - prior * sigmoid(-zp) / p.n, gu_neg
+        _, gp, gu = risk(zp, zu, prior, beta, gamma)
         g, gb = p.back(gp) + u.back(gu), gp.sum() + gu.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -95,8 +103,11 @@ def in_fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED) -> tuple[dict[int, float], float]:
-    """Weights and constant; no weight and -inf if no label of the training fold is toxic."""
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED, most_words: int = MOST_WORDS) -> tuple[dict[int, float], float]:
+    """Weights and constant; no weight and -inf if no label of the training fold is toxic.
+
+    Of each sample the documents are used, by the hash, up to most_words distinct words of theirs in all.
+    """
     known = (
         labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
         .filter(in_fold(F.col("doc_id")) != 0)
@@ -124,7 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
         yield pa.RecordBatch.from_arrays(columns, ["id", "weight"])
 
     hashed = sample.select("kind", "doc_id", F.pandas_udf(lambda s: pd.Series([word_ids(t) for t in s], dtype=object), "array<long>")("text").alias("ids"))
-    found = hashed.repartition(1).mapInArrow(learn, "id long, weight double").collect()  # one task for the bounded sample
+    hashed = settled(hashed, "sample")
+    upto = F.sum(F.size("ids")).over(Window.partitionBy("kind").orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id"))
+    fit_in = hashed.select("kind", "doc_id", upto.alias("upto")).filter(F.col("upto") <= most_words).select("kind", "doc_id")
+    used = hashed.join(F.broadcast(fit_in), ["kind", "doc_id"]).select("kind", "doc_id", "ids")  # as many rows as the bounds
+    found = used.repartition(1).mapInArrow(learn, "id long, weight double").collect()  # one task for the bounded sample
     return {r.id: r.weight for r in found if r.id is not None}, next((r.weight for r in found if r.id is None), float("-inf"))
 
 

@@ -8,8 +8,11 @@ decompressed frame, so one record is read by decompressing one frame.
 Of records with equal payloads of at least `least` bytes, that with the largest page_id is a
 response and the others are revisits that name it; smaller payloads are always responses. If rows
 repeat that largest page_id with the same payload, all of these are responses. A null page_id is
-below any other. A null html or url is empty. An empty table gives no bundle and an empty index.
-Other columns are ignored.
+below any other. A null html or url is empty. A long payload is a frame of its own, held once in
+memory. An empty table gives no bundle and an empty index. Other columns are ignored.
+
+A payload that very many pages share is counted by partial aggregates; the pages that revisit it
+meet its one row in a join that adaptive execution splits.
 
 Bundles are written to the shared folder through Arrow's file systems, under names that no other
 attempt of the task uses; the index lists those of the attempts that succeeded, so a lost executor
@@ -29,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.storage import settled, shared_dir
+from tonewright.llm.storage import fresh, settled
 
 # Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
@@ -37,6 +40,7 @@ SEEKABLE = 0x8F92EAB1
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+MOST_TASKS = 20_000
 INDEX = "page_id long, bundle string, frame long, frame_at long, frame_bytes long, within long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -207,7 +211,7 @@ def write_bundles(pages: DataFrame, where: str, least: int = 1000, date: str = "
 
 def read_bundles(index: DataFrame) -> DataFrame:
     """The records of every bundle in the index, read frame by frame through the seek tables."""
-    frames = index.groupBy("bundle").agg(F.count("*").alias("n"))
+    frames = settled(index.groupBy("bundle").agg(F.count("*").alias("n")), "bundles")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -228,7 +232,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
                 if seen != n:
                     raise ValueError(f"{bundle} has {seen} records; the index has {n}")
 
-    return frames.repartition("bundle").mapInArrow(read, RECORD)
+    tasks = min(max(frames.count(), 1), MOST_TASKS)  # dealt in turn, and an explicit number isn't coalesced
+    return frames.repartition(tasks).mapInArrow(read, RECORD)
 
 
 def read_record(place) -> tuple[dict[str, str], bytes]:
@@ -244,5 +249,5 @@ def read_record(place) -> tuple[dict[str, str], bytes]:
 
 def archive(spark: SparkSession, pages: DataFrame, least: int = 1000) -> DataFrame:
     """Writes the pages as bundles in the shared folder and returns the records read back."""
-    index = write_bundles(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", least)
+    index = write_bundles(pages, fresh(spark, "warc"), least)
     return read_bundles(index)
