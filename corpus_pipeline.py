@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tonewright.llm import decontaminate, line_dedup, mixing, quality, simhash
-from tonewright.llm.storage import shared_dir
+from tonewright.llm.storage import delete, fresh, passing
 from tonewright.llm.text import table
 
 
@@ -25,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.rows_without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +39,20 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources to target weights", mixture),
 ]
 
-#: SQL can't express the robust estimates or the fingerprints; tests hold run() against plain Python.
+#: SQL can't express the robust estimates or the fingerprints; a test holds run() against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage settles, and what it read, is deleted when its result is written; the result by storage.forget."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}"
-        out.write.parquet(path)
+        path = fresh(spark, f"pipeline-{k}")
+        with passing(spark, f"stage-{k}"):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if read:
+            delete(spark, read)
+        read = path
     return docs
