@@ -62,7 +62,7 @@ def test_recall_of_the_minhash_search():
     texts = [" ".join(word() for _ in range(n)) for n in (5, 6, 7, 9, 12, 17, 24, 33, 40, 65, 90, 129, 200, 400) for _ in range(6)]
     items = []
     for i, t in enumerate(texts):
-        hashes = decontaminate.np.unique(decontaminate.shingle_hashes(t.split(), 5))
+        hashes = decontaminate.np.unique(decontaminate.shingle_hashes(decontaminate.word_hashes(t), 5))
         u = decontaminate.partition_of(len(hashes))
         items.append((i, t, len(hashes), u, decontaminate.signature(hashes, decontaminate.n_hashes(u, 0.8, decontaminate.MISS)).tobytes()))
     index = decontaminate.Index(items, 5, 0.8)
@@ -80,7 +80,7 @@ def test_recall_of_the_minhash_search():
             if slow_containment([(0, " ".join(doc))], [(i, t)]):
                 docs.append(doc)
                 due.append(i)
-    hits = index.candidates([decontaminate.shingle_hashes(d, 5) for d in docs])
+    hits = index.candidates([decontaminate.shingle_hashes(decontaminate.word_hashes(" ".join(d)), 5) for d in docs])
     recall = sum(i in h for i, h in zip(due, hits)) / len(due)
     assert len(due) > 180 and recall >= 0.99  # 0.9 is asked for
     others = sum(len(h - {i}) for i, h in zip(due, hits)) / len(due)
@@ -94,6 +94,19 @@ def test_clean_rows_stay_beside_leaks_of_their_id(spark, docs):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(None, "clean one"), (None, None), (4, "clean two"), (4, "clean two")], key=repr)
 
 
+def test_words_by_array_are_those_of_the_pattern(monkeypatch):
+    texts = ["", "one", "Ünï_cödé x²½ ٣四 ᾼ", "a.b,c\n\nd--e", "😀e\u0301 \ud800x", "z" * 5000 + " y", " lead and trail "]
+    low = [t.lower() for t in texts]
+    hashes, counts = decontaminate._words(low)
+    words = [w for t in low for w in TOKEN.findall(t)]
+    assert counts.tolist() == [len(TOKEN.findall(t)) for t in low] and len(hashes) == len(words)
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    long = " ".join(words * 50)
+    whole = decontaminate.word_hashes(long)
+    monkeypatch.setattr(decontaminate, "MOST_CHARS", 700)
+    assert (decontaminate.word_hashes(long) == whole).all() and whole.tolist() == hashes.tolist() * 50
+
+
 def test_containment_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained(docs([(1, "a b")]), none).count() == 0

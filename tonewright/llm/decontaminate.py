@@ -47,43 +47,72 @@ WIDTH = 5
 LEAST = 0.8
 MISS = 1e-6
 BLOCK_CHARS = 4_000_000
-TOKEN = re.compile(r"\w+")
+TOKEN, BETWEEN = re.compile(r"\w+"), re.compile(r"\W")
 FOUND = "item_id long, item_shingles long, shared long, containment double"
 ITEM = "item_id long, text string, size int, partition int, signature binary"
-MOST_WORDS = 1 << 20
-MOST_WORDS_AT_ONCE = 1 << 17
+# Characters, and MinHash values, that a task works on at once.
+MOST_CHARS = 1 << 19
 MOST_VALUES = 1 << 22
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
+# Odd multipliers.
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+
+@lru_cache
+def _word_characters() -> np.ndarray:
+    """Whether each code point is one of TOKEN."""
+    return np.fromiter((chr(c).isalnum() or chr(c) == "_" for c in range(0x110000)), bool, 0x110000)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(32))
 
 
-_hash_of = _WordHashes()
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (in lower case), and how many each text has."""
+    code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    inside = _word_characters()[code]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    counts = np.diff(np.searchsorted(np.flatnonzero(begins), ends), prepend=0)
+    own = code[inside].astype(np.uint64)
+    first = np.flatnonzero(begins[inside])
+    if not len(first):
+        return np.zeros(0, np.uint64), counts
+    at = np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own)))
+    powers = np.cumprod(np.full(int(at.max()) + 1, BASE))
+    return _mixed(np.add.reduceat((own + np.uint64(1)) * powers[at], first)), counts
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Of one text, in pieces that end between words, so that memory goes with the longest piece."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + MOST_CHARS
+        if end < len(text):
+            cut = BETWEEN.search(text, end)
+            end = cut.start() if cut else len(text)
+        out.append(_words([text[at:end]])[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(ws: list[str], width: int) -> list[str]:
     return [" ".join(ws[i : i + width]) for i in range(len(ws) - width + 1)]
 
 
-def shingle_hashes(ws: list[str], width: int) -> np.ndarray:
-    """64-bit hashes of all shingles, in order."""
-    n = len(ws) - width + 1
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all shingles, in order, from hashes of the words."""
+    n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    word = np.fromiter((_hash_of[w] for w in ws), np.uint64, len(ws))
-    h = word[:n].copy()
+    h = words[:n].copy()
     for k in range(1, width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + word[k : k + n]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+        h = h * BASE + words[k : k + n]
+    return _mixed(h)
 
 
 def needed(n: int, least: float) -> int:
@@ -139,13 +168,13 @@ class Partition:
         self.n_hashes = values.shape[1]
         order = np.argsort(values, axis=None)
         self.values, self.items = values.ravel()[order], np.repeat(items, self.n_hashes)[order]
-        self.shift = np.uint64(64 - max(12, (8 * len(order)).bit_length()))
-        self.tops = np.zeros(1 << int(64 - self.shift), bool)  # a value that isn't here by its top bits is none of them
-        self.tops[self.values >> self.shift] = True
+        self.mask = np.uint64((1 << max(12, (16 * len(order)).bit_length())) - 1)
+        self.lows = np.zeros(int(self.mask) + 1, bool)  # a value that isn't here by its low bits is none of them (minima share the top ones)
+        self.lows[self.values & self.mask] = True
 
     def hits(self, windows: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window, item) of equal values; windows has a row for a hash function."""
-        at = np.nonzero(self.tops[windows >> self.shift])
+        at = np.nonzero(self.lows[windows & self.mask])
         found = windows[at]
         low, high = np.searchsorted(self.values, found), np.searchsorted(self.values, found, "right")
         for i in np.flatnonzero(high > low).tolist():
@@ -204,21 +233,28 @@ class Index:
     def search(self, texts: list[str | None]) -> list[list[tuple[int | None, int, int]]]:
         """For each text, (item_id, shingles, shared) of the items that it contains."""
         found: list[list[tuple[int | None, int, int]]] = []
-        pending: list[list[str]] = []
+        pending, chars = [], 0
         for text in texts:
-            pending.append(TOKEN.findall((text or "").lower()))
-            if sum(map(len, pending)) >= MOST_WORDS_AT_ONCE:
+            low = (text or "").lower()
+            if chars and chars + len(low) > MOST_CHARS:
                 found += self._search(pending)
-                pending = []
+                pending, chars = [], 0
+            pending.append(low)
+            chars += len(low)
         return found + self._search(pending)
 
-    def _search(self, docs: list[list[str]]) -> list[list[tuple[int | None, int, int]]]:
+    def _search(self, texts: list[str]) -> list[list[tuple[int | None, int, int]]]:
+        if len(texts) == 1:  # it may be a long one
+            docs = [word_hashes(texts[0])]
+        else:
+            words, counts = _words(texts)
+            docs = np.split(words, np.cumsum(counts)[:-1])
         out = []
-        for ws, hits in zip(docs, self.candidates([shingle_hashes(ws, self.width) for ws in docs]), strict=True):
-            if 0 < len(ws) < self.width:
-                out.append([(self.items[k][0], 1, 1) for k in self.short.get(" ".join(ws), ())])
-                continue
-            found, have = [], set(shingles(ws, self.width)) if hits else set()
+        for low, own_words, hits in zip(texts, docs, self.candidates([shingle_hashes(w, self.width) for w in docs]), strict=True):
+            found = []
+            if 0 < len(own_words) < self.width:
+                found = [(self.items[k][0], 1, 1) for k in self.short.get(" ".join(TOKEN.findall(low)), ())]
+            have = set(shingles(TOKEN.findall(low), self.width)) if hits else set()
             for k in sorted(hits):
                 own = self.shingles_of(k)
                 shared = len(own & have)
@@ -235,10 +271,10 @@ def signed_items(items: DataFrame, width: int = WIDTH, least: float = LEAST, mis
         for batch in batches:
             rows = []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ws = TOKEN.findall(text.lower())
+                ws = word_hashes(text.lower())
                 hashes = np.unique(shingle_hashes(ws, width))
                 n = len(hashes)
-                if ws:
+                if len(ws):
                     u = partition_of(n) if n else 0
                     rows.append((item_id, text, n, u, signature(hashes, n_hashes(u, least, miss)).tobytes() if n else b""))
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
