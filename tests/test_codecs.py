@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 
 from tonewright.operators import dither, resample
 from tonewright.sources import aac, aiff, alac, flac, mpeg, ogg, opus, tags, transform, wav
+from tonewright.sources.bits import walk as bits_walk
 from tonewright.sources.bits import BitSink, Bits, crc8, crc16, crc32_ogg, crc_table
 from tonewright.sources.errors import AudioError
 
@@ -368,7 +369,7 @@ def test_dither():
     assert np.abs(noise).max() <= 1 and abs(noise.mean()) < 0.02 and noise.std() > 0.3
     x = np.full(4096, 0.5, np.float32)
     step = dither.step_of(16)
-    y = dither.shaped(x, noise, step)
+    y = dither.shaped([x], step)[0]
     assert np.abs(y - x).max() < 0.001 and np.allclose(y / step, np.round(y / step))
     assert dither.step_of(0) == 1 and dither.step_of(99) == 2.0**-31
 
@@ -492,3 +493,79 @@ def test_vorbis():
 def test_json_round_trip():
     info, _ = wav.decode(wav.encode(sine(10), 8000, 1))
     assert type(info)(**json.loads(json.dumps(info.__dict__))) == info
+
+
+def test_recurrences_in_step_equal_those_alone():
+    rng = np.random.default_rng(8)
+    parts = []
+    for order in (1, 4, 12, 32):
+        for k in range(9):
+            taps = rng.integers(-(1 << 10), 1 << 10, order)
+            parts.append(flac.Predicted(rng.integers(-999, 999, order), taps, 12, rng.integers(-50, 50, 300 + (k == 0)), k % 3))
+    for p, x in zip(parts, flac.restored(parts), strict=True):
+        assert np.array_equal(x, flac.lpc_restore(p.warm, p.taps, p.shift, p.residual) << p.wasted)
+    for order, depth in ((4, 16), (8, 24), (30, 17)):
+        taps = rng.integers(-300, 300, order).tolist()
+        own = [alac.Filtered(rng.integers(-200, 200, 200) * (k != 3), taps, 9, depth) for k in range(20)]
+        for p, x in zip(own, alac.restored(own), strict=True):
+            assert np.array_equal(x, alac.unfilter(p.residual, p.taps, p.shift, p.depth))
+    clips = [rng.uniform(-1, 1, n).astype(np.float32) for n in (50, 0, 200, 50, 1)]
+    for x, y in zip(clips, dither.shaped(clips, 2.0**-15), strict=True):
+        assert np.array_equal(y, dither.shaped([x], 2.0**-15)[0])
+
+
+def test_walk_equals_steps():
+    rng = np.random.default_rng(2)
+    for n, count in ((10, 1), (50, 20), (5000, 1000), (5000, 4096)):
+        jump = np.minimum(np.arange(n) + rng.integers(1, 4, n), n)
+        want, at = [], 0
+        for _ in range(count):
+            want.append(at)
+            at = int(np.append(jump, n)[at])
+        assert bits_walk(np.append(jump, n), count).tolist() == want
+
+
+@pytest.mark.parametrize(
+    ("file", "want"),
+    [
+        ("664c614380000022100010000000 0f00000f0ac442f0000000013e84b41807dc690307586a3dad1a2e0f fff869180000bf0358fd03128baa9a", [[25588, 10416]]),
+        (
+            "664c6143800000221000100000001f00001f07d0007000000018f8f9e396f5cbcfc6dc807f9977906b32 fff868020017e944004f6f313d1047d227cb6d090831452bdc2822228057a3",
+            [[x] for x in (0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0)],
+        ),
+    ],
+)
+def test_flac_vectors_of_the_standard(file, want):
+    """Examples 1 (verbatim, stereo) and 3 (linear prediction, partitioned Rice codes) of RFC 9639."""
+    raw = bytes.fromhex(file)
+    meta = flac.metadata(raw)
+    (frame,) = flac.index(raw, meta)
+    values = flac.decode_frame(raw[frame.at : frame.at + frame.size], frame)
+    assert values.tolist() == want and flac.md5_of(values, meta.info.bits) == meta.info.md5
+    assert np.array_equal(flac.decode(raw)[1], flac.scaled(values, meta.info.bits).ravel())
+
+
+@pytest.mark.parametrize("size", [1, 13, 1000, 100_000])
+def test_scanner_finds_the_frames_of_the_index(size):
+    rng = np.random.default_rng(4)
+    raw = flac.encode(np.concatenate([rng.uniform(-1, 1, 9000), np.zeros(5000)]).astype(np.float32), 48000, 2)
+    meta = flac.metadata(raw)
+    scan, found = flac.Scanner(meta.info), []
+    for i in range(meta.audio_at, len(raw), size):
+        found += scan.feed(raw[i : i + size])
+    found += scan.rest(meta)
+    assert [x for x, _ in found] == [raw[f.at : f.at + f.size] for f in flac.index(raw, meta)] and len(found) == 2
+
+
+def test_seeking_indexes_few_frames(monkeypatch):
+    """A seek point at frame 6 of 10 and an end in frame 7: two frames are indexed and the header of the next is seen."""
+    raw = flac.encode(np.sin(np.arange(40960) / 9).astype(np.float32), 48000, 1)
+    frames = flac.index(raw)
+    table = b"".join(struct.pack(">QQH", *p) for p in [(0, 0, 4096), (frames[6].start, frames[6].at - 42, 4096), ((1 << 64) - 1, 0, 0)])
+    with_seek = raw[:4] + b"\0" + raw[5:42] + b"\x83" + len(table).to_bytes(3, "big") + table + raw[42:]
+    meta, seen = flac.metadata(with_seek), []
+    real = flac.frame_header
+    monkeypatch.setattr(flac, "frame_header", lambda *a: seen.append(real(*a)) or seen[-1])
+    part = flac.decode_range(with_seek, frames[6].start + 5, frames[7].start + 9)[1]
+    assert sum(f is not None for f in seen) == 3
+    assert np.array_equal(part, flac.decode(raw)[1][frames[6].start + 5 : frames[7].start + 9]) and len(meta.seek_points) == 2

@@ -39,7 +39,10 @@ def detect_format(content: Column) -> Column:
 
 def mpeg_frame_header(content: Column, at: ColumnOrInt = 0) -> Column:
     """Struct of the 4-byte header; null if it isn't one. Layers I and II read the Layer III rates, as documented."""
-    w = be(content, at, 4)
+    return F.element_at(F.transform(F.array(be(content, at, 4)), _mpeg_fields), 1)  # the word is read once for all fields
+
+
+def _mpeg_fields(w: Column) -> Column:
     version, layer = bits(w, 19, 2), bits(w, 17, 2)
     v1, l3, l1 = version == 3, layer == 1, layer == 3
     rate_no = bits(w, 10, 2)

@@ -2,7 +2,7 @@
 
 The noise depends on a sample's index alone (the generator restarts with each clip and runs across
 interleaved channels), so it is a table by index. Plain dither adds it by zip; feedback is a
-recurrence and is a fold within the clip's row.
+recurrence, and the clips of a batch take its steps together.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tonewright.functions.numeric import f32
 
 SEED = 0x12345678
 MASK = 0xFFFFFFFF
+MOST_VALUES = 1 << 24  # that a task works on at once
 
 
 def xorshift32(x: Column) -> Column:
@@ -49,28 +50,44 @@ def noise_table(n: int) -> np.ndarray:
     return (r[::2] + r[1::2]) * np.float32(0.5)
 
 
-class Noise:
-    """Grows by doubling, once for each worker."""
+_noise = noise_table(0)
 
-    def __init__(self):
-        self.values = noise_table(0)
 
-    def upto(self, n: int) -> np.ndarray:
-        if n > len(self.values):
-            self.values = noise_table(max(n, 2 * len(self.values), 4096))
-        return self.values[:n]
+def noise_upto(n: int) -> np.ndarray:
+    """The table's first n; a worker keeps what it made, and at least doubles it."""
+    global _noise
+    if n > len(_noise):
+        _noise = noise_table(max(n, 2 * len(_noise), 4096))
+    return _noise[:n]
 
 
-def shaped(x: np.ndarray, noise: np.ndarray, step: float) -> np.ndarray:
-    one, error, out = np.float32(step), np.float32(0), np.empty(len(x), np.float32)
-    for i, (s, d) in enumerate(zip(x, noise * one, strict=True)):
-        want = np.float32(s - error)
-        r = np.float32(want + d) / one
-        out[i] = np.float32(np.copysign(np.floor(np.abs(r) + np.float32(0.5)), r)) * one
-        error = out[i] - want
+def shaped(clips: list[np.ndarray], step: float) -> list[np.ndarray]:
+    """Clips with error feedback, sample by sample, clips of like length at once."""
+    out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(clips)
+    rest = sorted((i for i in range(len(clips)) if len(clips[i])), key=lambda i: -len(clips[i]))
+    while rest:
+        fit = max(1, MOST_VALUES // len(clips[rest[0]]))
+        for i, x in zip(rest[:fit], _in_step([clips[i] for i in rest[:fit]], np.float32(step)), strict=True):
+            out[i] = x
+        rest = rest[fit:]
     return out
 
 
+def _in_step(clips: list[np.ndarray], one: np.float32) -> list[np.ndarray]:
+    """Of clips from the longest to the shortest."""
+    sizes = np.array([len(x) for x in clips])
+    n = int(sizes[0])
+    x, noise, error = np.zeros((n, len(clips)), np.float32), noise_upto(n) * one, np.zeros(len(clips), np.float32)
+    for k, c in enumerate(clips):
+        x[: len(c), k] = c
+    for i, own in enumerate(np.searchsorted(-sizes, -np.arange(n))):  # so many clips have a sample i
+        want = x[i, :own] - error[:own]
+        r = (want + noise[i]) / one
+        x[i, :own] = np.copysign(np.floor(np.abs(r) + np.float32(0.5)), r) * one
+        error[:own] = x[i, :own] - want
+    return [x[:s, k] for k, s in enumerate(sizes)]
+
+
 def dither(clips: DataFrame, bits: int, feedback: bool = False, keep: tuple[str, ...] = ("clip",)) -> DataFrame:
     """keep and pcm with noise of one step at the depth; with feedback also rounded to it."""
     step = step_of(bits)
@@ -79,12 +96,13 @@ def dither(clips: DataFrame, bits: int, feedback: bool = False, keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tonewright.sources.registry import lists
 
-        noise = Noise()
         for batch in batches:
-            out = []
-            for p in batch.column("pcm"):
-                x = None if p.values is None else p.values.to_numpy(zero_copy_only=False)
-                out.append(None if x is None else shaped(x, noise.upto(len(x)), step) if feedback else x + noise.upto(len(x)) * np.float32(step))
+            given = [None if p.values is None else p.values.to_numpy(zero_copy_only=False) for p in batch.column("pcm")]
+            if feedback:
+                done = iter(shaped([x for x in given if x is not None], step))
+                out = [None if x is None else next(done) for x in given]
+            else:
+                out = [None if x is None else x + noise_upto(len(x)) * np.float32(step) for x in given]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists(out, pa.float32())], [*keep, "pcm"])
 
     types = dict(rows.dtypes)

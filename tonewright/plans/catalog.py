@@ -7,6 +7,7 @@ header bytes, texts are payloads and tags, `conversations` are packets in order.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share: under spark.checkpoint.dir, on one machine without it a temporary one."""
+    """A fresh folder that all executors share: under spark.checkpoint.dir; without it, if all runs on one machine, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own.get(spark.sparkContext.applicationId) or f"file://{tempfile.mkdtemp(prefix='tonewright-')}"
         _own[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -92,13 +92,48 @@ def flac_decode_stereo(spark, sf_dir):
 
 @query("flac_decode_range", f"WITH {SAMPLES} SELECT clip, (i - 20)::INT AS i, {FL16}::DOUBLE AS y FROM samples WHERE i >= 20 AND i < 40")
 def flac_decode_range(spark, sf_dir):
-    frames = registry.flac_frames(encoded(spark, sf_dir, "Flac", 16), ("clip",))
+    frames = registry.flac_frames(encoded(spark, sf_dir, "Flac", 16), ("clip",), start=20, end=40)
     return rows_of(registry.decode_flac_frames(frames, 20, 40, ("clip",)))
 
 
-@query("flac_encode")
+#: Bits of the cheapest subframe of each clip as one block: 18 for its head and the residual's, warm-up, Rice codes; or verbatim.
+ENCODED = f"""WITH {SAMPLES}, q AS (SELECT clip, i, {{quant}} AS v FROM samples),
+d AS (SELECT clip, i, v, v - lag(v) OVER w AS d1, v - 2 * lag(v) OVER w + lag(v, 2) OVER w AS d2, v - 3 * lag(v) OVER w + 3 * lag(v, 2) OVER w - lag(v, 3) OVER w AS d3,
+  v - 4 * lag(v) OVER w + 6 * lag(v, 2) OVER w - 4 * lag(v, 3) OVER w + lag(v, 4) OVER w AS d4 FROM q WINDOW w AS (PARTITION BY clip ORDER BY i)),
+e AS (SELECT clip, unnest([0, 1, 2, 3, 4]) AS ord, unnest([v, d1, d2, d3, d4]) AS d FROM d),
+z AS (SELECT clip, ord, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z FROM e WHERE d IS NOT NULL),
+t AS (SELECT clip, ord, count(*) AS n, sum(z)::BIGINT // count(*) AS mean FROM z GROUP BY ALL),
+k AS (SELECT clip, ord, n, CASE WHEN mean = 0 THEN 0 ELSE least(14, length(bin(mean)) - 1) END AS k FROM t),
+c AS (SELECT clip, ord, 18 + 16 * ord + any_value(n) * (1 + any_value(k)) + sum(z // (1 << k::BIGINT))::BIGINT AS bits FROM z JOIN k USING (clip, ord) GROUP BY clip, ord),
+m AS (SELECT clip, md5(from_hex(string_agg(printf('%02x%02x', (v + 65536) % 65536 % 256, (v + 65536) % 65536 // 256), '' ORDER BY i))) AS md5, 8 + 16 * count(*) AS verbatim FROM q GROUP BY clip)
+SELECT clip, (42 + 7 + 2 + (CASE WHEN verbatim <= min(bits) - 4 THEN verbatim ELSE min(bits) END + 7) // 8)::INT AS size, md5 FROM m JOIN c USING (clip) GROUP BY clip, md5, verbatim"""
+QUANT = "trunc(greatest(-1::FLOAT, least(1::FLOAT, s))::DOUBLE * 32767::DOUBLE)::BIGINT"
+
+
+@query("flac_encode", ENCODED.format(quant=QUANT))
 def flac_encode(spark, sf_dir):
-    return encoded(spark, sf_dir, "Flac", 16).select("clip", F.octet_length("content").alias("size"), F.md5("content").alias("md5"))
+    """Bytes of each file, which follow from its cheapest predictor, and the digest of its samples that it carries."""
+    files = encoded(spark, sf_dir, "Flac", 16)
+    return files.select("clip", F.octet_length("content").alias("size"), F.lower(F.hex(part(F.col("content"), 26, 16))).alias("md5"))
+
+
+LONG = f"WITH {SAMPLES} SELECT clip // 100 AS clip, ((clip % 100) * 64 + i) // 4096 AS frame_no, ((clip % 100) * 64 + i)::INT AS i, {FL16}::DOUBLE AS y FROM samples"
+
+
+def long_clips(spark, sf_dir) -> DataFrame:
+    """clip, pcm: a hundred clips each, end to end."""
+    rows = clips(spark, sf_dir).groupBy(F.floor(F.col("clip") / 100).alias("clip"))
+    return rows.agg(F.sort_array(F.collect_list(F.struct(F.col("clip").alias("at"), "pcm"))).alias("all")).select("clip", F.flatten("all.pcm").alias("pcm"))
+
+
+@query("flac_blocks", LONG)
+def flac_blocks(spark, sf_dir):
+    """Clips of more than a block, frame by frame."""
+    info = F.struct(F.lit(44100).alias("sample_rate"), F.lit(1).alias("channels"))
+    files = registry.encode(long_clips(spark, sf_dir).withColumn("info", info), "Flac", 16, keep=("clip",))
+    parts = registry.decode_flac_frames(registry.flac_frames(files, ("clip",)), keep=("clip",))
+    rows = parts.select("clip", "frame_no", "start", F.posexplode("pcm").alias("k", "s"))
+    return rows.select("clip", "frame_no", (F.col("start") + F.col("k")).cast("int").alias("i"), F.col("s").cast("double").alias("y"))
 
 
 @query("flac_metadata", "SELECT vec_id AS clip, 0 AS block_no, 0 AS kind, 8 AS at, 34 AS size FROM embeddings")
@@ -115,31 +150,29 @@ def flac_frame_sync(spark, sf_dir):
     return spark.sql("SELECT f.clip, x.frame_no, x.at, x.start, x.block, x.channel_code, x.bits FROM _flac_files f, LATERAL flac_frames(f.content) x")
 
 
-def _subframes(rows: DataFrame, f) -> DataFrame:
-    """clip, i, v: each clip's quantised samples through f (integers to integers)."""
+def _subframes(rows: DataFrame, f, together: bool) -> DataFrame:
+    """clip, i, v: each clip's quantised samples through f (integers to integers), or the clips of a batch together."""
 
     def run(batches):
         for batch in batches:
-            out = [f(flac.quantise(p.values.to_numpy(zero_copy_only=False), 16)) for p in batch.column(1)]
+            given = [flac.quantise(p.values.to_numpy(zero_copy_only=False), 16) for p in batch.column(1)]
+            out = f(given) if together else [f(x) for x in given]
             yield pa.RecordBatch.from_arrays([batch.column(0), registry.lists(out, pa.int64())], ["clip", "v"])
 
     return rows.select("clip", "pcm").mapInArrow(run, "clip long, v array<bigint>").select("clip", F.posexplode("v").alias("i", "v"))
 
 
-QUANT = "trunc(greatest(-1::FLOAT, least(1::FLOAT, s))::DOUBLE * 32767::DOUBLE)::BIGINT"
-
-
-def _stage(name: str, f, sql: str):
+def _stage(name: str, f, sql: str, together: bool = False):
     @query(name, f"WITH {SAMPLES} {sql}")
     def run(spark, sf_dir):
-        return _subframes(clips(spark, sf_dir), f)
+        return _subframes(clips(spark, sf_dir), f, together)
 
 
-def _lpc(values: np.ndarray) -> np.ndarray:
+def _lpc(clips_: list[np.ndarray]) -> list[np.ndarray]:
     """Residuals of a two-tap predictor, restored."""
     taps, shift = np.array([7, -3]), 2
-    total = taps[0] * values[1:-1] + taps[1] * values[:-2] >> shift
-    return flac.lpc_restore(values[:2], taps, shift, values[2:] - total)
+    total = [taps[0] * v[1:-1] + taps[1] * v[:-2] >> shift for v in clips_]
+    return flac.restored([flac.Predicted(v[:2], taps, shift, v[2:] - t, 0) for v, t in zip(clips_, total, strict=True)])
 
 
 def _rice(values: np.ndarray) -> np.ndarray:
@@ -181,7 +214,7 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 
 SAME = f"SELECT clip, i, {QUANT} AS v FROM samples"
-_stage("flac_lpc_restore", _lpc, SAME)
+_stage("flac_lpc_restore", _lpc, SAME, together=True)
 _stage("flac_residual_decode", _rice, SAME)
 _stage("flac_subframe", _subframe, SAME)
 _stage("flac_verbatim", _verbatim, SAME)
@@ -222,23 +255,30 @@ def _alac_rice(values: np.ndarray) -> np.ndarray:
     return alac.rice_block(Bits(sink.bytes() + bytes(4)), len(values), 16, 10, 40, 14)
 
 
-def _alac_unfilter(values: np.ndarray) -> np.ndarray:
-    return alac.unfilter(alac.filtered(values, TAPS, 9, 16), TAPS, 9, 16)
+def _alac_unfilter(clips_: list[np.ndarray]) -> list[np.ndarray]:
+    return alac.restored([alac.Filtered(alac.filtered(v, TAPS, 9, 16), TAPS, 9, 16) for v in clips_])
 
 
-def _alac_element(values: np.ndarray) -> np.ndarray:
-    sink = BitSink()
-    alac.write_element(sink, [values], COOKIE, TAPS, 9)
-    sink.uint(alac.END, 3)
-    return np.round(alac.decode_frame(COOKIE, sink.bytes()).astype(float) * 32768).astype(np.int64)
+def _alac_samples(frames: list[bytes]) -> list[np.ndarray]:
+    return [np.round(x.astype(float) * 32768).astype(np.int64) for x in alac.decode_frames([(COOKIE, f) for f in frames])]
+
+
+def _alac_element(clips_: list[np.ndarray]) -> list[np.ndarray]:
+    frames = []
+    for values in clips_:
+        sink = BitSink()
+        alac.write_element(sink, [values], COOKIE, TAPS, 9)
+        sink.uint(alac.END, 3)
+        frames.append(sink.bytes())
+    return _alac_samples(frames)
 
 
 _stage("range_encoder", _range_coder, f"SELECT clip, i, ({QUANT} % 128 + 128) % 128 AS v FROM samples")
 _stage("celt_shape", _shape, f"SELECT clip, i, (CASE WHEN {QUANT} >= 0 THEN 1 ELSE 0 END)::BIGINT AS v FROM samples")
 _stage("alac_rice", _alac_scalar, f"SELECT clip, i, CASE WHEN {QUANT} >= 0 THEN 2 * {QUANT} ELSE -2 * {QUANT} - 1 END AS v FROM samples")
 _stage("alac_rice_block", _alac_rice, SAME)
-_stage("alac_unfilter", _alac_unfilter, SAME)
-_stage("alac_element", _alac_element, SAME)
+_stage("alac_unfilter", _alac_unfilter, SAME, together=True)
+_stage("alac_element", _alac_element, SAME, together=True)
 
 
 def _packed(rows: DataFrame, f) -> DataFrame:
@@ -442,7 +482,7 @@ def alac_decode_frame(spark, sf_dir):
 
     def run(batches):
         for batch in batches:
-            out = [np.round(alac.decode_frame(COOKIE, raw.as_py()[24:]).astype(float) * 32768).astype(np.int64) for raw in batch.column(1)]
+            out = _alac_samples([raw[24:] for raw in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), registry.lists(out, pa.int64())], ["clip", "v"])
 
     return alac_files(spark, sf_dir).mapInArrow(run, "clip long, v array<bigint>").select("clip", F.posexplode("v").alias("i", "v"))

@@ -12,6 +12,7 @@ from tonewright.sources.errors import AudioError, bad_data, bad_header, ended
 from tonewright.sources.info import Decoded, info
 
 SINGLE, PAIR, LFE, END = 0, 1, 3, 7
+FEW = 16  # channels from which on steps over all of them are faster than each for itself
 MOST_SAMPLES = 16384
 
 
@@ -66,22 +67,46 @@ def _scalar(bits: Bits, m: int, k: int, wide: int) -> int:
 
 def rice_block(bits: Bits, n: int, wide: int, start: int, rate: int, limit: int) -> np.ndarray:
     """n residuals; the history begins at start, moves by rate and bounds k by limit."""
-    out, i, history, sign = np.zeros(n, np.int64), 0, start, 0
+    out, i, history, sign = [0] * n, 0, start, 0
+    raw, size, origin = np.packbits(bits.bits).tobytes() + bytes(8), len(bits.bits), bits.at
+    zero, at = bits.next_zero_from(origin), origin
+
+    def field(n_bits: int) -> int:
+        return int.from_bytes(raw[at >> 3 : (at >> 3) + 8], "big") >> 64 - (at & 7) - n_bits & (1 << n_bits) - 1
+
+    def scalar(k: int, wide: int) -> int:
+        """As _scalar, from whole fields."""
+        nonlocal at
+        quotient = min(9, zero[at - origin] - at) if at < size else 9
+        if quotient == 9:
+            at += 9
+            x, at = field(wide), at + wide
+        else:
+            at += quotient + 1
+            x = quotient * ((1 << k) - 1)
+            if k > 1:
+                low = field(k)
+                x, at = (x + low - 1, at + k) if low > 1 else (x, at + k - 1)
+                if at + (low <= 1) > size:
+                    raise ended("Rice code")
+        if at > size:
+            raise ended("bits")
+        return x
+
     while i < n:
-        k = min(limit, ((history >> 9) + 3).bit_length() - 1)
-        x = _scalar(bits, (1 << k) - 1, k, wide) + sign
+        x = scalar(min(limit, ((history >> 9) + 3).bit_length() - 1), wide) + sign
         out[i] = -(x + 1 >> 1) if x & 1 else x >> 1
         i, sign = i + 1, 0
         history = 0xFFFF if x > 0xFFFF else history + x * rate - (history * rate >> 9)
         if history < 128 and i < n:
-            k = min(limit, 8 - history.bit_length() + (history + 16 >> 6))
-            zeros = _scalar(bits, (1 << k) - 1, k, 16)
+            zeros = scalar(min(limit, 8 - history.bit_length() + (history + 16 >> 6)), 16)
             if i + zeros > n:
                 raise bad_data("zero run past the frame")
             i += zeros
             sign = zeros < 0xFFFF
             history = 0
-    return out
+    bits.at = at
+    return np.array(out, np.int64)
 
 
 def _wrapped(x: int, depth: int) -> int:
@@ -130,6 +155,56 @@ def unfilter(residual: np.ndarray, coefficients: list[int], shift: int, depth: i
     return np.array(_predicted(residual.tolist(), coefficients, shift, depth, True), np.int64) if coefficients else residual
 
 
+@dataclass
+class Filtered:
+    """A channel's residuals, not restored yet."""
+
+    residual: np.ndarray
+    taps: list[int]
+    shift: int
+    depth: int
+
+
+def _in_step(parts: list[Filtered]) -> list[np.ndarray]:
+    """unfilter of channels of one length, order, shift and depth, sample by sample, all of them at once."""
+    given, order, shift = np.stack([p.residual for p in parts], axis=1), len(parts[0].taps), parts[0].shift
+    half, low, span = 1 << shift >> 1, 1 << parts[0].depth - 1, (1 << parts[0].depth) - 1
+    taps, out = np.array([p.taps for p in parts], np.int64).T.copy(), np.empty_like(given)
+    out[:1] = given[:1]
+    for t in range(1, len(given)):
+        error = given[t]
+        if t <= order:
+            out[t] = (error + out[t - 1] + low & span) - low
+            continue
+        base = out[t - order - 1]
+        diffs = out[t - order : t][::-1] - base
+        out[t] = (error + base + ((taps * diffs).sum(0) + half >> shift) + low & span) - low
+        side = np.sign(error)
+        moves, steps = np.sign(diffs), (np.abs(diffs) * side >> shift) * np.arange(order, 0, -1)[:, None]
+        for j in range(order - 1, -1, -1):
+            moving = error * side > 0
+            if not moving.any():
+                break
+            taps[j] += np.where(moving, side * moves[j], 0)
+            error = np.where(moving, error - steps[j], error)
+    return list(np.ascontiguousarray(out.T))
+
+
+def restored(parts: list[Filtered]) -> list[np.ndarray]:
+    """Samples of all channels; like ones go in step where they are enough."""
+    out: list = [None] * len(parts)
+    groups: dict[tuple, list[int]] = {}
+    for i, p in enumerate(parts):
+        groups.setdefault((len(p.residual), len(p.taps), p.shift, p.depth), []).append(i)
+    for (n, order, _, depth), own in groups.items():
+        some = [parts[i] for i in own]
+        in_step = len(some) >= FEW and n and 0 < order < 31 and depth < 33
+        values = _in_step(some) if in_step else [unfilter(p.residual, p.taps, p.shift, p.depth) for p in some]
+        for i, v in zip(own, values, strict=True):
+            out[i] = v
+    return out
+
+
 def filtered(samples: np.ndarray, coefficients: list[int], shift: int, depth: int) -> np.ndarray:
     """The residuals."""
     return np.array(_predicted(samples.tolist(), coefficients, shift, depth, False), np.int64) if coefficients else samples
@@ -187,14 +262,30 @@ def unmix(u: np.ndarray, v: np.ndarray, bits: int, weight: int) -> tuple[np.ndar
     return left, left - v
 
 
-def _element(bits: Bits, c: Config, channels: int) -> list[np.ndarray]:
+@dataclass
+class Element:
+    """Channels as residuals, and what makes samples of them once these are restored."""
+
+    parts: list[Filtered]
+    mix_bits: int
+    mix: int
+    shifted: int
+    low: np.ndarray | None
+
+    def planes(self, own: list[np.ndarray]) -> list[np.ndarray]:
+        out = list(unmix(*own, self.mix_bits, self.mix)) if len(own) == 2 else own
+        return [x << self.shifted | y for x, y in zip(out, self.low, strict=True)] if self.low is not None else out
+
+
+def _element(bits: Bits, c: Config, channels: int) -> Element:
     bits.uint(12)
     partial, shifted, raw = bits.uint(1), bits.uint(2) * 8, bits.uint(1)
     n = bits.uint(32) if partial else c.frame_length
     if n > MOST_SAMPLES:
         raise bad_data(f"sample count {n} exceeds {MOST_SAMPLES}")
     if raw:
-        return list(bits.array(n * channels, c.bit_depth).reshape(n, channels).T)
+        own = bits.array(n * channels, c.bit_depth).reshape(n, channels).T
+        return Element([Filtered(x, [], 0, c.bit_depth) for x in own], 0, 0, 0, None)
     depth = c.bit_depth - shifted + (channels - 1)
     if c.bit_depth - shifted <= 0:
         raise bad_data("shifted bytes exceed the bit depth")
@@ -209,28 +300,67 @@ def _element(bits: Bits, c: Config, channels: int) -> list[np.ndarray]:
         r = rice_block(bits, n, depth, c.mb, c.pb * factor // 4, c.kb)
         if mode:
             r = unfilter(r, [1] * 31, 0, depth)
-        out.append(unfilter(r, taps, shift, depth))
-    if channels == 2:
-        out = list(unmix(*out, mix_bits, mix))
-    return [x << shifted | y for x, y in zip(out, low, strict=True)] if low is not None else out
+        out.append(Filtered(r, taps, shift, depth))
+    return Element(out, mix_bits, mix if channels == 2 else 0, shifted, low)
 
 
-def decode_frame(c: Config, data: bytes) -> np.ndarray:
-    """Interleaved f32 samples of one frame."""
-    bits, planes = Bits(data), []
+def _elements(c: Config, data: bytes) -> list[Element]:
+    bits, out = Bits(data), []
     while (tag := bits.uint(3)) != END:
         bits.uint(4)
         if tag not in (SINGLE, PAIR, LFE):
             raise bad_data(f"unsupported ALAC element tag: {tag}")
-        planes += _element(bits, c, 2 if tag == PAIR else 1)
-    if not planes:
-        return np.zeros(0, np.float32)
-    n = len(planes[0])
-    even = np.stack([np.pad(p[:n], (0, n - len(p[:n]))) for p in planes], axis=1)
-    return (even / float(1 << (c.bit_depth - 1))).astype(np.float32).ravel()
+        out.append(_element(bits, c, 2 if tag == PAIR else 1))
+    return out
+
+
+def decode_frames(frames: list[tuple[Config, bytes]]) -> list[np.ndarray | AudioError]:
+    """Interleaved f32 samples of each frame, or why there are none."""
+    parsed: list[list[Element] | AudioError] = []
+    for c, data in frames:
+        try:
+            parsed.append(_elements(c, data))
+        except AudioError as e:
+            parsed.append(e)
+    done = iter(restored([p for x in parsed if not isinstance(x, AudioError) for e in x for p in e.parts]))
+    out: list[np.ndarray | AudioError] = []
+    for (c, _), elements in zip(frames, parsed, strict=True):
+        if isinstance(elements, AudioError):
+            out.append(elements)
+            continue
+        planes = [plane for e in elements for plane in e.planes([next(done) for _ in e.parts])]
+        n = len(planes[0]) if planes else 0
+        even = np.stack([np.pad(p[:n], (0, n - len(p[:n]))) for p in planes], axis=1) if planes else np.zeros(0)
+        out.append((even / float(1 << (c.bit_depth - 1))).astype(np.float32).ravel())
+    return out
+
+
+def decode_frame(c: Config, data: bytes) -> np.ndarray:
+    """Of one frame."""
+    found = decode_frames([(c, data)])[0]
+    if isinstance(found, AudioError):
+        raise found
+    return found
+
+
+def decode_all(files: list[bytes]) -> list[Decoded | AudioError]:
+    """Each file's cookie and frame, or why it can't be decoded; the files' recurrences go in step."""
+    out: list[Decoded | AudioError] = []
+    configs: list[Config | AudioError] = []
+    for data in files:
+        try:
+            configs.append(config(data))
+        except AudioError as e:
+            configs.append(e)
+    frames = iter(decode_frames([(c, data[24:]) for c, data in zip(configs, files, strict=True) if not isinstance(c, AudioError)]))
+    for c in configs:
+        found = c if isinstance(c, AudioError) else next(frames)
+        out.append(found if isinstance(found, AudioError) else (info("Alac", c.sample_rate, c.num_channels, c.bit_depth, len(found) // c.num_channels), found))
+    return out
 
 
 def decode(data: bytes) -> Decoded:
-    c = config(data)
-    samples = decode_frame(c, data[24:])
-    return info("Alac", c.sample_rate, c.num_channels, c.bit_depth, len(samples) // c.num_channels), samples
+    found = decode_all([data])[0]
+    if isinstance(found, AudioError):
+        raise found
+    return found

@@ -48,10 +48,16 @@ class Bits:
         """For each bit, the place of the next 1 from there; the number of bits if there is none."""
         if self._ones is None:
             n = len(self.bits)
-            place = np.where(self.bits == 1, np.arange(n), n)
-            self._ones = np.append(np.minimum.accumulate(place[::-1])[::-1], n)
+            at = np.flatnonzero(self.bits)
+            self._ones = np.repeat(np.append(at, n), np.diff(at, prepend=-1, append=n))
         return self._ones
 
+    def next_zero_from(self, at: int) -> list[int]:
+        """For each bit from there, the place of the next 0; the number of bits if there is none."""
+        n = len(self.bits)
+        zeros = np.flatnonzero(self.bits[at:] == 0) + at
+        return np.repeat(np.append(zeros, n), np.diff(zeros, prepend=at - 1, append=n)).tolist()
+
     def unary(self) -> int:
         """Zeros before a 1."""
         one = int(self.next_one[self.at])
@@ -62,15 +68,21 @@ class Bits:
 
     def rice(self, count: int, k: int) -> np.ndarray:
         """count Rice codes of parameter k, as signed values."""
-        ones, at, size = self.next_one, self.at, len(self.bits)
-        place = ones.tolist() if count > 64 else ones
-        starts = np.empty(count, np.int64)
-        for i in range(count):
-            starts[i] = at
-            at = int(place[at]) + 1 + k
-            if at > size:
+        if not count:
+            return np.zeros(0, np.int64)
+        ones, size, room = self.next_one, len(self.bits), 64 + count * (k + 2) * 5 // 4
+        while True:  # over so many bits as the codes are likely to take, and twice as many until they fit
+            end = min(size, self.at + room)
+            jump = (np.minimum(ones[self.at : end + 1] + (1 + k), end + 1) - self.at).astype(np.intp)
+            starts = walk(np.append(jump, len(jump)), count)
+            last = int(jump[starts[-1]]) + self.at if starts[-1] < len(jump) else size + 1
+            if last <= end:
+                break
+            if end == size:
                 raise ended("Rice code")
-        self.at = at
+            room *= 2
+        starts += self.at
+        self.at = last
         one = ones[starts]
         value = one - starts
         for j in range(k):
@@ -94,6 +106,25 @@ class Bits:
         self.at += -self.at % 8
 
 
+def walk(jump: np.ndarray, count: int) -> np.ndarray:
+    """The first count places on the way from 0, where each leads to jump[place]; jump never leads out of itself.
+
+    Few places are walked to one by one: those between come from jumps of half as many steps, for all at once.
+    """
+    level, far = [jump], 1
+    while len(level) < 8 and 4 * far * far < count:
+        level.append(level[-1].take(level[-1], mode="clip"))
+        far *= 2
+    places, at = [0], 0
+    for _ in range((count - 1) // far):
+        at = int(level[-1][at])
+        places.append(at)
+    found = np.array(places, np.int64)
+    for step in level[-2::-1]:
+        found = np.stack([found, step[found]], axis=1).ravel()
+    return found[:count]
+
+
 class BitSink:
     """Collects pieces of bits."""
 
@@ -146,25 +177,27 @@ def crc_table(width: int, poly: int) -> tuple[int, ...]:
 class Crc:
     """A CRC from zero is linear, so it is the xor of what each byte gives at its distance from the end."""
 
-    STEP = 4096
+    STEP = 1024
+    places = np.arange(STEP - 1, -1, -1) * 256
 
     def __init__(self, width: int, poly: int):
         self.table = np.array(crc_table(width, poly), np.uint64)
-        self.width, self.mask = width, np.uint64((1 << width) - 1)
-        self.at = np.zeros((0, 256), np.uint64)
+        self.width, self.mask, self.small = width, np.uint64((1 << width) - 1), np.dtype(f"u{width // 8}")
+        self.at = np.zeros((0, 256), self.small)
 
     def _reach(self, n: int) -> None:
         if n > len(self.at):
-            rows = list(self.at[-1:]) or [self.table]
+            rows = list(self.at[-1:].astype(np.uint64)) or [self.table]
             grown = [] if len(self.at) else [self.table]
             while len(self.at) + len(grown) < n:
                 last = grown[-1] if grown else rows[0]
                 grown.append((last << np.uint64(8) & self.mask) ^ self.table[(last >> np.uint64(self.width - 8)).astype(np.intp)])
-            self.at = np.concatenate([self.at, np.array(grown, np.uint64).reshape(-1, 256)])
+            self.at = np.concatenate([self.at, np.array(grown, np.uint64).reshape(-1, 256).astype(self.small)])
 
-    def __call__(self, data: bytes) -> int:
+    def __call__(self, data: bytes, before: int = 0) -> int:
+        """Of the data, after data whose CRC is before."""
         raw = np.frombuffer(data, np.uint8)
-        crc = np.uint64(0)
+        crc = np.uint64(before)
         self._reach(min(len(raw), self.STEP))
         for i in range(0, len(raw), self.STEP):
             part = raw[i : i + self.STEP].copy()
@@ -174,7 +207,7 @@ class Crc:
             lead = own.to_bytes(size, "big")[: len(part)]
             head[: len(lead)] = np.frombuffer(lead, np.uint8)
             part ^= head
-            crc = np.bitwise_xor.reduce(self.at[len(part) - 1 - np.arange(len(part)), part])
+            crc = np.uint64(np.bitwise_xor.reduce(self.at.ravel()[self.places[-len(part) :] + part]))
             if len(part) < size:
                 crc = np.uint64((int(crc) ^ own << 8 * len(part)) & int(self.mask))
         return int(crc)

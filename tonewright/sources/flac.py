@@ -22,6 +22,8 @@ RATES = {1: 88200, 2: 176400, 3: 192000, 4: 8000, 5: 16000, 6: 22050, 7: 24000,
 DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 SIZES = {1: 192} | {k: 144 << k for k in range(2, 6)} | {k: 1 << k for k in range(8, 16)}
 LEFT_SIDE, RIGHT_SIDE, MID_SIDE = 8, 9, 10
+HEAD = 20  # no frame header is longer
+FEW = 6  # subframes from which on steps over all of them are faster than each for itself
 
 
 @dataclass
@@ -121,8 +123,11 @@ def frame_header(data: bytes, at: int, stream: StreamInfo) -> Frame | None:
     return Frame(number, at, 0, start, block, channels, DEPTHS.get(depth, stream.bits), end + 1)
 
 
-def index(data: bytes, meta: Metadata | None = None, at: int | None = None, whole: bool = True) -> list[Frame]:
-    """Frames from an offset (the first by default). A last frame that doesn't close is an error if whole, else left out."""
+def index(data: bytes, meta: Metadata | None = None, at: int | None = None, whole: bool = True, end: int | None = None) -> list[Frame]:
+    """Frames from an offset (the first by default), up to that of sample end.
+
+    A last frame that doesn't close is an error if whole, else left out.
+    """
     meta = meta or metadata(data)
     at = meta.audio_at if at is None else at
     frames: list[Frame] = []
@@ -138,6 +143,8 @@ def index(data: bytes, meta: Metadata | None = None, at: int | None = None, whol
                 continue
             now.size = m.start() - now.at
             frames.append(now)
+        if end is not None and found.start >= end:
+            return frames
         now = found
     if now is not None:
         end = _end(data, now, meta.info)
@@ -149,6 +156,51 @@ def index(data: bytes, meta: Metadata | None = None, at: int | None = None, whol
     return frames
 
 
+class Scanner:
+    """Finds closed frames in audio bytes that come piece by piece; each byte is searched and summed up once."""
+
+    def __init__(self, stream: StreamInfo):
+        self.stream, self.data, self.now = stream, bytearray(), None
+        self.look = self.crc = self.crc_at = 0
+
+    def feed(self, more: bytes) -> list[tuple[bytes, Frame]]:
+        """The frames that the header of a next one closes."""
+        self.data += more
+        out = []
+        places = [m.start() for m in SYNC.finditer(self.data, self.look)]
+        for at in places:
+            self.look = at
+            if at + HEAD > len(self.data):  # the header may be cut
+                break
+            self.look = at + 1
+            found = frame_header(self.data, at, self.stream)
+            if found is None:
+                if self.now is None and at == 0:
+                    raise bad_data("CRC-8 mismatch in a frame header")
+                continue
+            if self.now is not None:
+                if at < self.now.at + self.now.body + 2:
+                    continue
+                self.crc, self.crc_at = crc16(bytes(self.data[self.crc_at : at]), self.crc), at
+                if self.crc:
+                    continue
+                self.now.size = at - self.now.at
+                out.append((bytes(self.data[self.now.at : at]), self.now))
+            self.now, self.crc, self.crc_at = found, 0, at
+        else:
+            self.look = max(self.look, len(self.data) - 1)  # a sync code may be cut
+        if out:
+            cut = self.now.at
+            del self.data[:cut]
+            self.now.at, self.look, self.crc_at = 0, self.look - cut, self.crc_at - cut
+        return out
+
+    def rest(self, meta: Metadata) -> list[tuple[bytes, Frame]]:
+        """The frames left at the end of the stream."""
+        data = bytes(self.data)
+        return [(data[f.at : f.at + f.size], f) for f in index(data, meta, self.now.at if self.now else 0)] if data else []
+
+
 def _closed(data: bytes, start: int, end: int) -> bool:
     return end - start > 2 and crc16(data[start : end - 2]) == int.from_bytes(data[end - 2 : end], "big")
 
@@ -159,7 +211,7 @@ def _end(data: bytes, frame: Frame, stream: StreamInfo) -> int | None:
         return len(data)
     try:
         bits = Bits(data[frame.at :], frame.body)
-        _subframes(bits, frame, stream)
+        _parsed(bits, frame)
     except (Error, IndexError):
         return None
     bits.align()
@@ -182,7 +234,22 @@ def _residual(bits: Bits, block: int, order: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+@dataclass
+class Predicted:
+    """A subframe of linear prediction, not restored yet."""
+
+    warm: np.ndarray
+    taps: np.ndarray
+    shift: int
+    residual: np.ndarray
+    wasted: int
+
+
 def _subframe(bits: Bits, block: int, depth: int) -> np.ndarray:
+    return restored([_parsed_subframe(bits, block, depth)])[0]
+
+
+def _parsed_subframe(bits: Bits, block: int, depth: int) -> np.ndarray | Predicted:
     if bits.uint(1):
         raise bad_data("subframe header zero bit is not zero")
     kind = bits.uint(6)
@@ -208,7 +275,7 @@ def _subframe(bits: Bits, block: int, depth: int) -> np.ndarray:
         if precision == 16:
             raise bad_data("invalid coefficient precision")
         shift = bits.sint(5)
-        out = lpc_restore(warm, bits.array(order, precision), shift, _residual(bits, block, order))
+        return Predicted(warm, bits.array(order, precision), shift, _residual(bits, block, order), wasted)
     else:
         raise bad_data(f"reserved subframe type: {kind}")
     return out << wasted
@@ -235,6 +302,33 @@ def lpc_restore(warm: np.ndarray, coefficients: np.ndarray, shift: int, residual
     return np.array(out, np.int64)
 
 
+def _in_step(parts: list[Predicted]) -> list[np.ndarray]:
+    """Subframes of one order and length, sample by sample, all of them at once."""
+    order, rest = len(parts[0].warm), np.stack([p.residual for p in parts], axis=1)
+    taps, shift = np.stack([p.taps[::-1] for p in parts], axis=1), np.array([p.shift for p in parts])
+    out = np.empty((order + len(rest), len(parts)), np.int64)
+    out[:order] = np.stack([p.warm for p in parts], axis=1)
+    for t in range(len(rest)):
+        out[order + t] = rest[t] + ((taps * out[t : t + order]).sum(0) >> shift)
+    return list(np.ascontiguousarray(out.T))
+
+
+def restored(parts: list[np.ndarray | Predicted]) -> list[np.ndarray]:
+    """Samples of all subframes; those that a recurrence restores go in step, by order and length."""
+    out: list[np.ndarray] = list(parts)
+    groups: dict[tuple[int, int, int], list[int]] = {}
+    for i, p in enumerate(parts):
+        if isinstance(p, Predicted):
+            alone = i + 1 if p.shift < 0 else 0  # no such shift is allowed; it could exceed 64 bits
+            groups.setdefault((len(p.warm), len(p.residual), alone), []).append(i)
+    for own in groups.values():
+        some = [parts[i] for i in own]
+        values = _in_step(some) if len(some) >= FEW else [lpc_restore(p.warm, p.taps, p.shift, p.residual) for p in some]
+        for i, v in zip(own, values, strict=True):
+            out[i] = v << parts[i].wasted
+    return out
+
+
 def decorrelate(a: np.ndarray, b: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
     if code == LEFT_SIDE:
         return a, a - b
@@ -244,36 +338,48 @@ def decorrelate(a: np.ndarray, b: np.ndarray, code: int) -> tuple[np.ndarray, np
     return total + b >> 1, total - b >> 1
 
 
-def _subframes(bits: Bits, frame: Frame, stream: StreamInfo) -> list[np.ndarray]:
+def _parsed(bits: Bits, frame: Frame) -> list[np.ndarray | Predicted]:
     code = frame.channel_code
     if code < LEFT_SIDE:
-        return [_subframe(bits, frame.block, frame.bits) for _ in range(code + 1)]
-    a = _subframe(bits, frame.block, frame.bits + (code == RIGHT_SIDE))
-    b = _subframe(bits, frame.block, frame.bits + (code != RIGHT_SIDE))
-    return list(decorrelate(a, b, code))
+        return [_parsed_subframe(bits, frame.block, frame.bits) for _ in range(code + 1)]
+    return [_parsed_subframe(bits, frame.block, frame.bits + side) for side in (code == RIGHT_SIDE, code != RIGHT_SIDE)]
+
 
+def decode_frames(frames: list[tuple[bytes, Frame]], closed: bool = False) -> list[np.ndarray]:
+    """Integers (block, channels) of whole frames; closed: their check sums are known to hold."""
+    parsed = []
+    for raw, frame in frames:
+        if not closed and not _closed(raw, 0, len(raw)):
+            raise bad_data("CRC-16 mismatch")
+        parsed.append(_parsed(Bits(raw, frame.body), frame))
+    planes, out = iter(restored([p for parts in parsed for p in parts])), []
+    for (_, frame), parts in zip(frames, parsed, strict=True):
+        own = [next(planes) for _ in parts]
+        out.append(np.stack(own if frame.channel_code < LEFT_SIDE else decorrelate(*own, frame.channel_code), axis=1))
+    return out
 
-def decode_frame(raw: bytes, frame: Frame, stream: StreamInfo) -> np.ndarray:
-    """Integers (block, channels) of a whole frame."""
-    if not _closed(raw, 0, len(raw)):
-        raise bad_data("CRC-16 mismatch")
-    return np.stack(_subframes(Bits(raw, frame.body), frame, stream), axis=1)
+
+def decode_frame(raw: bytes, frame: Frame) -> np.ndarray:
+    return decode_frames([(raw, frame)])[0]
 
 
 def scaled(values: np.ndarray, bits: int) -> np.ndarray:
     return (values * 2.0 ** (1 - bits)).astype(np.float32)
 
 
+def seek(meta: Metadata, start: int) -> int:
+    """Where to look for the frame of a sample: at the last seek point that isn't after it, else at the first frame."""
+    return max((meta.audio_at + p[1] for p in meta.seek_points if p[0] <= start and p[2]), default=meta.audio_at)
+
+
 def decode_range(data: bytes, start: int = 0, end: int | None = None) -> Decoded:
     """Frames start to end; the index is searched from the last seek point at or before the start."""
     meta = metadata(data)
     s = meta.info
-    at = max((meta.audio_at + p[1] for p in meta.seek_points if p[0] <= start), default=meta.audio_at)
+    at = seek(meta, start)
+    wanted = [f for f in index(data, meta, at, end=end) if f.start + f.block > start and (end is None or f.start < end)]
     out = []
-    for f in index(data, meta, at):
-        if f.start + f.block <= start or end is not None and f.start >= end:
-            continue
-        values = decode_frame(data[f.at : f.at + f.size], f, s)
+    for f, values in zip(wanted, decode_frames([(data[f.at : f.at + f.size], f) for f in wanted], closed=True), strict=True):
         low, high = max(0, start - f.start), f.block if end is None else min(f.block, end - f.start)
         out.append(scaled(values[low:high], s.bits))
     samples = np.concatenate(out).ravel() if out else np.zeros(0, np.float32)

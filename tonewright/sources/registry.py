@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ DECODERS: dict[str, Callable[[bytes], Decoded]] = {
     "Aac": aac.decode,
     "Alac": alac.decode,
 }
+#: Codecs whose files are decoded together, a batch at a time; each gives samples or an AudioError for each file.
+TOGETHER: dict[str, Callable[[list[bytes]], list[Decoded | AudioError]]] = {"Alac": alac.decode_all}
 #: Formats that detection names.
 OPENED = ("Wav", "Flac", "Ogg", "Aiff", "Mp3", "Aac")
 ENCODERS: dict[str, Callable[..., bytes]] = {
@@ -50,6 +53,7 @@ ERROR_ARROW = pa.struct([("code", pa.string()), ("detail", pa.string())])
 def register(name: str, decoder: Callable[[bytes], Decoded]) -> None:
     """Adds a codec for decode(codec=name)."""
     DECODERS[name] = decoder
+    TOGETHER.pop(name, None)
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -62,31 +66,53 @@ def detected(files: DataFrame) -> DataFrame:
     return files.withColumn("format", detect_format(F.col("content")))
 
 
+MOST_VALUES = (1 << 31) - 1  # of a list column's 32-bit offsets
+
+
 def lists(arrays: list[np.ndarray | None], kind: pa.DataType) -> pa.ListArray:
     """Arrays as one list column without a Python object for each value."""
     sizes = [0 if a is None else len(a) for a in arrays]
+    if sum(sizes) > MOST_VALUES:
+        raise AudioError("DecodeError", f"{sum(sizes)} samples in a batch; lower spark.sql.execution.arrow.maxRecordsPerBatch")
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     values = np.concatenate([a for a in arrays if a is not None] or [np.zeros(0)])
     mask = pa.array([a is None for a in arrays], pa.bool_())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind), mask=mask)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], most: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about so many bytes of content, at least one row, so that few files are decoded at once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("content")), 0).to_pylist()
+        first, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held and held + n > most:
+                yield batch.slice(first, i - first)
+                first, held = i, 0
+            held += n
+        yield batch.slice(first)
+
+
 def decode(files: DataFrame, codec: str | None = None, mode: str = "PERMISSIVE", keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """keep, format, info, pcm and error of files (content); codec overrides detection."""
-    decoders = dict(DECODERS)
+    decoders, together = dict(DECODERS), dict(TOGETHER)
     named = detected(files) if codec is None else files.withColumn("format", F.lit(codec))
     rows = named.select(*keep, "format", "content")
     strict = mode == "FAILFAST"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             infos, pcm, errors = [], [], []
-            for name, raw in zip(batch.column("format").to_pylist(), batch.column("content"), strict=True):
+            names, files = batch.column("format").to_pylist(), [x or b"" for x in batch.column("content").to_pylist()]
+            ready = {k: iter(f([x for n, x in zip(names, files, strict=True) if n == k])) for k, f in together.items() if k in names}
+            for name, data in zip(names, files, strict=True):
                 try:
-                    data = raw.as_py() or b""
                     if name not in decoders:
                         raise AudioError("UnsupportedFormat") if len(data) >= 4 else bad_header("too short for format detection")
-                    found, samples = decoders[name](data)
+                    got = next(ready[name]) if name in ready else decoders[name](data)
+                    if isinstance(got, AudioError):
+                        raise got
+                    found, samples = got
                     infos.append(dict(zip(INFO_ARROW.names, found.row(), strict=True)))
                     pcm.append(samples)
                     errors.append(None)
@@ -168,8 +194,11 @@ FRAME_ARROW = [("frame_no", pa.int64()), ("at", pa.int64()), ("size", pa.int64()
 FRAME_TYPE = "frame_no long, at long, size long, start long, block int, channel_code int, bits int, body int, raw binary, head binary"
 
 
-def flac_frames(files: DataFrame, keep: tuple[str, ...] = ("path",), with_bytes: bool = True) -> DataFrame:
-    """A row for each frame of FLAC files: where it stands, which samples it holds, its bytes and the STREAMINFO."""
+def flac_frames(files: DataFrame, keep: tuple[str, ...] = ("path",), with_bytes: bool = True, start: int = 0, end: int | None = None) -> DataFrame:
+    """A row for each frame of FLAC files: its number in the stream, where it stands, which samples it holds, its bytes and the STREAMINFO.
+
+    With start or end only frames that hold samples of [start, end): the search begins at a seek point and ends at end.
+    """
     rows = files.select(*keep, "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +208,8 @@ def flac_frames(files: DataFrame, keep: tuple[str, ...] = ("path",), with_bytes:
                 meta = flac.metadata(data)
                 block = next(b for b in meta.blocks if b[0] == 0)
                 head = data[block[1] : block[1] + 34]
-                found = flac.index(data, meta)
-                out = [(k, f.at, f.size, f.start, f.block, f.channel_code, f.bits, f.body, data[f.at : f.at + f.size] if with_bytes else None, head) for k, f in enumerate(found)]
+                found = [f for f in flac.index(data, meta, flac.seek(meta, start), end=end) if f.start + f.block > start]
+                out = [(f.number, f.at, f.size, f.start, f.block, f.channel_code, f.bits, f.body, data[f.at : f.at + f.size] if with_bytes else None, head) for f in found]
                 own = [pa.array([batch.column(c)[i].as_py()] * len(out), batch.column(c).type) for c in keep]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.array([x[j] for x in out], t) for j, (_, t) in enumerate(FRAME_ARROW)]], [*keep, *[n for n, _ in FRAME_ARROW]])
 
@@ -199,13 +228,13 @@ def decode_flac_frames(frames: DataFrame, start: int = 0, end: int | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pcm, firsts = [], []
-            for row in batch.select([n for n, _ in FRAME_ARROW]).to_pylist():
-                stream = flac.streaminfo(row["head"])
-                frame = flac.Frame(row["frame_no"], 0, row["size"], row["start"], row["block"], row["channel_code"], row["bits"], row["body"])
+            pcm, firsts, found = [], [], batch.select([n for n, _ in FRAME_ARROW]).to_pylist()
+            own = [flac.Frame(r["frame_no"], 0, r["size"], r["start"], r["block"], r["channel_code"], r["bits"], r["body"]) for r in found]
+            values = flac.decode_frames([(r["raw"], f) for r, f in zip(found, own, strict=True)])
+            for row, frame, x in zip(found, own, values, strict=True):
                 low = max(0, start - frame.start)
                 high = frame.block if end is None else min(frame.block, end - frame.start)
-                pcm.append(flac.scaled(flac.decode_frame(row["raw"], frame, stream)[low:high], stream.bits).ravel())
+                pcm.append(flac.scaled(x[low:high], flac.streaminfo(row["head"]).bits).ravel())
                 firsts.append(frame.start + low)
             columns = [*[batch.column(c) for c in (*keep, "frame_no")], pa.array(firsts, pa.int64()), lists(pcm, pa.float32())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "frame_no", "start", "pcm"])

@@ -40,6 +40,7 @@ class Machine:
     left: int = 0  # bytes of samples still to come
     done: bool = False
     ready: list = field(default_factory=list)  # decoded FLAC samples short of a chunk
+    scan: flac.Scanner | None = None
 
     def __post_init__(self):
         self.chunk = self.chunk or CHUNK_FRAMES
@@ -103,18 +104,16 @@ class Machine:
             s = meta.info
             self.found = meta
             self.head = info("Flac", s.rate, s.channels, s.bits, s.total)
+            self.scan = flac.Scanner(s)
             self.pending = self.pending[meta.audio_at :]
-            self.found.audio_at = 0
             out.append(("header", self.head, None, None))
         s = self.found.info
         # The last frame may still grow, so only frames that another header follows are closed, until the flush.
-        frames = flac.index(self.pending, self.found, 0, whole=last) if self.pending else []
-        if not last and frames and frames[-1].at + frames[-1].size == len(self.pending):
-            frames.pop()
-        for f in frames:
-            self.ready.append(flac.scaled(flac.decode_frame(self.pending[f.at : f.at + f.size], f, s), s.bits).ravel())
-        if frames:
-            self.pending = self.pending[frames[-1].at + frames[-1].size :]
+        frames = self.scan.feed(self.pending)
+        self.pending = b""
+        if last:
+            frames += self.scan.rest(self.found)
+        self.ready += [flac.scaled(x, s.bits).ravel() for x in flac.decode_frames(frames, closed=True)]
         size = self.chunk * s.channels
         while sum(map(len, self.ready)) >= size or last and any(map(len, self.ready)):
             all_ = np.concatenate(self.ready)
@@ -191,9 +190,10 @@ def decode_stream(chunks: DataFrame, kind: str, chunk_frames: int = CHUNK_FRAMES
 
 
 def decode_chunks(chunks: DataFrame, kind: str, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
-    """The same over a batch: all chunks of a stream meet in one task."""
+    """The same over a batch, for tests and backfill: a stream's chunks meet in one task, and in its memory."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _frame(key[0], Stream(Machine(kind, chunk_frames)).take(_rows(pdf)))
 
-    return chunks.groupBy("stream_id").applyInPandas(one, OUT)
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an explicit number: few bytes are much work here
+    return chunks.repartition(tasks, "stream_id").groupBy("stream_id").applyInPandas(one, OUT)
