@@ -22,6 +22,8 @@ columns are ignored by `verdicts` and kept as they are by `keep_good`. No Python
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,33 +116,24 @@ def _groups(fit: DataFrame, least_rows: int) -> DataFrame:
 
 def _with_scatter(moments: DataFrame, keys: list[str], factor: float, floors: tuple[float, ...]) -> DataFrame:
     """keys, m (location), k (inverse Cholesky factor, by row) and logdet, from n, s_i and s_ij."""
-    cur = moments
-    for i in range(P):
-        cur = cur.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
-    for i in range(P):
-        for j in range(i + 1):
-            c = (F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor
-            cur = cur.withColumn(f"c{i}_{j}", c + (floors[i] ** 2 if i == j else 0.0))
-    for i in range(P):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            cur = cur.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 100))) if i == j else rest / F.col(f"l{j}_{j}"))
-    for i in range(P):
-        for j in range(i + 1):
-            if i == j:
-                cur = cur.withColumn(f"k{i}_{j}", 1.0 / F.col(f"l{i}_{i}"))
-            else:
-                total = F.lit(0.0)
-                for k in range(j, i):
-                    total = total - F.col(f"l{i}_{k}") * F.col(f"k{k}_{j}")
-                cur = cur.withColumn(f"k{i}_{j}", total / F.col(f"l{i}_{i}"))
+    col = lambda name, i, j: F.col(f"{name}{i}_{j}")
+    minus = lambda terms, start: reduce(lambda acc, t: acc - t, terms, start)
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    cur = moments.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
+    c = {(i, j): (col("s", i, j) / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (floors[i] ** 2 if i == j else 0.0) for i, j in pairs}
+    cur = cur.withColumns({f"c{i}_{j}": v for (i, j), v in c.items()})
+    for j in range(P):  # Cholesky, column by column
+        rest = {i: minus([col("l", i, k) * col("l", j, k) for k in range(j)], col("c", i, j)) for i in range(j, P)}
+        cur = cur.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(rest[j], F.lit(floors[j] ** 2 / 100))))
+        cur = cur.withColumns({f"l{i}_{j}": rest[i] / col("l", j, j) for i in range(j + 1, P)}) if j + 1 < P else cur
+    for off in range(P):  # its inverse, diagonal by diagonal
+        own = [(i, i - off) for i in range(off, P)]
+        cur = cur.withColumns({f"k{i}_{j}": (minus([col("l", i, k) * col("k", k, j) for k in range(j, i)], F.lit(0.0)) if off else F.lit(1.0)) / col("l", i, i) for i, j in own})
     logdet = sum((F.ln(F.col(f"l{i}_{i}")) for i in range(P)), F.lit(0.0))
     return cur.select(
         *keys,
         F.array(*[F.col(f"m{i}") for i in range(P)]).alias("m"),
-        F.array(*[F.col(f"k{i}_{j}") for i in range(P) for j in range(i + 1)]).alias("k"),
+        F.array(*[col("k", i, j) for i, j in pairs]).alias("k"),
         logdet.alias("logdet"),
     )
 
@@ -208,21 +201,18 @@ def estimates(rows: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     Concentration steps go on, from each start, for the groups whose determinant the last step lessened.
     """
     x = [F.col(c) for c in NAMES]
-    now, best = settled(_first(rows, floors), "starts"), None
-    while now.settled_rows:
-        near = rows.join(small(now), "g").withColumn("_bin", F.floor(F.log2(distance(x) + 1e-6) * BINS))
-        edge = settled(_at_share(near, ["g", "start"], SHARE, F.col("_bin")), "edges")
-        core = near.join(small(edge), ["g", "start"]).filter("_bin <= edge")
-        step = settled(_with_scatter(_moments(core, ["g", "start"]), ["g", "start"], CONSISTENCY, floors), "scatter")
-        if best is None:
-            now = best = step
-            continue
-        was = best.select("g", "start", F.col("logdet").alias("was"))
-        now = settled(step.join(small(was), ["g", "start"]).filter(F.col("logdet") < F.col("was") - SETTLED).drop("was"), "lesser")
-        if now.settled_rows:
-            best = settled(best.join(small(now.select("g", "start")), ["g", "start"], "left_anti").unionByName(now), "least")
-    if best is None:  # no rows at all
-        return now.select("g", "m", "k")
+    at = ["g", "start"]
+    first = _first(rows, floors).select(*at, "m", "k", F.lit(None).cast("double").alias("logdet"), F.lit(True).alias("moving"))
+    best = settled(first, "starts")
+    while not best.filter("moving").isEmpty():
+        now = small(best.filter("moving").select(*at, "m", "k"), rows=best.settled_rows)
+        near = rows.join(now, "g").withColumn("_bin", F.floor(F.log2(distance(x) + 1e-6) * BINS))
+        edge = settled(_at_share(near, at, SHARE, F.col("_bin")), "edges")
+        core = near.join(small(edge), at).filter("_bin <= edge")
+        step = _with_scatter(_moments(core, at), at, CONSISTENCY, floors).select(*at, *[F.col(c).alias(f"new_{c}") for c in ("m", "k", "logdet")])
+        less = F.col("new_logdet").isNotNull() & (F.col("logdet").isNull() | (F.col("new_logdet") < F.col("logdet") - SETTLED))
+        lesser = [F.when(less, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("m", "k", "logdet")]
+        best = settled(best.join(step, at, "left").select(*at, *lesser, less.alias("moving")), "least")
     mcd = best.groupBy("g").agg(F.min_by(F.struct("m", "k"), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
     core = rows.join(small(settled(mcd, "mcd")), "g").filter(distance(x) <= REWEIGHT_AT)
     return settled(_with_scatter(_moments(core, ["g"]), ["g"], REWEIGHT_BY, floors).select("g", "m", "k"), "reweighted")

@@ -46,9 +46,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """Marks a settled table of narrow rows for broadcast if it has at most so many; else Spark joins by shuffle."""
-    n = df.__dict__.get("settled_rows")
+def small(df: DataFrame, most: int = 500_000, rows: int | None = None) -> DataFrame:
+    """Marks a settled table of narrow rows for broadcast if it has at most so many; else Spark joins by shuffle. rows is known to be no less."""
+    n = df.__dict__.get("settled_rows") if rows is None else rows
     return F.broadcast(df) if (df.count() if n is None else n) <= most else df
 
 

@@ -24,7 +24,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.llm.storage import settled
@@ -136,9 +136,15 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
 
     hashed = sample.select("kind", "doc_id", F.pandas_udf(lambda s: pd.Series([word_ids(t) for t in s], dtype=object), "array<long>")("text").alias("ids"))
     hashed = settled(hashed, "sample")
-    upto = F.sum(F.size("ids")).over(Window.partitionBy("kind").orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id"))
-    fit_in = hashed.select("kind", "doc_id", upto.alias("upto")).filter(F.col("upto") <= most_words).select("kind", "doc_id")
-    used = hashed.join(F.broadcast(fit_in), ["kind", "doc_id"]).select("kind", "doc_id", "ids")  # as many rows as the bounds
+    sizes = hashed.select("kind", "doc_id", F.size("ids").alias("n"), F.xxhash64(F.lit("order"), "doc_id").alias("h")).collect()  # as many rows as the bounds
+    kept, words = [], [0, 0]
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        words[r.kind] += r.n
+        if words[r.kind] <= most_words:
+            kept.append((r.doc_id, r.kind))
+    used = hashed.select("kind", "doc_id", "ids")
+    if len(kept) < len(sizes):
+        used = used.join(F.broadcast(docs.sparkSession.createDataFrame(kept, f"doc_id {dict(docs.dtypes)['doc_id']}, kind int")), ["kind", "doc_id"])
     found = used.repartition(1).mapInArrow(learn, "id long, weight double").collect()  # one task for the bounded sample
     return {r.id: r.weight for r in found if r.id is not None}, next((r.weight for r in found if r.id is None), float("-inf"))
 
