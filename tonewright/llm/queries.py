@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm import chat, decontaminate, licenses, line_dedup, mixing, quality, secret_scan, simhash, toxicity, warc
+from tonewright.llm import alignment, chat, decontaminate, lexical, licenses, line_dedup, mixing, quality, secret_scan, simhash, toxicity, warc
 from tonewright.llm.sql import SQL
 from tonewright.llm.text import table
 
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -79,8 +81,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.postings(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), alignment.pair_of(TOKENIZERS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_toxicity, op3_decontamination, op4_licenses, op5_quality, op6_secrets, op7_chat, op8_mixing, op9_simhash, op10_warc)
+    own = (op1_line_dedup, op2_toxicity, op3_decontamination, op4_licenses, op5_quality, op6_secrets, op7_chat, op8_mixing, op9_simhash, op10_warc, op11_lexical, op13_alignment)
     return {f.__name__: f for f in own}
 
 
