@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm import alignment, chat, decontaminate, lexical, licenses, line_dedup, mixing, quality, secret_scan, simhash, toxicity, warc
+from tonewright.llm import alignment, chat, decontaminate, edit_print, lexical, licenses, line_dedup, mixing, quality, secret_scan, simhash, toxicity, warc
 from tonewright.llm.sql import SQL
 from tonewright.llm.text import table
 
@@ -85,12 +85,16 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.postings(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_print.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), alignment.pair_of(TOKENIZERS))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_toxicity, op3_decontamination, op4_licenses, op5_quality, op6_secrets, op7_chat, op8_mixing, op9_simhash, op10_warc, op11_lexical, op13_alignment)
+    own = (op1_line_dedup, op2_toxicity, op3_decontamination, op4_licenses, op5_quality, op6_secrets, op7_chat, op8_mixing, op9_simhash, op10_warc, op11_lexical, op12_fingerprints, op13_alignment)
     return {f.__name__: f for f in own}
 
 
