@@ -120,14 +120,15 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
     return float((one == other).mean())
 
 
-def prints(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, carry, fingerprint."""
+def prints(docs: DataFrame, *carry: str, walks: int = 1) -> DataFrame:
+    """doc_id, carry, fingerprint, and `again`, the fingerprints of further walks with other coins."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>")
     def fp(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: as_hex(fingerprint(t)))
+        return texts.map(lambda t: [as_hex(fingerprint(t, SEED + k)) for k in range(walks)])
 
-    return docs.select("doc_id", *carry, fp(F.coalesce("text", F.lit(""))).alias("fingerprint"))
+    found = docs.select("doc_id", *carry, fp(F.coalesce("text", F.lit(""))).alias("each_walk"))
+    return found.select("doc_id", *carry, F.col("each_walk")[0].alias("fingerprint"), F.slice("each_walk", 2, walks).alias("again"))
 
 
 # Bands
@@ -164,17 +165,24 @@ def near_pairs(prints: DataFrame, at_least: float = 0.6, bands: int = 64, width:
     return alike.select(F.col("x").alias("a"), F.col("y").alias("b"), "likeness").distinct()
 
 
-def near_documents(docs: DataFrame, similarity: float = 0.8, at_least: float = 0.4) -> tuple[DataFrame, DataFrame]:
+def near_documents(docs: DataFrame, similarity: float = 0.8, at_least: float = 0.4, walks: int = 3) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, distance) of distinct texts whose edit distance is within 1 - similarity of the longer one, by class; and doc_id, class of all rows.
 
-    A class is the texts of one fingerprint; its text is the least one. Candidates have the likeness at_least.
+    A class is the texts of one fingerprint; its text is the least one. Candidates reach the likeness at_least on one of some walks: an edit
+    may keep two walks apart for long, but seldom several with coins of their own.
     """
-    each = settled(prints(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text"), "text-prints")
-    heads = settled(each.groupBy("fingerprint").agg(F.min("text").alias("text")), "print-texts")
-    found = near_pairs(heads, at_least)
+    each = settled(prints(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", walks=walks), "text-prints")
+    heads = settled(each.groupBy("fingerprint").agg(F.min("text").alias("text"), F.min("again").alias("again")), "print-texts")
+    found = near_pairs(heads, at_least).select("a", "b")
+    for k in range(walks - 1):
+        own = heads.select(F.col("again")[k].alias("own"), "fingerprint")
+        pairs = near_pairs(own.select(F.col("own").alias("fingerprint")), at_least)
+        one, other = own.select(F.col("own").alias("a"), F.col("fingerprint").alias("x")), own.select(F.col("own").alias("b"), F.col("fingerprint").alias("y"))
+        named = pairs.join(one, "a").join(other, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        found = found.unionByName(named)
     texts = heads.select(F.col("fingerprint").alias("a"), F.col("text").alias("x")), heads.select(F.col("fingerprint").alias("b"), F.col("text").alias("y"))
     most = F.floor(F.round((1 - similarity) * F.greatest(F.length("x"), F.length("y")), 6)).cast("int")
-    both = found.join(texts[0], "a").join(texts[1], "b").withColumn("most", most)
+    both = found.distinct().join(texts[0], "a").join(texts[1], "b").withColumn("most", most)
     near = both.filter(F.abs(F.length("x") - F.length("y")) <= F.col("most")).withColumn("distance", F.levenshtein("x", "y"))
     return near.filter("distance <= most").select("a", "b", "distance"), each.select("doc_id", F.col("fingerprint").alias("class"))
 
