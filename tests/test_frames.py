@@ -1,5 +1,9 @@
 """Operators over DataFrames: errors as a column, native sources and sinks, streams, plans."""
 
+import random
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from tonewright.operators import packets, predict, resample, samples, tags
 from tonewright.sources import aiff, flac, ogg, registry, udtf, wav
 from tonewright.sources import tags as tag_bytes
 from tonewright.sources.errors import AudioError
-from tonewright.streaming.decoders import Machine, Stream, decode_chunks
+from tonewright.streaming.decoders import OUT, Machine, Stream, decode_chunks, decode_stream
 
 
 def ramp(n=4800):
@@ -177,7 +181,7 @@ def test_stream_order_repeats_and_faults():
     data = ENCODED["Wav"][0]
     chunks = [(k, data[i : i + 500], i + 500 >= len(data)) for k, i in enumerate(range(0, len(data), 500))]
     stream = Stream(Machine("Wav"))
-    out = stream.take(chunks[::-1][:10]) + stream.take(chunks[:5]) + stream.take(chunks)
+    out = [*stream.take(chunks[::-1][:10]), *stream.take(chunks[:5]), *stream.take(chunks)]
     assert np.array_equal(np.concatenate([e[3] for e in out if e[1] == "samples"]), wav.decode(data)[1])
     assert [e[0] for e in out] == list(range(len(out)))
     bad = Machine("Wav")
@@ -193,10 +197,115 @@ def test_stream_bounded_memory():
     machine, most = Machine("Flac"), 0
     for i in range(0, len(data), 512):
         machine.feed(data[i : i + 512])
-        most = max(most, len(machine.pending) + 4 * sum(map(len, machine.ready)))
+        most = max(most, len(machine.saved()["pending"]) + len(machine.saved()["ready"]))
     assert most < len(data) / 2 + 40_000
 
 
+@pytest.mark.parametrize("kind", sorted(ENCODED))
+def test_state_between_feeds_is_a_typed_row(kind):
+    data, decode = ENCODED[kind]
+    machine, out = Machine(kind, 100), []
+    for i in range(0, len(data), 37):
+        out += machine.feed(data[i : i + 37])
+        row = machine.saved()
+        assert len(row["pending"]) + len(row["ready"]) < 20_000
+        machine = Machine.loaded(kind, 100, row)
+    out += machine.flush()
+    assert np.array_equal(np.concatenate([e[2] for e in out if e[0] == "samples"]), decode(data)[1]) and out[-1][3] is None
+
+
+LARGE = {
+    "Wav": lambda n: wav.encode(np.tile(ramp(), n), 44100, 1, "I16"),
+    "Aiff": lambda n: aiff.encode(np.tile(ramp(), n), 44100, 1, 16),
+    "Flac": lambda n: flac.encode(np.tile(ramp(), n), 44100, 1, 16),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LARGE))
+def test_one_large_feed_takes_memory_and_time_in_proportion(kind):
+    took = []
+    for n in (250, 1000):
+        data = LARGE[kind](n)
+        machine, count = Machine(kind), 0
+        tracemalloc.start()
+        began = time.process_time()
+        for event in machine.run(data, True):
+            count += len(event[2]) if event[0] == "samples" else 0
+        took.append((time.process_time() - began, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+        assert count == 4800 * n
+    assert took[1][0] < 8 * took[0][0] + 0.5
+    assert took[1][1] < 48e6 + 2.2 * len(data)
+
+
+def chunks_of(name, data, size):
+    n = -(-len(data) // size)
+    return [(name, k, bytearray(data[k * size : (k + 1) * size]), k == n - 1) for k in range(n)]
+
+
+CHUNKS = "stream_id string, seq long, bytes binary, is_last boolean"
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.set(name, before)
+
+
+def test_stream_goes_on_after_a_restart_and_leaves_no_state(rocks, tmp_path):
+    """Chunks out of order over three runs of one checkpoint, with repeats; a broken stream beside them."""
+    data = ENCODED["Wav"][0]
+    rows = chunks_of("a", data, 700) + chunks_of("b", data, 3000)
+    bad = [("bad", k, bytearray(b"no audio at all"), k == 3) for k in range(4)]
+    random.Random(4).shuffle(rows)
+    n = len(rows)
+    thirds = [rows[: n // 3] + bad[:2], rows[n // 4 : 2 * n // 3] + bad[2:3], rows[2 * n // 3 :] + bad[3:]]
+    for some in thirds:
+        rocks.createDataFrame(some, CHUNKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = rocks.readStream.schema(CHUNKS).parquet(str(tmp_path / "in"))
+        run = decode_stream(stream, "Wav", 500).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+        run.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    events = rocks.read.parquet(str(tmp_path / "out")).orderBy("stream_id", "event_no").collect()
+    for name in "ab":
+        own = [e for e in events if e.stream_id == name]
+        got = np.concatenate([np.array(e.pcm, np.float32) for e in own if e.kind == "samples"])
+        assert np.array_equal(got, wav.decode(data)[1])
+        assert [e.event_no for e in own] == list(range(len(own))) and [own[0].kind, own[-1].kind] == ["header", "end"]
+    assert [(e.kind, e.error.code) for e in events if e.stream_id == "bad"] == [("end", "InvalidHeader")]
+    assert state_rows(rocks, tmp_path, "stream") == {} and state_rows(rocks, tmp_path, "early") == {}
+
+
+def state_rows(spark, where, name):
+    found = spark.read.format("statestore").option("path", str(where / "state")).option("stateVarName", name).load()
+    return {r.key[0]: r for r in found.collect()}
+
+
+def test_stream_that_never_ends_is_flushed_by_its_timer(rocks, tmp_path):
+    data = ENCODED["Wav"][0]
+    rows = chunks_of("cut", data, 1000)[:4] + [r for r in chunks_of("gap", data, 1000) if r[1] != 2]
+    rocks.createDataFrame(rows, CHUNKS).write.parquet(str(tmp_path / "in"))
+    stream = rocks.readStream.schema(CHUNKS).parquet(str(tmp_path / "in"))
+    run = decode_stream(stream, "Wav", 500, idle=1).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start(str(tmp_path / "out"))
+    try:
+        ends = until = {}
+        until = time.monotonic() + 60
+        while len(ends) < 2 and time.monotonic() < until:
+            time.sleep(1)
+            if any((tmp_path / "out").glob("*.parquet")):
+                ends = {e.stream_id: e.error for e in rocks.read.schema(OUT).parquet(str(tmp_path / "out")).filter("kind = 'end'").collect()}
+        time.sleep(3)
+    finally:
+        run.stop()
+    assert ends["cut"].code == "EndOfStream" and "missing" not in ends["cut"].detail
+    assert "chunk 2 is missing" in ends["gap"].detail
+    frames = {r.stream_id: r.n for r in rocks.read.parquet(str(tmp_path / "out")).filter("kind = 'samples'").groupBy("stream_id").agg(F.sum(F.size("pcm")).alias("n")).collect()}
+    assert frames == {"cut": (4000 - 44) // 2, "gap": (2000 - 44) // 2}
+    assert state_rows(rocks, tmp_path, "stream") == {} and state_rows(rocks, tmp_path, "early") == {}
+
+
 def test_chunks_of_a_batch(spark):
     data = ENCODED["Aiff"][0]
     rows = [("a", k, bytearray(data[i : i + 997]), i + 997 >= len(data)) for k, i in enumerate(range(0, len(data), 997))]

@@ -14,7 +14,7 @@ from tonewright.operators import packets, predict
 from tonewright.plans.catalog import SAMPLES, clips, query, samples, scratch, table
 from tonewright.sources import aac, alac, flac, opus, registry, transform, udtf
 from tonewright.sources.bits import BitSink, Bits
-from tonewright.streaming.decoders import decode_chunks, decode_stream
+from tonewright.streaming.decoders import decode_stream
 
 
 def with_info(rows: DataFrame, rate: int = 48000, channels: int = 1) -> DataFrame:
@@ -572,61 +572,75 @@ def events_to_rows(events: DataFrame) -> DataFrame:
     return rows.select(F.col("stream_id").cast("long").alias("clip"), (F.col("before") + F.col("k")).cast("int").alias("i"), F.col("s").cast("double").alias("y"))
 
 
-@query("stream_wav", f"WITH {SAMPLES} {BACK.format(I16)}")
-def stream_wav(spark, sf_dir):
-    """A running query over chunks of 50 bytes, chunk events of 10 frames."""
+def streamed(chunks: DataFrame, kind: str, size: int = 0) -> DataFrame:
+    """The events that a running query made of the chunks; size in frames, 0 for the usual one."""
+    spark = chunks.sparkSession
     where = scratch(spark, "chunks")
-    chunks = chunked(encoded(spark, sf_dir, "Wav", "I16"), 50)
     chunks.write.parquet(f"{where}/in")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = spark.readStream.schema(chunks.schema).parquet(f"{where}/in")
-        events = decode_stream(stream, "Wav", 10)
-        run = events.writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/out")
-        run.awaitTermination()
+        run = decode_stream(stream, kind, size).writeStream.format("parquet").option("checkpointLocation", f"{where}/state")
+        run.trigger(availableNow=True).start(f"{where}/out").awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return events_to_rows(spark.read.parquet(f"{where}/out"))
+        spark.conf.set(name, before)
+    return spark.read.parquet(f"{where}/out")
+
+
+@query("stream_wav", f"WITH {SAMPLES} {BACK.format(I16)}")
+def stream_wav(spark, sf_dir):
+    """Chunks of 50 bytes, events of 10 frames."""
+    return events_to_rows(streamed(chunked(encoded(spark, sf_dir, "Wav", "I16"), 50), "Wav", 10))
 
 
 @query("stream_flac", f"WITH {SAMPLES} {BACK.format(FL16)}")
 def stream_flac(spark, sf_dir):
-    return events_to_rows(decode_chunks(chunked(encoded(spark, sf_dir, "Flac", 16), 13), "Flac", 10))
+    return events_to_rows(streamed(chunked(encoded(spark, sf_dir, "Flac", 16), 13), "Flac", 10))
 
 
 @query("stream_aiff", f"WITH {SAMPLES} {BACK.format(I16)}")
 def stream_aiff(spark, sf_dir):
-    return events_to_rows(decode_chunks(chunked(encoded(spark, sf_dir, "Aiff", 16), 50), "Aiff", 10))
+    return events_to_rows(streamed(chunked(encoded(spark, sf_dir, "Aiff", 16), 50), "Aiff", 10))
+
+
+#: Clips of very unlike lengths: (vec_id % 7 + 1) times as many samples.
+GROWN = "grown AS (SELECT vec_id AS clip, 64 * (vec_id % 7 + 1) AS n FROM embeddings)"
+
+
+def grown(spark, sf_dir, kind: str, option) -> DataFrame:
+    rows = clips(spark, sf_dir).select("clip", F.flatten(F.array_repeat("pcm", (F.col("clip") % 7 + 1).cast("int"))).alias("pcm"))
+    return registry.encode(with_info(rows), kind, option, keep=("clip",))
 
 
-@query("stream_header_event", "SELECT vec_id AS clip, 0::BIGINT AS event_no, 'Wav' AS format, 48000 AS sample_rate, 1 AS channels, 64::BIGINT AS total_samples FROM embeddings")
+@query("stream_header_event", f"WITH {GROWN} SELECT clip, 0::BIGINT AS event_no, 'Wav' AS format, 48000 AS sample_rate, 1 AS channels, n::BIGINT AS total_samples FROM grown")
 def stream_header_event(spark, sf_dir):
-    events = decode_chunks(chunked(encoded(spark, sf_dir, "Wav", "I16"), 13), "Wav", 10).filter("kind = 'header'")
+    events = streamed(chunked(grown(spark, sf_dir, "Wav", "I16"), 31), "Wav", 10).filter("kind = 'header'")
     return events.select(F.col("stream_id").cast("long").alias("clip"), "event_no", "info.format", "info.sample_rate", "info.channels", "info.total_samples")
 
 
-@query("stream_new", "SELECT vec_id AS clip, size::INT AS size, (2 + ceil(64 / CASE WHEN size = 0 THEN 4096 ELSE size END::DOUBLE))::BIGINT AS events FROM embeddings, (VALUES (0), (7), (64), (1000)) s(size)")
+@query("stream_new", f"WITH {GROWN} SELECT clip, size::INT AS size, (2 + ceil(n / CASE WHEN size = 0 THEN 4096 ELSE size END::DOUBLE))::BIGINT AS events FROM grown, (VALUES (0), (7), (64), (1000)) s(size)")
 def stream_new(spark, sf_dir):
     """Chunk sizes in frames; 0 stands for 4096."""
-    chunks = chunked(encoded(spark, sf_dir, "Aiff", 16), 50)
+    chunks = chunked(grown(spark, sf_dir, "Aiff", 16), 200)
     found = None
     for size in (0, 7, 64, 1000):
-        events = decode_chunks(chunks, "Aiff", size).groupBy(F.col("stream_id").cast("long").alias("clip")).agg(F.count("*").alias("events"))
+        events = streamed(chunks, "Aiff", size).groupBy(F.col("stream_id").cast("long").alias("clip")).agg(F.count("*").alias("events"))
         events = events.select("clip", F.lit(size).alias("size"), "events")
         found = events if found is None else found.unionByName(events)
     return found
 
 
-@query("stream_format_info", "SELECT vec_id AS clip, 'Flac' AS format, 48000 AS sample_rate, 2 AS channels, 16 AS bit_depth, 32::BIGINT AS total_samples FROM embeddings")
+@query("stream_format_info", f"WITH {GROWN} SELECT clip, 'Flac' AS format, 48000 AS sample_rate, 1 AS channels, 16 AS bit_depth, n::BIGINT AS total_samples FROM grown")
 def stream_format_info(spark, sf_dir):
-    events = decode_chunks(chunked(encoded(spark, sf_dir, "Flac", 16, channels=2), 20), "Flac").filter("kind = 'header'")
+    events = streamed(chunked(grown(spark, sf_dir, "Flac", 16), 100), "Flac").filter("kind = 'header'")
     return events.select(F.col("stream_id").cast("long").alias("clip"), "info.format", "info.sample_rate", "info.channels", "info.bit_depth", "info.total_samples")
 
 
-@query("stream_flush", "SELECT vec_id AS clip, 9::BIGINT AS events, 4 AS last_frames, 'end' AS last_kind FROM embeddings")
+@query("stream_flush", f"WITH {GROWN} SELECT clip, (2 + ceil(n / 10.0))::BIGINT AS events, CASE WHEN n % 10 = 0 THEN 10 ELSE n % 10 END::INT AS last_frames, 'end' AS last_kind FROM grown")
 def stream_flush(spark, sf_dir):
-    """A header, six chunks of ten frames, the partial one of four, the end."""
-    events = decode_chunks(chunked(encoded(spark, sf_dir, "Wav", "I16"), 100), "Wav", 10)
+    """A header, chunks of ten frames, the partial one, the end."""
+    events = streamed(chunked(grown(spark, sf_dir, "Wav", "I16"), 100), "Wav", 10)
     last = F.max_by(F.size("pcm"), F.when(F.col("kind") == "samples", F.col("event_no")))
     return events.groupBy(F.col("stream_id").cast("long").alias("clip")).agg(F.count("*").alias("events"), last.alias("last_frames"), F.max_by("kind", "event_no").alias("last_kind"))

@@ -1,19 +1,25 @@
 """Incremental decoding of chunked files with Structured Streaming.
 
 Input rows are (stream_id, seq, bytes, is_last); output rows (stream_id, event_no, kind, info, pcm,
-error) with kind header, samples, end. State is small: bytes that aren't decoded yet, the layout once
-known, and chunks that came early. Chunks of a stream are put in order by seq; a gap holds back what
+error) with kind header, samples, end. Chunks of a stream are put in order by seq; a gap holds back what
 follows it. `is_last` marks the flush: the last partial chunk, then end.
 
-    events = decode_stream(chunks, "Wav").writeStream...
+    events = decode_stream(chunks, "Wav", idle=60).writeStream...
     decode_chunks(chunks, "Flac")          # the same machine over a batch, for tests and backfill
+
+A stream's state is one typed row (bytes short of a chunk or a frame, the layout as text, counters) and a map of the chunks
+that came early, of which only those in turn are read. Both are cleared with the end event. A stream that
+fails keeps its counters alone until its last chunk, so that what still comes is dropped. With `idle`, a timer ends streams for which no chunk
+came in so many seconds: what is there is flushed, and the end event carries an error. A chunk that comes again after its
+stream's end begins a stream of that id anew. Events are made as they are taken, so a feed costs its own bytes and one
+piece of samples, in time linear in them.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import json
+from collections.abc import Iterable, Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -22,128 +28,225 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tonewright.sources import aiff, flac, wav
 from tonewright.sources.errors import AudioError
-from tonewright.sources.info import ERROR_TYPE, INFO_TYPE, FormatInfo, info
+from tonewright.sources.info import ERROR_TYPE, INFO_TYPE, info
 
 CHUNK_FRAMES = 4096
+PIECE = 1 << 20  # bytes searched, and samples decoded, at once
 OUT = f"stream_id string, event_no long, kind string, info {INFO_TYPE}, pcm array<float>, error {ERROR_TYPE}"
+STATE = "next long, events long, early long, timer long, failed boolean, layout string, left long, pending binary, ready binary, look long, crc long, crc_at long, now_at long"
+EARLY = "bytes binary, is_last boolean"
+
+
+def _audio_at(data: bytes | bytearray) -> int | None:
+    """Where the frames of a FLAC stream begin; None if its metadata isn't all there."""
+    at = 4
+    while at + 4 <= len(data):
+        last, at = data[at] >> 7, at + 4 + int.from_bytes(data[at + 1 : at + 4], "big")
+        if last:
+            return at if at <= len(data) else None
+    return None
 
 
 @dataclass
 class Machine:
-    """feed(bytes) and flush() return (kind, info, samples, error) tuples. WAV and AIFF by layout, FLAC by closed frames."""
+    """run(bytes, last) gives (kind, info, samples, error) tuples. WAV and AIFF by layout, FLAC by closed frames."""
 
     kind: str
     chunk: int = CHUNK_FRAMES
-    pending: bytes = b""
-    head: FormatInfo | None = None
-    found: object = None
+    pending: bytearray = field(default_factory=bytearray)  # bytes of the header, or samples short of a chunk
+    found: wav.Layout | aiff.Layout | flac.StreamInfo | None = None
     left: int = 0  # bytes of samples still to come
     done: bool = False
-    ready: list = field(default_factory=list)  # decoded FLAC samples short of a chunk
+    ready: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # decoded FLAC samples short of a chunk
     scan: flac.Scanner | None = None
+    raw: bytes = b""  # STREAMINFO
 
     def __post_init__(self):
         self.chunk = self.chunk or CHUNK_FRAMES
 
-    def feed(self, data: bytes) -> list[tuple]:
+    def run(self, data: bytes, last: bool = False) -> Iterator[tuple]:
         if self.done:
-            return []
-        self.pending += data
+            return
         try:
-            return self._flac(False) if self.kind == "Flac" else self._pcm(False)
+            yield from self._flac(data, last) if self.kind == "Flac" else self._pcm(data, last)
         except AudioError as e:
-            return self._fail(e)
+            self.done = True
+            yield "end", None, None, {"code": e.code, "detail": e.detail}
+            return
+        if last:
+            self.done = True
+            yield "end", None, None, None
+
+    def feed(self, data: bytes) -> list[tuple]:
+        return list(self.run(data))
 
     def flush(self) -> list[tuple]:
-        if self.done:
-            return []
-        try:
-            out = self._flac(True) if self.kind == "Flac" else self._pcm(True)
-        except AudioError as e:
-            return self._fail(e)
-        self.done = True
-        return [*out, ("end", None, None, None)]
+        return list(self.run(b"", True))
 
-    def _fail(self, e: AudioError) -> list[tuple]:
-        self.done = True
-        return [("end", None, None, {"code": e.code, "detail": e.detail})]
+    def _all(self, data: bytes) -> bytes | bytearray:
+        """The stream so far, while its header isn't there."""
+        if self.pending or len(data) < PIECE:
+            self.pending += data
+            return self.pending
+        return data
 
-    def _pcm(self, last: bool) -> list[tuple]:
-        out, module = [], wav if self.kind == "Wav" else aiff
+    def _pcm(self, data: bytes, last: bool) -> Iterator[tuple]:
+        view = memoryview(data)
         if self.found is None:
-            self.found = module.layout(self.pending)
-            if self.found is None:
+            whole = self._all(data)
+            found = (wav if self.kind == "Wav" else aiff).layout(whole)
+            if found is None:
                 if last:
                     raise AudioError("InvalidHeader", "the stream ends before its samples")
-                return []
-            f = self.found.check()
-            self.left = f.declared
-            self.head = info(self.kind, f.rate, f.channels, f.bits, f.declared // (f.width * f.channels))
-            self.pending = self.pending[f.start :]
-            out.append(("header", self.head, None, None))
-        f = self.found
-        self.pending = self.pending[: self.left]
-        frame = f.width * f.channels
-        size = self.chunk * frame
-        while len(self.pending) >= size:
-            out.append(("samples", None, f.samples(self.pending[:size]), None))
-            self.pending, self.left = self.pending[size:], self.left - size
+                self.pending = whole if isinstance(whole, bytearray) else bytearray(whole)
+                return
+            self.found = found.check()
+            self.left, self.pending, view = found.declared, bytearray(), memoryview(whole)[found.start :]
+            yield "header", info(self.kind, found.rate, found.channels, found.bits, found.declared // (found.width * found.channels)), None, None
+        frame = self.found.width * self.found.channels
+        size, at = self.chunk * frame, 0
+        view = view[: self.left]
+        self.left -= len(view)
+        if self.pending:
+            at = min(size - len(self.pending), len(view))
+            self.pending += view[:at]
+            if len(self.pending) == size:
+                whole, self.pending = bytes(self.pending), bytearray()
+                yield "samples", None, self._samples(whole), None
+        while len(view) - at >= size:
+            yield "samples", None, self._samples(view[at : at + size]), None
+            at += size
+        self.pending += view[at:]
         if last and len(self.pending) >= frame:
-            out.append(("samples", None, f.samples(self.pending[: len(self.pending) // frame * frame]), None))
-        return out
+            yield "samples", None, self._samples(bytes(self.pending[: len(self.pending) // frame * frame])), None
+
+    def _samples(self, raw: bytes | memoryview) -> np.ndarray:
+        return np.array(self.found.samples(raw), np.float32)  # a copy: nothing keeps the feed
 
-    def _flac(self, last: bool) -> list[tuple]:
-        out = []
+    def _flac(self, data: bytes, last: bool) -> Iterator[tuple]:
+        view = memoryview(data)
         if self.found is None:
-            try:
-                meta = flac.metadata(self.pending)
-            except AudioError as e:
-                if e.code == "EndOfStream" and not last or len(self.pending) < 4 and not last:
-                    return []
-                raise
+            whole = self._all(data)
+            at = _audio_at(whole) if whole[:4] == b"fLaC" else None
+            if at is None:
+                if last or len(whole) >= 4 and whole[:4] != b"fLaC":
+                    flac.metadata(bytes(whole))  # says what is wrong
+                self.pending = whole if isinstance(whole, bytearray) else bytearray(whole)
+                return
+            meta = flac.metadata(bytes(whole[:at]))
+            start = next(b[1] for b in meta.blocks if b[0] == 0)
+            self.raw, self.found, self.scan = bytes(whole[start : start + 34]), meta.info, flac.Scanner(meta.info)
+            self.pending, view = bytearray(), memoryview(whole)[at:]
             s = meta.info
-            self.found = meta
-            self.head = info("Flac", s.rate, s.channels, s.bits, s.total)
-            self.scan = flac.Scanner(s)
-            self.pending = self.pending[meta.audio_at :]
-            out.append(("header", self.head, None, None))
-        s = self.found.info
+            yield "header", info("Flac", s.rate, s.channels, s.bits, s.total), None, None
         # The last frame may still grow, so only frames that another header follows are closed, until the flush.
-        frames = self.scan.feed(self.pending)
-        self.pending = b""
+        for at in range(0, len(view), PIECE):
+            yield from self._decoded(self.scan.feed(view[at : at + PIECE]))
         if last:
-            frames += self.scan.rest(self.found)
-        self.ready += [flac.scaled(x, s.bits).ravel() for x in flac.decode_frames(frames, closed=True)]
-        size = self.chunk * s.channels
-        while sum(map(len, self.ready)) >= size or last and any(map(len, self.ready)):
-            all_ = np.concatenate(self.ready)
-            out.append(("samples", None, all_[:size], None))
-            self.ready = [all_[size:]]
-        return out
+            yield from self._decoded(self.scan.rest(flac.Metadata(self.found, [], 0, [])))
+            if len(self.ready):
+                yield "samples", None, self.ready, None
+
+    def _decoded(self, frames: list) -> Iterator[tuple]:
+        """Samples of frames, of so many frames at once that they fit a piece."""
+        s, some, held = self.found, [], 0
+        for k, item in enumerate(frames):
+            some.append(item)
+            held += item[1].block * s.channels
+            if held < PIECE and k + 1 < len(frames):
+                continue
+            own = [flac.scaled(x, s.bits).ravel() for x in flac.decode_frames(some, closed=True)]
+            some, held = [], 0
+            whole, size = np.concatenate([self.ready, *own]), self.chunk * s.channels
+            cut = len(whole) // size * size
+            self.ready = whole[cut:].copy()
+            for at in range(0, cut, size):
+                yield "samples", None, whole[at : at + size].copy(), None
+
+    def saved(self) -> dict:
+        """What the next feed needs, by the names of STATE."""
+        layout, scan = None, self.scan
+        if self.found is not None:
+            layout = self.raw.hex() if self.kind == "Flac" else json.dumps(asdict(self.found))
+        return {
+            "layout": layout, "left": self.left, "pending": bytes(scan.data if scan else self.pending), "ready": self.ready.tobytes(),
+            "look": scan.look if scan else 0, "crc": scan.crc if scan else 0, "crc_at": scan.crc_at if scan else 0, "now_at": scan.now.at if scan and scan.now else -1,
+        }
+
+    @classmethod
+    def loaded(cls, kind: str, chunk: int, row: dict) -> Machine:
+        m = cls(kind, chunk, pending=bytearray(row["pending"]), left=row["left"], ready=np.frombuffer(row["ready"], np.float32))
+        if row["layout"] is not None and kind == "Flac":
+            m.raw = bytes.fromhex(row["layout"])
+            m.found = flac.streaminfo(m.raw)
+            m.scan, m.pending = flac.Scanner(m.found), bytearray()
+            m.scan.data, m.scan.look, m.scan.crc, m.scan.crc_at = bytearray(row["pending"]), row["look"], row["crc"], row["crc_at"]
+            m.scan.now = flac.frame_header(m.scan.data, row["now_at"], m.found) if row["now_at"] >= 0 else None
+        elif row["layout"] is not None:
+            m.found = (wav if kind == "Wav" else aiff).Layout(**json.loads(row["layout"]))
+        return m
 
 
 @dataclass
 class Stream:
+    """Chunks in turn through a machine. early holds those that came before their turn: a dict, or the like over a state."""
+
     machine: Machine
     next: int = 0
     events: int = 0
-    early: dict = field(default_factory=dict)
+    n_early: int = 0
+    early: object = field(default_factory=dict)
+    over: bool = False  # the last chunk was taken
 
-    def take(self, rows: list[tuple[int, bytes, bool]]) -> list[tuple]:
+    def take(self, rows: Iterable[tuple[int, bytes, bool]]) -> Iterator[tuple]:
         """Rows (seq, bytes, is_last) in any order; a seq seen before is ignored."""
-        out = []
-        for seq, data, last in rows:
-            if seq >= self.next:
-                self.early[seq] = data or b"", bool(last)
-        while self.next in self.early:
-            data, last = self.early.pop(self.next)
-            self.next += 1
-            out += self.machine.feed(data)
-            if last:
-                out += self.machine.flush()
-        numbered = [(self.events + k, *x) for k, x in enumerate(out)]
-        self.events += len(out)
-        return numbered
+        for seq, data, last in sorted(rows, key=lambda r: r[0]):
+            self.over |= self.machine.done and last
+            if seq < self.next or self.machine.done:
+                continue
+            if seq > self.next:
+                if seq not in self.early:
+                    self.early[seq] = data or b"", bool(last)
+                    self.n_early += 1
+                continue
+            yield from self._one(data or b"", last)
+            while self.n_early and not self.machine.done and self.next in self.early:
+                self.n_early -= 1
+                yield from self._one(*self.early.pop(self.next))
+
+    def _one(self, data: bytes, last: bool) -> Iterator[tuple]:
+        self.next += 1
+        self.over |= bool(last)
+        for event in self.machine.run(data):
+            yield self._numbered(event)
+        if last:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple]:
+        for event in self.machine.run(b"", True):
+            yield self._numbered(event)
+
+    def _numbered(self, event: tuple) -> tuple:
+        self.events += 1
+        return (self.events - 1, *event)
+
+
+class EarlyChunks:
+    """The dict of a stream's early chunks over a map state."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def __contains__(self, seq: int) -> bool:
+        return self.state.containsKey((seq,))
+
+    def __setitem__(self, seq: int, chunk: tuple[bytes, bool]) -> None:
+        self.state.updateValue((seq,), chunk)
+
+    def pop(self, seq: int) -> tuple[bytes, bool]:
+        data, last = self.state.getValue((seq,))
+        self.state.removeKey((seq,))
+        return bytes(data), last
 
 
 def _frame(key: str, events: list[tuple]) -> pd.DataFrame:
@@ -160,40 +263,95 @@ def _frame(key: str, events: list[tuple]) -> pd.DataFrame:
     )
 
 
+def _frames(key: str, events: Iterable[tuple], most: int = PIECE) -> Iterator[pd.DataFrame]:
+    """Events in frames of a bounded number of samples."""
+    some, held = [], 0
+    for e in events:
+        some.append(e)
+        held += len(e[3]) if e[3] is not None else 1
+        if held >= most:
+            yield _frame(key, some)
+            some, held = [], 0
+    if some:
+        yield _frame(key, some)
+
+
 def _rows(pdf: pd.DataFrame) -> list[tuple[int, bytes, bool]]:
     return [(int(s), bytes(b) if b is not None else b"", bool(e)) for s, b, e in zip(pdf.seq, pdf.bytes, pdf.is_last, strict=True)]
 
 
 class Decoder(StatefulProcessor):
-    def __init__(self, kind: str, chunk: int):
-        self.kind, self.chunk = kind, chunk
+    def __init__(self, kind: str, chunk: int, idle: float | None = None):
+        self.kind, self.chunk, self.idle = kind, chunk, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stream", "content binary")
+        self.handle = handle
+        self.state = handle.getValueState("stream", STATE)
+        self.early = handle.getMapState("early", "seq long", EARLY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stream = pickle.loads(self.state.get()[0]) if self.state.exists() else Stream(Machine(self.kind, self.chunk))
-        events = []
+        stream, timer = self._loaded()
         for pdf in rows:
-            events += stream.take(_rows(pdf))
-        self.state.update((pickle.dumps(stream),))
-        if events:
-            yield _frame(key[0], events)
+            yield from _frames(key[0], stream.take(_rows(pdf)))
+        if self.idle is not None:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.idle)
+        if stream.machine.done and stream.over:
+            self._clear()
+            return
+        if self.idle is not None:
+            self.handle.registerTimer(timer)
+        self._save(stream, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        stream, _ = self._loaded()
+        detail = f"no chunk came for {self.idle:g} seconds" + (f"; chunk {stream.next} is missing" if stream.n_early else "")
+        events = ((*e[:4], e[4] or {"code": "EndOfStream", "detail": detail}) if e[1] == "end" else e for e in stream.flush())
+        yield from _frames(key[0], events)
+        self._clear()
+
+    def _loaded(self) -> tuple[Stream, int]:
+        if not self.state.exists():
+            return Stream(Machine(self.kind, self.chunk), early=EarlyChunks(self.early)), -1
+        row = dict(zip([x.split(" ")[0] for x in STATE.split(", ")], self.state.get(), strict=True))
+        machine = Machine(self.kind, self.chunk, done=True) if row["failed"] else Machine.loaded(self.kind, self.chunk, row)
+        return Stream(machine, row["next"], row["events"], row["early"], EarlyChunks(self.early)), row["timer"]
+
+    def _save(self, stream: Stream, timer: int) -> None:
+        failed = stream.machine.done
+        if failed and stream.n_early:
+            self.early.clear()
+            stream.n_early = 0
+        row = {"next": stream.next, "events": stream.events, "early": stream.n_early, "timer": timer, "failed": failed}
+        row |= (Machine(self.kind) if failed else stream.machine).saved()
+        self.state.update(tuple(row[x.split(" ")[0]] for x in STATE.split(", ")))
+
+    def _clear(self) -> None:
+        self.state.clear()
+        self.early.clear()
 
     def close(self) -> None:
         pass
 
 
-def decode_stream(chunks: DataFrame, kind: str, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
-    """Streaming; needs the RocksDB state store."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(Decoder(kind, chunk_frames), OUT, "Append", "None")
+def decode_stream(chunks: DataFrame, kind: str, chunk_frames: int = CHUNK_FRAMES, idle: float | None = None) -> DataFrame:
+    """Streaming; needs the RocksDB state store.
+
+    idle: seconds after which a stream without new chunks is flushed and ended. Spark then runs batches as long as the query does, so it is for
+    triggers by processing time, not for availableNow, which would not end.
+    """
+    mode = "None" if idle is None else "ProcessingTime"
+    return chunks.groupBy("stream_id").transformWithStateInPandas(Decoder(kind, chunk_frames, idle), OUT, "Append", mode)
 
 
 def decode_chunks(chunks: DataFrame, kind: str, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
     """The same over a batch, for tests and backfill: a stream's chunks meet in one task, and in its memory."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key[0], Stream(Machine(kind, chunk_frames)).take(_rows(pdf)))
+        return _frame(key[0], list(Stream(Machine(kind, chunk_frames)).take(_rows(pdf))))
 
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an explicit number: few bytes are much work here
     return chunks.repartition(tasks, "stream_id").groupBy("stream_id").applyInPandas(one, OUT)
