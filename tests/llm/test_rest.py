@@ -342,6 +342,25 @@ def test_training_is_bounded_by_words(spark, docs):
     assert toxicity.train(df, known, most_words=2000) != toxicity.train(df, known) == toxicity.train(df, known, most_words=10**7)
 
 
+def test_toxicity_sample_takes_an_id_once_and_goes_on_behind_a_huge_document(spark, docs):
+    rows, labels, bad = toxic_rows()
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = toxicity.train(docs(rows, extra=False), known, most_unlabelled=200)
+    first = min((i for i, _ in rows if i is not None and toxicity.crc32(str(i).encode()) % 5), key=lambda i: (-signed_hash(spark, i), i))
+    text = dict(rows)[first]
+    again = docs(rows, extra=False).unionByName(docs([(first, text)], extra=False).crossJoin(spark.range(20_000)).drop("id"))
+    assert toxicity.train(again, known, most_unlabelled=200) == want
+    # A document above the bound on words is left out, not all that come behind it.
+    huge = docs([(i, " ".join(f"w{k}" for k in range(60_000)) if i == first else t) for i, t in rows], extra=False)
+    without = docs([(i, t) for i, t in rows if i != first], extra=False)
+    got = toxicity.train(huge, known, most_words=50_000)
+    assert len(got[0]) > 0 and got == toxicity.train(without, known.filter(f"doc_id <> {first}").unionByName(known.filter(f"doc_id = {first}")), most_words=50_000)
+
+
+def signed_hash(spark, i):
+    return spark.sql(f"SELECT xxhash64('sample', {i}L) AS h").first().h
+
+
 def test_risk_ignores_toxic_rows_among_the_unlabelled():
     """Half of the toxic rows hide in the unlabelled sample; they must still score high."""
     rng = np.random.default_rng(1)

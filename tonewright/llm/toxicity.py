@@ -106,7 +106,8 @@ def in_fold(doc_id: Column, folds: int = FOLDS) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED, most_words: int = MOST_WORDS) -> tuple[dict[int, float], float]:
     """Weights and constant; no weight and -inf if no label of the training fold is toxic.
 
-    Of each sample the documents are used, by the hash, up to most_words distinct words of theirs in all.
+    Of each sample the documents are used, by the hash, that fit into most_words distinct words in all: one that doesn't fit is left out, those behind it
+    still count. An id is sampled once, however many rows it has.
     """
     known = (
         labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
@@ -120,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     by_hash = F.xxhash64(F.lit("sample"), "doc_id")
     chosen = known.filter("toxic = 1").orderBy(by_hash, "doc_id").limit(most_toxic).select("doc_id").withColumn("kind", F.lit(1))
     # Text without regard to labels; toxic rows among it are what the risk is made for.
-    rest = docs.filter(in_fold(F.col("doc_id")) != 0).select("doc_id")
+    rest = docs.filter("doc_id IS NOT NULL").filter(in_fold(F.col("doc_id")) != 0).select("doc_id").distinct()
     rest = rest.orderBy(by_hash.desc(), "doc_id").limit(most_unlabelled).withColumn("kind", F.lit(0))
     ids = sorted({(r.doc_id, r.kind) for r in chosen.unionByName(rest).collect() if r.doc_id is not None})
     pick = F.broadcast(docs.sparkSession.createDataFrame(ids, f"doc_id {dict(docs.dtypes)['doc_id']}, kind int"))  # as many rows as the bounds
@@ -139,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     sizes = hashed.select("kind", "doc_id", F.size("ids").alias("n"), F.xxhash64(F.lit("order"), "doc_id").alias("h")).collect()  # as many rows as the bounds
     kept, words = [], [0, 0]
     for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
-        words[r.kind] += r.n
-        if words[r.kind] <= most_words:
+        if words[r.kind] + r.n <= most_words:
+            words[r.kind] += r.n
             kept.append((r.doc_id, r.kind))
     used = hashed.select("kind", "doc_id", "ids")
     if len(kept) < len(sizes):
