@@ -12,7 +12,7 @@ from tonewright.functions.headers import wav_header_write
 from tonewright.functions.numeric import part, to_be
 from tonewright.operators import packets, predict
 from tonewright.plans.catalog import SAMPLES, clips, query, samples, scratch, table
-from tonewright.sources import aac, alac, flac, opus, registry, transform, udtf
+from tonewright.sources import aac, alac, flac, opus, registry, splits, transform, udtf
 from tonewright.sources.bits import BitSink, Bits
 from tonewright.streaming.decoders import decode_stream
 
@@ -549,6 +549,33 @@ def open_any(spark, sf_dir):
     return found.select("clip", "kind", "format", F.col("error.code").alias("code"), F.when(F.col("pcm").isNotNull(), F.size("pcm")).alias("n"))
 
 
+@query("decode_file_split", LONG.replace("((clip % 100) * 64 + i) // 4096 AS frame_no, ", ""))
+def decode_file_split(spark, sf_dir):
+    """FLAC files of more than a block, each read by several tasks."""
+    return _frame_rows(_parts_of_long(spark, sf_dir, partitionBytes=4000))
+
+
+@query("flac_range_pushdown", f"WITH long AS ({LONG}) SELECT clip, i, y FROM long WHERE i >= 4200 AND i < 5000")
+def flac_range_pushdown(spark, sf_dir):
+    """The range is in the reader's hands (for the session, filters on Python sources are pushed): it opens the bytes that hold it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return _frame_rows(splits.between(_parts_of_long(spark, sf_dir, pushdown="true"), 4200, 5000))
+
+
+def _parts_of_long(spark, sf_dir, **options) -> DataFrame:
+    where = scratch(spark, "long")
+    info = F.struct(F.lit(44100).alias("sample_rate"), F.lit(1).alias("channels"))
+    files = registry.encode(long_clips(spark, sf_dir).withColumn("info", info), "Flac", 16, keep=("clip",)).withColumn("clip", F.col("clip").cast("string"))
+    registry.write_files(files, where, "clip", ".flac").agg(F.count("*")).collect()
+    spark.dataSource.register(splits.FrameSource)
+    return spark.read.format("audio_frames").options(**{k: str(v) for k, v in options.items()}).load(where)
+
+
+def _frame_rows(rows: DataFrame) -> DataFrame:
+    found = rows.select(_clip(), "start", F.posexplode("pcm").alias("k", "s"))
+    return found.select("clip", (F.col("start") + F.col("k")).cast("int").alias("i"), F.col("s").cast("double").alias("y"))
+
+
 @query("codec_trait", "SELECT unnest(['Aac', 'Aiff', 'Alac', 'Flac', 'Mp3', 'Ogg', 'Opus', 'Wav']) AS codec")
 def codec_trait(spark, sf_dir):
     return spark.createDataFrame([(k,) for k in sorted(registry.DECODERS)], "codec string")
