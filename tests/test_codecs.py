@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import struct
+import time
 import wave
 
 import numpy as np
@@ -365,6 +366,23 @@ def test_resample_there_and_back():
 
 
 def test_dither():
+    x, draws = dither.SEED, []
+    for _ in range(2 * 5000):  # step by step
+        x ^= x << 13 & dither.MASK
+        x ^= x >> 17
+        x ^= x << 5 & dither.MASK
+        draws.append(np.float32(x) / np.float32(4294967295) * np.float32(2) - np.float32(1))
+    slow = np.array([(a + b) * np.float32(0.5) for a, b in zip(draws[::2], draws[1::2], strict=True)], np.float32)
+    for start, n in ((0, 5000), (0, 1), (0, 0), (17, 4000), (4999, 1)):
+        assert np.array_equal(dither.noise_range(start, n), slow[start : start + n])
+    far = dither.noise_range(3_000_000_000, 500)
+    assert np.array_equal(dither.noise_range(3_000_000_100, 300), far[100:400])
+    long = np.zeros(dither.PIECE + 70, np.float32)
+    assert np.array_equal(dither.with_noise(long, 1.0)[-100:], dither.noise_range(dither.PIECE - 30, 100))
+    assert np.array_equal(dither.with_noise(long[:90], 1.0, 55), dither.noise_table(145)[55:])
+    began = time.process_time()
+    dither.noise_range(0, 2_000_000)
+    assert time.process_time() - began < 2
     noise = dither.noise_table(4096)
     assert np.abs(noise).max() <= 1 and abs(noise.mean()) < 0.02 and noise.std() > 0.3
     x = np.full(4096, 0.5, np.float32)

@@ -164,9 +164,20 @@ NOISE = """noise AS (SELECT a.n // 2 AS i, ((a.x::FLOAT / 4294967295::FLOAT * 2:
       FROM x1 a JOIN x1 b ON b.n = a.n + 1 WHERE a.n % 2 = 1)"""
 
 
-@query("xorshift32", f"WITH {STATES} SELECT n::INT AS n, x FROM x1 WHERE n > 0")
+@query("xorshift32", f"WITH {STATES.replace('n < 128', 'n < 2000')} SELECT l_orderkey AS k, l_linenumber AS line, n::INT AS n, x FROM lineitem JOIN x1 ON n = l_partkey % 2000 + 1")
 def xorshift32(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(dither.states(128)).alias("n", "x")).withColumn("n", F.col("n") + 1)
+    """The state after as many steps as a row says."""
+    n = (F.col("l_partkey") % 2000 + 1).cast("int").alias("n")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), n).withColumn("x", dither.state_after(F.col("n")))
+
+
+@query("dither_tpdf_parts", f"WITH {STATES.replace('WITH ', '')}, {NOISE}, {SAMPLES} SELECT clip, i, (s + d * (1.0::FLOAT / 32768::FLOAT))::DOUBLE AS y FROM samples JOIN noise USING (i)")
+def dither_tpdf_parts(spark, sf_dir):
+    """Clips in parts of 20 samples, each with the noise of its own place."""
+    parts = clips(spark, sf_dir).select("clip", "pcm", F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(20))).alias("first"))
+    noisy = dither.tpdf_dither(parts.withColumn("pcm", F.slice("pcm", F.col("first") + 1, 20)), 16, keep=("clip", "first"), at=F.col("first"))
+    rows = noisy.select("clip", "first", F.posexplode("pcm").alias("k", "s"))
+    return rows.select("clip", (F.col("first") + F.col("k")).cast("int").alias("i"), F.col("s").cast("double").alias("y"))
 
 
 @query("dither_tpdf", f"WITH {STATES.replace('WITH ', '')}, {NOISE}, {SAMPLES} SELECT clip, i, (s + d * (1.0::FLOAT / 32768::FLOAT))::DOUBLE AS y FROM samples JOIN noise USING (i)")
