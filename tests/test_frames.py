@@ -278,6 +278,44 @@ def test_stream_goes_on_after_a_restart_and_leaves_no_state(rocks, tmp_path):
     assert state_rows(rocks, tmp_path, "stream") == {} and state_rows(rocks, tmp_path, "early") == {}
 
 
+def test_growing_files_are_streams_exactly_once_over_restarts(rocks, tmp_path):
+    """Files grow between the runs of one checkpoint; one ends with a marker at the edge of a chunk, one has nothing but a marker."""
+    from tonewright.sources.chunks import ChunkReader, ChunkSource
+
+    rocks.dataSource.register(ChunkSource)
+    data, folder = ENCODED["Wav"][0], tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    even = wav.encode(ramp(478), 44100, 1, "I16")  # 1,000 bytes
+    assert len(even) == 1000
+
+    def run():
+        stream = rocks.readStream.format("audio_chunks").option("chunkBytes", "500").option("partitionBytes", "1000").load(f"file://{folder}")
+        made = decode_stream(stream, "Wav", 300).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+        made.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+
+    (folder / "a.wav").write_bytes(data[:4100])
+    (folder / "deep" / "b.wav").write_bytes(even)
+    run()
+    with open(folder / "a.wav", "ab") as f:
+        f.write(data[4100:])
+    (folder / "deep" / "b.wav.end").touch()
+    (folder / "empty.wav").touch()
+    (folder / "empty.wav.end").touch()
+    run()
+    (folder / "a.wav.end").touch()
+    run()
+    run()
+    events = rocks.read.parquet(str(tmp_path / "out")).orderBy("stream_id", "event_no").collect()
+    for name, whole in (("a.wav", data), ("deep/b.wav", even)):
+        own = [e for e in events if e.stream_id == name]
+        assert np.array_equal(np.concatenate([np.array(e.pcm, np.float32) for e in own if e.kind == "samples"]), wav.decode(whole)[1])
+        assert [e.event_no for e in own] == list(range(len(own))) and own[-1].kind == "end" and own[-1].error is None
+    assert [(e.kind, e.error.code) for e in events if e.stream_id == "empty.wav"] == [("end", "InvalidHeader")]
+    assert state_rows(rocks, tmp_path, "stream") == {}
+    reader = ChunkReader({"path": f"file://{folder}", "chunkBytes": "500"})
+    assert reader.latestOffset()["deep/b.wav"] == [3, True] and reader.partitions(reader.latestOffset(), reader.latestOffset()) == []
+
+
 def state_rows(spark, where, name):
     found = spark.read.format("statestore").option("path", str(where / "state")).option("stateVarName", name).load()
     return {r.key[0]: r for r in found.collect()}

@@ -13,6 +13,7 @@ from tonewright.functions.numeric import part, to_be
 from tonewright.operators import packets, predict
 from tonewright.plans.catalog import SAMPLES, clips, query, samples, scratch, table
 from tonewright.sources import aac, alac, flac, opus, registry, splits, transform, udtf
+from tonewright.sources import chunks as chunk_files
 from tonewright.sources.bits import BitSink, Bits
 from tonewright.streaming.decoders import decode_stream
 
@@ -601,14 +602,17 @@ def events_to_rows(events: DataFrame) -> DataFrame:
 
 def streamed(chunks: DataFrame, kind: str, size: int = 0) -> DataFrame:
     """The events that a running query made of the chunks; size in frames, 0 for the usual one."""
-    spark = chunks.sparkSession
-    where = scratch(spark, "chunks")
+    where = scratch(chunks.sparkSession, "chunks")
     chunks.write.parquet(f"{where}/in")
+    return run_through(chunks.sparkSession.readStream.schema(chunks.schema).parquet(f"{where}/in"), kind, size)
+
+
+def run_through(stream: DataFrame, kind: str, size: int = 0) -> DataFrame:
+    spark, where = stream.sparkSession, scratch(stream.sparkSession, "events")
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema(chunks.schema).parquet(f"{where}/in")
         run = decode_stream(stream, kind, size).writeStream.format("parquet").option("checkpointLocation", f"{where}/state")
         run.trigger(availableNow=True).start(f"{where}/out").awaitTermination()
     finally:
@@ -616,6 +620,16 @@ def streamed(chunks: DataFrame, kind: str, size: int = 0) -> DataFrame:
     return spark.read.parquet(f"{where}/out")
 
 
+@query("decode_reader_stream", f"WITH {SAMPLES} {BACK.format(FL16)}")
+def decode_reader_stream(spark, sf_dir):
+    """Files read as streams of chunks and decoded by a running query."""
+    where = written(spark, sf_dir, "Flac", 16)
+    spark.dataSource.register(chunk_files.ChunkSource)
+    stream = spark.readStream.format("audio_chunks").option("closed", "true").option("chunkBytes", "64").load(where)
+    events = run_through(stream, "Flac").withColumn("stream_id", F.regexp_extract("stream_id", r"(\d+)\.\w+$", 1))
+    return events_to_rows(events)
+
+
 @query("stream_wav", f"WITH {SAMPLES} {BACK.format(I16)}")
 def stream_wav(spark, sf_dir):
     """Chunks of 50 bytes, events of 10 frames."""
