@@ -163,7 +163,8 @@ def encode(clips: DataFrame, target: str, option: str | int | None = None, mode:
 def write_files(files: DataFrame, where: str, name: str = "path", suffix: str = "") -> DataFrame:
     """Writes content under where/name and returns path and bytes of what it wrote. Runs when the result is read.
 
-    Files are written under a name of the attempt and moved into place, so repeated tasks leave whole files.
+    Files are written under a name of the attempt and moved into place, so repeated tasks leave whole files. A name that would leave the folder is an
+    error; of rows of one name the last written stays (the sink of `writer` keeps them apart).
     """
     rows = files.select(F.col(name).cast("string").alias("name"), "content")
 
@@ -177,6 +178,8 @@ def write_files(files: DataFrame, where: str, name: str = "path", suffix: str =
         for batch in batches:
             paths, sizes = [], []
             for title, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not title or "/" in title or "\\" in title or title in (".", ".."):
+                    raise AudioError("EncodeError", f"no name for a file: {title!r}")
                 path, part = f"{root}/{title}{suffix}", f"{root}/_{uuid.uuid4().hex}"
                 with store.open_output_stream(part, compression=None) as out:
                     out.write(raw or b"")
