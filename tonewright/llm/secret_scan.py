@@ -11,7 +11,8 @@ Documents are named in the index by a hash of doc_id and text, so repeated rows
 a collision only adds candidates. Null texts are empty and have no spans. Spans count code points,
 ends are exclusive; matches are the leftmost non-overlapping ones of each rule, and a match whose
 group is too short is dropped after it has consumed its text. Other columns are ignored. No Python
-runs on the executors.
+runs on the executors. Long texts are scanned whole. Spans of several rules that start at one place go in the order of the
+rules; they may overlap. An empty table gives an empty one.
 """
 
 from __future__ import annotations
