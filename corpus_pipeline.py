@@ -1,7 +1,8 @@
 """The training corpus from documents: five stages, each written as Parquet and read again by the next.
 
 Rows are told apart by doc_id and text, so repeated ids, and rows without one, are decided each for itself. Null and empty texts fail the
-quality rules. Texts are read whole at any length. Of copies the one with the least doc_id stays; of equal rows one. All but the last stage
+quality rules. Texts are read whole at any length. Of copies the one with the least doc_id stays, of equal rows one; rows
+without a doc_id are no one's copies and stay. All but the last stage
 return the columns of documents, other columns included, whatever their names. An empty table goes through as one.
 """
 
