@@ -9,7 +9,7 @@ from oracle import DATA, database, rows_of, rows_of_sql
 from test_lines import expected
 from test_rest import slow_counts, slow_mcd, slow_targets
 from test_scans import slow_containment
-from test_simhash import slow_fingerprint, slow_roots
+from test_simhash import slow_fingerprint, slow_roots, slow_without_alike
 
 import corpus_pipeline
 from tonewright.llm import quality
@@ -70,7 +70,9 @@ def slow_one_of_each(rows):
     for r, p in zip(rows, prints, strict=True):
         if r[0] is not None:
             least[root[p]] = min(least.get(root[p], r[0]), r[0])
-    return [r for r, p in zip(rows, prints, strict=True) if r[0] is None or least[root[p]] == r[0]]
+    linked = [r for r, p in zip(rows, prints, strict=True) if r[0] is None or least[root[p]] == r[0]]
+    stay = set(slow_without_alike([r[:2] for r in linked]))
+    return [r for r in linked if r[:2] in stay]
 
 
 def slow_mix(rows):

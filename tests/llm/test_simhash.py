@@ -96,3 +96,93 @@ def test_unlike_texts_of_one_id_stay(docs):
     rows = [(1, a), (2, a), (2, b), (2, b.upper()), (2, c), (2, c), (3, c), (None, a), (None, b)]
     got = simhash.one_of_each(docs(rows)).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, a), (2, b.upper()), (2, c), (None, a), (None, b)], key=repr)
+
+
+def slow_shingles(text):
+    ws = (text or "").lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+
+def slow_alike(a, b):
+    x, y = slow_shingles(a), slow_shingles(b)
+    return bool(x and y) and len(x & y) / len(x | y) >= 0.8
+
+
+def slow_word_prints(text, prints=3):
+    ws = (text or "").lower().split()
+    out = []
+    for seed in range(prints):
+        sums = [0] * 64
+        for w in set(ws):
+            weight, h = round(256 * ws.count(w) ** 0.5), xxhash.xxh64_intdigest(w.encode(), seed)
+            for k in range(64):
+                sums[k] += weight if h >> k & 1 else -weight
+        out.append(sum(1 << k for k in range(64) if sums[k] > 0))
+    return out
+
+
+def slow_without_alike(rows):
+    """Rows (doc_id, text) that stay, each pair looked at."""
+    prints = [slow_word_prints(t) for _, t in rows]
+    root = list(range(len(rows)))
+    top = lambda i: i if root[i] == i else top(root[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            if None not in (rows[i][0], rows[j][0]) and any((p ^ q).bit_count() <= 4 for p, q in zip(prints[i], prints[j], strict=True)) and slow_alike(rows[i][1], rows[j][1]):
+                root[top(i)] = top(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[top(i)] = min(least.get(top(i), doc_id), doc_id)
+    return [r for i, r in enumerate(rows) if r[0] is None or least[top(i)] == r[0]]
+
+
+def edited(rng, ws, n):
+    ws = list(ws)
+    for at in rng.sample(range(len(ws)), n):
+        ws[at] = f"x{rng.randrange(10**6)}"
+    return ws
+
+
+def corpus(seed, n, copies):
+    """Texts of 60 to 300 words and copies of them with up to 4 percent of the words changed."""
+    rng, vocabulary, rows = random.Random(seed), [f"w{i}" for i in range(3000)], []
+    for _ in range(n):
+        ws = rng.choices(vocabulary, weights=[1 / (i + 5) for i in range(3000)], k=rng.randrange(60, 300))
+        rows.append(ws)
+        rows += [edited(rng, ws, rng.randrange(0, len(ws) // 25)) for _ in range(rng.randrange(copies + 1))]
+    rng.shuffle(rows)
+    return [(i, " ".join(ws)) for i, ws in enumerate(rows)]
+
+
+def test_word_prints_by_bits():
+    for text in (None, "", "a", "b a b", " ".join(f"v{i % 700}" for i in range(9000))):
+        assert [p & (1 << 64) - 1 for p in simhash.word_prints(text)] == slow_word_prints(text)
+
+
+def test_alike_documents_against_all_pairs(spark, docs):
+    rows = corpus(1, 60, 3) + [(1000, None), (1001, ""), (1002, "a b"), (1003, "a b"), (None, "one two three four five"), (1004, "one two three four five"), (None, None)]
+    df = docs(rows)
+    got = simhash.without_alike(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(slow_without_alike(rows), key=repr)
+    assert simhash.without_alike(docs([])).count() == 0
+
+
+def test_recall_and_precision_of_alike_documents(docs):
+    rows = corpus(2, 150, 1)
+    kept = {r.doc_id for r in simhash.without_alike(docs(rows, extra=False)).collect()}
+    pairs = [(i, j) for i, a in rows for j, b in rows if i < j and slow_alike(a, b)]
+    assert len(pairs) > 30 and sum(j not in kept for _, j in pairs) >= 0.9 * len(pairs)
+    assert {i for i, _ in rows} - kept <= {j for _, j in pairs}
+
+
+@pytest.mark.parametrize("unlike", [0, 40])
+def test_crowded_keys_leave_one_of_each(docs, unlike):
+    """Hundreds of near copies in one key, and texts of equal words in another order, which no similarity joins."""
+    rng = random.Random(5)
+    base = [f"w{i % 190}" for i in range(300)]
+    rows = [(i, " ".join(edited(rng, base, i % 4))) for i in range(150)]
+    rows += [(1000 + i, " ".join(rng.sample(base, 300))) for i in range(unlike)]
+    got = {r.doc_id for r in simhash.without_alike(docs(rows, extra=False), pairwise=8).collect()}
+    assert got == {0, *range(1000, 1000 + unlike)}

@@ -15,13 +15,22 @@ A bit set in half of the hashes is 0. Repeated rows get the same result. A null
 component unless all its rows have none. An empty table gives an empty one. Other columns are
 ignored, or kept as they are where documents are returned.
 
+Documents alike by words (`without_alike`, for whole documents): fingerprints of word shingles lie 2 to 11 bits apart at
+a five-word similarity of 0.8, too far for blocks. Fingerprints of single words, each by the root of its count, lie 0 to 6 bits
+apart there. Several such fingerprints, of unlike hashes, are cut into blocks; a pair that is within d bits in any of them is
+verified by the Jaccard similarity of its sets of five-word shingles. Keys of up to pairwise documents are joined pair by
+pair. In a crowded key all are compared to a few leaders, those found alike are represented by one and leave, and the rest goes
+into the next round; a round that hardly helps ends with all pairs within d bits. So of two documents that stay none are alike,
+if any fingerprint shows it. Texts of fewer words than a shingle and rows without a doc_id take no part.
+
 A key or a fingerprint with very many rows is never collected: counts and minima are partial
 aggregates. Rows only meet by key again in joins to one row a key, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections import Counter
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -30,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tonewright.llm.graph import components
 from tonewright.llm.storage import settled, small
-from tonewright.llm.text import row_key
+from tonewright.llm.text import n_words, row_key
 
 CHUNK = 1 << 16
 
@@ -133,7 +142,116 @@ def near_duplicates(docs: DataFrame, width: int = 3, blocks: int = 5, pairwise:
     return _grouped(docs, width, blocks, pairwise).select("doc_id", "fp", "component_id")
 
 
+def word_prints(text: str | None, prints: int = 3) -> list[int]:
+    """Fingerprints of the words of a text, each word by the root of its count; a sum of zero gives 0."""
+    import xxhash
+
+    counts = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
+    sums, found = np.zeros(64 * prints), list(counts.items())
+    for at in range(0, len(found), CHUNK // 8):
+        part = found[at : at + CHUNK // 8]
+        hashes = np.array([[xxhash.xxh64_intdigest(w, seed) for seed in range(prints)] for w, _ in part], np.uint64)
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8), axis=1).astype(np.float64)
+        weights = np.rint(256 * np.sqrt([n for _, n in part]))  # whole numbers, so that sums are exact
+        sums += 2 * (weights @ bits) - weights.sum()
+    return np.packbits(sums > 0).view(">i8").tolist()
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """XXH64 of the distinct word shingles, as signed numbers in ascending order; fewer words than width have none."""
+    import xxhash
+
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(0, len(ws) - width + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(ws[i : i + width]), 42) for i in range(n)), np.uint64, n)).view(np.int64)
+
+
+def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have the similarity. texts: key, text."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width) for t in texts], dtype=object)
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    need = settled(each.join(nodes, "no").select("no", "key"), "candidates")
+    sets = settled(texts.join(small(need), "key").select("no", shingles("text").alias("set")), "shingles")
+    both = pairs.join(sets.select(F.col("no").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("no").alias("b"), F.col("set").alias("y")), "b")
+    n, m, common = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    alike = (F.least(n, m) >= similarity * F.greatest(n, m)) & (common / (n + m - common) >= similarity)
+    return settled(both.filter(alike).select("a", "b"), "alike")
+
+
+def _round(keyed: DataFrame, d: int, pairwise: int | None, leaders: int, turn: int) -> tuple[DataFrame, DataFrame, int]:
+    """Candidate pairs of rows (key, no, fp), the crowded keys, and the number of rows in these."""
+    groups = settled(
+        keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("no").alias("a"), F.max("no").alias("b"), F.bit_xor("fp").alias("x")).filter("n > 1"),
+        "word-blocks",
+    )
+    more = settled(groups.filter("n > 2").select("key", "n"), "shared-word-blocks")
+    shared = settled(keyed.join(small(more), "key"), "shared-words")
+    crowded = F.lit(False) if pairwise is None else F.col("n") > pairwise
+    few, crowd = shared.filter(~crowded), shared.filter(crowded)
+    pairs = (
+        few.select("key", F.col("no").alias("a"), F.col("fp").alias("fa"))
+        .join(few.select("key", F.col("no").alias("b"), F.col("fp").alias("fb")), "key")
+        .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= d))
+        .select("a", "b")
+    )
+    pairs = pairs.unionByName(groups.filter((F.col("n") == 2) & (F.bit_count("x") <= d)).select("a", "b"))
+    chosen = [F.min_by(F.struct("no", "fp"), F.xxhash64("no", F.lit(turn), F.lit(k))) for k in range(leaders)]
+    led = settled(crowd.groupBy("key").agg(F.array(*chosen).alias("leaders")), "leaders")
+    stars = (
+        crowd.join(small(led), "key")
+        .select("no", "fp", F.explode("leaders").alias("lead"))
+        .filter((F.col("no") != F.col("lead.no")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= d))
+        .select(F.least("no", "lead.no").alias("a"), F.greatest("no", "lead.no").alias("b"))
+    )
+    return settled(pairs.unionByName(stars).distinct(), "word-pairs"), more.filter(crowded).select("key"), crowd.count()
+
+
+def without_alike(docs: DataFrame, similarity: float = 0.8, width: int = 5, prints: int = 3, d: int = 4, blocks: int = 7, pairwise: int = 32, leaders: int = 4) -> DataFrame:
+    """The documents but those alike to one that stays, with all columns: of a group the least doc_id, of equal ones the least hash, stays."""
+
+    @F.pandas_udf("array<long>")
+    def fps(texts: pd.Series) -> pd.Series:
+        return pd.Series([word_prints(t, prints) for t in texts], dtype=object)
+
+    whole = docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("key"))
+    texts = whole.filter(F.col("row.doc_id").isNotNull()).select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    each = settled(
+        texts.filter(n_words(F.col("text")) >= width).select("key", "doc_id", fps("text").alias("fps")).withColumn("no", F.monotonically_increasing_id()),
+        "word-prints",
+    )
+    masks = [_signed(m) for m in _keys(blocks, d)]
+    alive, keys, found, before = each, None, None, None
+    for turn in count():
+        rows = alive.select("no", F.posexplode("fps").alias("t", "fp"))
+        keyed = rows.select("no", "fp", F.explode(F.array(*[F.xxhash64("t", F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])).alias("key"))
+        if keys is not None:
+            keyed = keyed.join(small(keys), "key", "left_semi")
+        pairs, crowded, size = _round(keyed, d, pairwise, leaders, turn)
+        links = _verified(pairs, each, texts.select("key", "text"), width, similarity)
+        found = links if found is None else settled(found.unionByName(links), "links")
+        roots = components(found)
+        if not size:
+            break
+        if before is not None and size > 0.9 * before:
+            pairwise = None  # unlike documents in one key: all pairs within d bits, which are few
+        keys, before = settled(crowded, "crowded-keys"), size
+        alive = each.join(small(settled(roots.filter("node <> root").select(F.col("node").alias("no")), "represented")), "no", "left_anti")
+    grouped = settled(each.join(roots.withColumnRenamed("node", "no"), "no").select("no", "root", F.struct("doc_id", "key").alias("name")), "alike-groups")
+    best = grouped.groupBy("root").agg(F.min("name").alias("best"))
+    gone = settled(grouped.join(best, "root").filter("name <> best").select("name.key").distinct(), "alike-copies")
+    return whole.join(small(gone), "key", "left_anti").select("row.*")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, with all columns: first of those whose fingerprints link, then of those alike by words."""
+    return without_alike(one_of_linked(docs))
+
+
+def one_of_linked(docs: DataFrame) -> DataFrame:
     """The documents with the least doc_id of their group, with all columns; rows without a doc_id stay.
 
     Rows are told apart by doc_id and text, so unlike texts that share a doc_id are documents of their own.
