@@ -232,8 +232,9 @@ def without_alike(docs: DataFrame, similarity: float = 0.8, width: int = 5, prin
             keyed = keyed.join(small(keys), "key", "left_semi")
         pairs, crowded, size = _round(keyed, d, pairwise, leaders, turn)
         links = _verified(pairs, each, texts.select("key", "text"), width, similarity)
-        found = links if found is None else settled(found.unionByName(links), "links")
-        roots = components(found)
+        if found is None or links.settled_rows:
+            found = links if found is None else settled(found.unionByName(links), "links")
+            roots = components(found)
         if not size:
             break
         if before is not None and size > 0.9 * before:
