@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tonewright.functions import pcm
 from tonewright.functions.headers import wav_header_write
 from tonewright.functions.numeric import part, to_be
-from tonewright.operators import packets, predict
+from tonewright.operators import framing, packets, predict
 from tonewright.plans.catalog import SAMPLES, clips, query, samples, scratch, table
 from tonewright.sources import aac, alac, flac, opus, registry, splits, transform, udtf
 from tonewright.sources import chunks as chunk_files
@@ -137,6 +137,46 @@ def flac_blocks(spark, sf_dir):
     return rows.select("clip", "frame_no", (F.col("start") + F.col("k")).cast("int").alias("i"), F.col("s").cast("double").alias("y"))
 
 
+SIZE_CODE = "CASE n WHEN 192 THEN 1 WHEN 576 THEN 2 WHEN 1152 THEN 3 WHEN 2304 THEN 4 WHEN 4608 THEN 5 WHEN 256 THEN 8 WHEN 512 THEN 9 WHEN 1024 THEN 10 WHEN 2048 THEN 11 WHEN 4096 THEN 12 ELSE CASE WHEN n <= 256 THEN 6 ELSE 7 END END"
+#: Head, size and place of each frame of the long clips at 48 kHz, and the digest of each clip; under 128 frames a clip.
+FRAMES = f"""WITH {SAMPLES}, q AS (SELECT clip // 100 AS clip, ((clip % 100) * 64 + i) // 4096 AS frame_no, (clip % 100) * 64 + i AS i, {QUANT} AS v FROM samples),
+d AS (SELECT clip, frame_no, v, v - lag(v) OVER w AS d1, v - 2 * lag(v) OVER w + lag(v, 2) OVER w AS d2, v - 3 * lag(v) OVER w + 3 * lag(v, 2) OVER w - lag(v, 3) OVER w AS d3,
+  v - 4 * lag(v) OVER w + 6 * lag(v, 2) OVER w - 4 * lag(v, 3) OVER w + lag(v, 4) OVER w AS d4 FROM q WINDOW w AS (PARTITION BY clip, frame_no ORDER BY i)),
+e AS (SELECT clip, frame_no, unnest([0, 1, 2, 3, 4]) AS ord, unnest([v, d1, d2, d3, d4]) AS d FROM d),
+z AS (SELECT clip, frame_no, ord, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z FROM e WHERE d IS NOT NULL),
+t AS (SELECT clip, frame_no, ord, count(*) AS n, sum(z)::BIGINT // count(*) AS mean FROM z GROUP BY ALL),
+k AS (SELECT clip, frame_no, ord, n, CASE WHEN mean = 0 THEN 0 ELSE least(14, length(bin(mean)) - 1) END AS k FROM t),
+c AS (SELECT clip, frame_no, ord, 18 + 16 * ord + any_value(n) * (1 + any_value(k)) + sum(z // (1 << k::BIGINT))::BIGINT AS bits FROM z JOIN k USING (clip, frame_no, ord) GROUP BY clip, frame_no, ord),
+m AS (SELECT clip, frame_no, min(i) AS start, count(*) AS n FROM q GROUP BY ALL),
+b AS (SELECT clip, frame_no, start, n, CASE WHEN 8 + 16 * n <= min(bits) - 4 THEN 8 + 16 * n ELSE min(bits) END AS bits, {SIZE_CODE} AS code FROM m JOIN c USING (clip, frame_no) GROUP BY clip, frame_no, start, n),
+h AS (SELECT clip, frame_no, start, n, bits, 'fff8' || printf('%x', code) || 'a08' || printf('%02x', frame_no) || CASE code WHEN 6 THEN printf('%02x', n - 1) WHEN 7 THEN printf('%04x', n - 1) ELSE '' END AS head FROM b),
+s AS (SELECT clip, frame_no, start, n, head, length(head) // 2 + 3 + (bits + 7) // 8 AS size FROM h),
+f AS (SELECT clip, frame_no, start::BIGINT AS start, n::INT AS block, head, size::INT AS size, (42 + coalesce(sum(size) OVER (PARTITION BY clip ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS place FROM s),
+g AS (SELECT clip, md5(from_hex(string_agg(printf('%02x%02x', (v + 65536) % 65536 % 256, (v + 65536) % 65536 // 256), '' ORDER BY i))) AS md5 FROM q GROUP BY clip)"""
+
+
+def pieces(spark, sf_dir) -> DataFrame:
+    """The long clips as pieces: a row each clip of theirs."""
+    place = F.struct(F.lit(48000).alias("sample_rate"), F.lit(1).alias("channels"))
+    rows = clips(spark, sf_dir)
+    return rows.select(F.floor(F.col("clip") / 100).alias("clip"), place.alias("info"), (F.col("clip") % 100 * 64).alias("first"), "pcm")
+
+
+@query("flac_encode_blocks", f"{FRAMES} SELECT clip, (max(f.place + f.size))::INT AS size, md5 FROM f JOIN g USING (clip) GROUP BY clip, md5")
+def flac_encode_blocks(spark, sf_dir):
+    """Files put together from frames that many tasks packed, none of which holds a clip."""
+    parts = framing.blocks(pieces(spark, sf_dir))
+    made = framing.files(framing.packed(parts), framing.digests(parts))
+    return made.select("clip", F.octet_length("content").alias("size"), F.lower(F.hex(part(F.col("content"), 26, 16))).alias("md5"))
+
+
+@query("flac_frame_at", f"{FRAMES} SELECT clip, frame_no, place AS \"at\", size FROM f")
+def flac_frame_at(spark, sf_dir):
+    """Where each frame will stand in its file, before there is one."""
+    frames = framing.packed(framing.blocks(pieces(spark, sf_dir)))
+    return framing.positions(frames).select("clip", F.col("block").alias("frame_no"), "at", "size")
+
+
 @query("flac_metadata", "SELECT vec_id AS clip, 0 AS block_no, 0 AS kind, 8 AS at, 34 AS size FROM embeddings")
 def flac_metadata(spark, sf_dir):
     udtf.register_all(spark)
@@ -144,10 +184,12 @@ def flac_metadata(spark, sf_dir):
     return spark.sql("SELECT f.clip, b.block_no, b.kind, b.at, b.size FROM _flac_files f, LATERAL flac_blocks(f.content) b")
 
 
-@query("flac_frame_sync", "SELECT vec_id AS clip, 0 AS frame_no, 42 AS at, 0::BIGINT AS start, 64 AS block, 0 AS channel_code, 16 AS bits FROM embeddings")
+@query("flac_frame_sync", f"{FRAMES} SELECT clip, frame_no::INT AS frame_no, place::INT AS \"at\", start, block, 0 AS channel_code, 16 AS bits FROM f")
 def flac_frame_sync(spark, sf_dir):
+    """Frames of clips of more than a block, found in the whole files."""
     udtf.register_all(spark)
-    encoded(spark, sf_dir, "Flac", 16).createOrReplaceTempView("_flac_files")
+    files = registry.encode(with_info(long_clips(spark, sf_dir)), "Flac", 16, keep=("clip",))
+    files.createOrReplaceTempView("_flac_files")
     return spark.sql("SELECT f.clip, x.frame_no, x.at, x.start, x.block, x.channel_code, x.bits FROM _flac_files f, LATERAL flac_frames(f.content) x")
 
 
@@ -327,11 +369,14 @@ def aac_frame_pack(spark, sf_dir):
     return raw.select("clip", F.substring("raw", 1, 4).alias("head"), (F.length("raw") >= 40).alias("whole"))
 
 
-@query("flac_frame_pack", "SELECT vec_id AS clip, 'fff86a08003f' AS head, 0::BIGINT AS crc FROM embeddings")
+@query("flac_frame_pack", f"{FRAMES} SELECT clip, frame_no, place AS \"at\", size, start, block, head FROM f")
 def flac_frame_pack(spark, sf_dir):
-    """Head of each frame, and the CRC-16 of all of it, which closes on 0."""
-    frames = registry.flac_frames(encoded(spark, sf_dir, "Flac", 16), ("clip",))
-    return frames.select("clip", F.lower(F.hex(part(F.col("raw"), 0, 6))).alias("head"), predict.crc(F.col("raw"), 16, 0x8005).alias("crc"))
+    """Frames packed with the predictors that the relational stages chose, as a reader finds them in the files: only where both their CRCs close."""
+    parts = framing.blocks(pieces(spark, sf_dir))
+    frames = framing.packed(parts.join(framing.choices(parts), ["clip", "block"]))
+    found = registry.flac_frames(framing.files(frames, framing.digests(parts)), ("clip",))
+    head = F.lower(F.hex(part(F.col("raw"), 0, F.col("body") - 1)))
+    return found.select("clip", "frame_no", "at", "size", "start", "block", head.alias("head"))
 
 
 # Ogg, Opus, AAC, MPEG, ALAC

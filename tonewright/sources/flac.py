@@ -420,8 +420,8 @@ def choose(values: np.ndarray, bits: int) -> tuple[int, int, np.ndarray, int] |
     return None if 8 + bits * len(values) <= best[3] or len(values) <= 4 else best
 
 
-def _pack_subframe(sink: BitSink, values: np.ndarray, bits: int) -> None:
-    best = choose(values, bits)
+def _pack_subframe(sink: BitSink, values: np.ndarray, bits: int, chosen=choose) -> None:
+    best = chosen(values, bits)
     if best is None:
         sink.uint(2, 8)
         sink.array(values, bits)
@@ -449,9 +449,10 @@ def rate_code(rate: int) -> tuple[int, int, int]:
     return (14, 16, rate // 10) if rate % 10 == 0 and rate <= 655350 else (0, 0, 0)
 
 
-def pack_frame(values: np.ndarray, rate: int, bits: int, number: int) -> bytes:
-    """One frame of integers (block, channels)."""
+def pack_frame(values: np.ndarray, rate: int, bits: int, number: int, chosen: list | None = None) -> bytes:
+    """One frame of integers (block, channels); chosen has for each coded channel what stands in for `choose`."""
     block, channels = values.shape
+    how = chosen or [choose] * channels
     head = BitSink()
     code, tail = size_code(block)
     rcode, rtail, rvalue = rate_code(rate)
@@ -468,11 +469,11 @@ def pack_frame(values: np.ndarray, rate: int, bits: int, number: int) -> bytes:
     body = BitSink()
     if channels == 2:
         left, right = values[:, 0], values[:, 1]
-        _pack_subframe(body, left + right >> 1, bits)
-        _pack_subframe(body, left - right, bits + 1)
+        _pack_subframe(body, left + right >> 1, bits, how[0])
+        _pack_subframe(body, left - right, bits + 1, how[1])
     else:
         for c in range(channels):
-            _pack_subframe(body, values[:, c], bits)
+            _pack_subframe(body, values[:, c], bits, how[c])
     raw += bytes([crc8(raw)]) + body.bytes()
     return raw + crc16(raw).to_bytes(2, "big")
 
