@@ -1,7 +1,9 @@
 """Windowed-sinc resampling.
 
 `resample` works on clips: each is turned by whole arrays in Arrow batches, its weights taken from a
-table of phases that repeats with period dst / gcd(src, dst). No shuffle. `resample_rows` is the
+table of phases that repeats with period dst / gcd(src, dst). No shuffle. `resample_pieces` is for clips that stand in many
+rows: blocks of frames, each with the h frames on either side that its taps reach, meet in one shuffle of little more than the input.
+`resample_rows` is the
 relational form over sample rows: each source sample meets the output frames that it touches, its
 weight is an expression, and sums are grouped by output frame (with map-side combine).
 
@@ -66,19 +68,26 @@ def phase_table(src: int, dst: int, quality: str) -> np.ndarray | None:
 
 
 def mono(x: np.ndarray, src: int, dst: int, quality: str, chunk: int = 8192) -> np.ndarray:
-    """One channel, in chunks of output frames so memory stays bounded."""
-    n = len(x)
-    count = -(-n * dst // src)
+    """One channel."""
+    return span(x, 0, 0, -(-len(x) * dst // src), src, dst, quality, chunk)
+
+
+def span(x: np.ndarray, base: int, low: int, high: int, src: int, dst: int, quality: str, chunk: int = 8192) -> np.ndarray:
+    """Output frames [low, high) from the frames of one channel from base on, in chunks so memory stays bounded.
+
+    Taps before frame 0 or past the end of x are left out, so x must hold all others: h frames on either side, or up to an end of the clip.
+    """
+    n, count = base + len(x), high - low
     scale, h = reach(src, dst, quality)
     table = phase_table(src, dst, quality)
     padded = np.pad(np.asarray(x, np.float64), h)
-    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * h + 1) if n else np.zeros((0, 2 * h + 1))
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * h + 1) if len(x) else np.zeros((0, 2 * h + 1))
     out = np.zeros(count, np.float32)
     for at in range(0, count, chunk):
-        f = np.arange(at, min(count, at + chunk), dtype=np.int64)
+        f = np.arange(low + at, low + min(count, at + chunk), dtype=np.int64)
         place = f * src // dst
         w = table[f % len(table)] if table is not None else taps((f * src % dst) / dst, scale, h)
-        total = np.einsum("ij,ij->i", windows[place], w)
+        total = np.einsum("ij,ij->i", windows[place - base], w)
         if place[0] < h or place[-1] + h >= n:
             near = place[:, None] + np.arange(-h, h + 1)
             w = np.where((near >= 0) & (near < n), w, 0.0)
@@ -116,6 +125,55 @@ def resample(clips: DataFrame, src: int, dst: int, quality: str = "Good", channe
     return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", pcm array<float>")
 
 
+def resample_pieces(pieces: DataFrame, src: int, dst: int, quality: str = "Good", channels: int = 1, keep: tuple[str, ...] = ("clip",), size: int = 65536) -> DataFrame:
+    """keep, first (index of the first frame at the new rate) and pcm of pieces (keep, first, pcm) of clips, to the bit what `resample` gives for whole clips.
+
+    Pieces of a clip follow one another without overlap; all but the last hold whole frames. Blocks of size frames are made by tasks of
+    their own, so no clip is one row; a gap inside a clip is an AudioError. Null and empty pieces give nothing. Equal rates return the pieces.
+    """
+    check(src, dst, channels)
+    rows = pieces.select(*keep, F.col("first").cast("long").alias("first"), F.coalesce(F.col("pcm").cast("array<float>"), F.array().cast("array<float>")).alias("pcm"))
+    if src == dst:
+        return rows
+    h = reach(src, dst, quality)[1]
+    first, frames = F.col("first"), F.ceil(F.size("pcm") / channels)
+    near = F.sequence(F.greatest(F.floor((first - h) / size), F.lit(0)), F.floor((first + frames - 1 + h) / size))
+    each = rows.filter(F.size("pcm") > 0).withColumn("block", F.explode(near))
+    low = F.greatest(F.col("block") * size - h - first, F.lit(0))
+    high = F.least((F.col("block") + 1) * size + h - first, frames)
+    cut = each.select(*keep, "block", (first + low).alias("first"), F.slice("pcm", (low * channels + 1).cast("int"), ((high - low) * channels).cast("int")).alias("pcm"))
+    met = cut.groupBy(*keep, "block").agg(F.sort_array(F.collect_list(F.struct("first", "pcm"))).alias("all"))
+    parts = F.transform("all", lambda p: F.struct(p["first"].alias("first"), F.ceil(F.size(p["pcm"]) / channels).alias("n")))
+    ready = met.select(*keep, "block", parts.alias("parts"), F.flatten("all.pcm").alias("pcm"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tonewright.sources.registry import lists
+
+        for batch in batches:
+            rows, firsts, out = [], [], []
+            for i, (block, parts, pcm) in enumerate(zip(batch.column("block").to_pylist(), batch.column("parts").to_pylist(), batch.column("pcm"), strict=True)):
+                base, end = parts[0]["first"], parts[0]["first"]
+                for p in parts:
+                    if p["first"] != end:
+                        raise AudioError("DecodeError", f"frames {end} to {p['first']} of a clip are missing or double")
+                    end += p["n"]
+                if end <= block * size:
+                    continue  # past the end of the clip
+                if base != max(0, block * size - h):
+                    raise AudioError("DecodeError", f"frames before {base} of a clip are missing")
+                low, high = -(-block * size * dst // src), -(-min(end, (block + 1) * size) * dst // src)
+                x = pcm.values.to_numpy(zero_copy_only=False)
+                planes = np.pad(x, (0, (end - base) * channels - len(x))).reshape(-1, channels)
+                out.append(np.stack([span(planes[:, c], base, low, high, src, dst, quality) for c in range(channels)], axis=1).ravel())
+                firsts.append(low)
+                rows.append(i)
+            own = [batch.column(c).take(pa.array(rows, pa.int32())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(firsts, pa.int64()), lists(out, pa.float32())], [*keep, "first", "pcm"])
+
+    types = dict(ready.dtypes)
+    return ready.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", first long, pcm array<float>")
+
+
 def touched(samples: DataFrame, src: int, dst: int, quality: str) -> DataFrame:
     """clip, ch, out, s, w: each sample with the output frames that it touches and its weight there."""
     scale, h = reach(src, dst, quality)

@@ -131,6 +131,19 @@ def resample_draft(spark, sf_dir):
     return listed(resample.resample(clips(spark, sf_dir), 48000, 44100, "Draft"))
 
 
+LONG_OUT = "SELECT clip, o::INT AS i, (CASE WHEN abs(weight) > 1e-10 THEN total / weight ELSE 0 END)::FLOAT::DOUBLE AS y FROM sums JOIN (SELECT clip, max(f) + 1 AS n FROM planes GROUP BY clip) USING (clip) WHERE o * 44100 < n * 48000"
+LONG_SQL = resample_sql(44100, 48000, "Good", 6400, 1, LONG_OUT).replace("SELECT clip, i % 1 AS ch, i // 1 AS f, s", "SELECT clip // 100 AS clip, 0 AS ch, clip % 100 * 64 + i AS f, s")
+
+
+@query("resample_pieces", LONG_SQL)
+def resample_pieces(spark, sf_dir):
+    """A hundred clips end to end, a row each, in blocks of 1,000 frames that lend one another their edges."""
+    rows = clips(spark, sf_dir).select(F.floor(F.col("clip") / 100).alias("clip"), (F.col("clip") % 100 * 64).alias("first"), "pcm")
+    found = resample.resample_pieces(rows, 44100, 48000, "Good", size=1000)
+    each = found.select("clip", "first", F.posexplode("pcm").alias("k", "s"))
+    return each.select("clip", (F.col("first") + F.col("k")).cast("int").alias("i"), F.col("s").cast("double").alias("y"))
+
+
 @query("resample_mono", resample_sql(44100, 48000, "Good", 64, 1, ROWS_OUT))
 def resample_mono(spark, sf_dir):
     rows = samples(spark, sf_dir).select("clip", F.lit(0).alias("ch"), F.col("i").alias("frame"), "s")
