@@ -52,3 +52,10 @@ def test_odd_rows(spark):
             resample.resample_pieces(bad, 8000, 16000, size=250).collect()
     with pytest.raises(AudioError):
         resample.resample_pieces(rows, 0, 16000)
+
+
+def test_taps_by_row_are_those_of_the_kernel(spark):
+    rows = [(q, s, d) for q in (*resample.HALF_WIDTH, "Other") for s, d in ((44100, 48000), (48000, 44100), (96000, 8000), (8000, 8000))]
+    made = spark.createDataFrame(rows, "q string, s int, d int")
+    for r in made.select("*", resample.taps_of(made.s, made.d, made.q).alias("n")).collect():
+        assert r.n == (resample.reach(r.s, r.d, r.q)[1] if r.q in resample.HALF_WIDTH else None)

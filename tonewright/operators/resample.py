@@ -44,6 +44,12 @@ def reach(src: int, dst: int, quality: str) -> tuple[float, int]:
     return scale, math.ceil(HALF_WIDTH[quality] / scale)
 
 
+def taps_of(src: Column, dst: Column, quality: Column) -> Column:
+    """Number of taps to a side, by row; null for an unknown quality."""
+    half = F.create_map(*[F.lit(x) for pair in HALF_WIDTH.items() for x in pair])
+    return F.ceil(F.try_element_at(half, quality) / F.least(F.lit(1.0), dst / src)).cast("int")
+
+
 def windowed_sinc(x: Column, half: int | float) -> Column:
     turn = math.tau * ((x / F.lit(float(half)) + 1) * 0.5)
     window = WINDOW[0] - WINDOW[1] * F.cos(turn) + WINDOW[2] * F.cos(2 * turn) - WINDOW[3] * F.cos(3 * turn)

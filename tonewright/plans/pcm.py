@@ -158,11 +158,15 @@ def windowed_sinc(spark, sf_dir):
 
 @query(
     "resample_quality",
-    "SELECT q AS quality, src::INT AS src, dst::INT AS dst, ceil(h / least(1.0::DOUBLE, dst::DOUBLE / src))::INT AS taps FROM (VALUES ('Draft', 2), ('Good', 8), ('Best', 32)) q(q, h), (VALUES (44100, 48000), (48000, 44100), (96000, 8000)) r(src, dst)",
+    """WITH o AS (SELECT o_orderkey, (['Draft', 'Good', 'Best'])[(o_orderkey % 3 + 1)::INT] AS quality, (8000 + 100 * (o_orderkey % 1841))::INT AS src, (8000 + 100 * (o_custkey % 1841))::INT AS dst FROM orders)
+    SELECT *, ceil((CASE quality WHEN 'Draft' THEN 2 WHEN 'Good' THEN 8 ELSE 32 END) / least(1.0::DOUBLE, dst::DOUBLE / src))::INT AS taps FROM o""",
 )
 def resample_quality(spark, sf_dir):
-    rows = [(q, s, d, resample.reach(s, d, q)[1]) for q in resample.HALF_WIDTH for s, d in ((44100, 48000), (48000, 44100), (96000, 8000))]
-    return spark.createDataFrame(rows, "quality string, src int, dst int, taps int")
+    """Taps to a side for rates and qualities of orders."""
+    quality = F.get(F.array(*map(F.lit, resample.HALF_WIDTH)), (F.col("o_orderkey") % 3).cast("int"))
+    rate = lambda c: (8000 + 100 * (F.col(c) % 1841)).cast("int")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", quality.alias("quality"), rate("o_orderkey").alias("src"), rate("o_custkey").alias("dst"))
+    return rows.withColumn("taps", resample.taps_of(F.col("src"), F.col("dst"), F.col("quality")))
 
 
 @query("weighted_sum", f"WITH {SAMPLES}, w AS (SELECT clip, s, {sinc_sql('((i - 32) / 4::DOUBLE)', '8::DOUBLE')} AS w FROM samples) SELECT clip, round(sum(s::DOUBLE * w), 6) AS total, round(sum(w), 6) AS weight FROM w GROUP BY clip")
