@@ -8,7 +8,8 @@ Rows are (stream_id, seq, bytes, is_last): stream_id is the file's path below th
 times chunkBytes (1 MiB) on. A chunk goes out when it is full. A file is over when a file of its name with the suffix `ended` (".end") lies beside it,
 or as soon as it is seen with closed=true, for files that are put there whole; its last chunk, which may be empty,
 is the rest. An offset says of each file how many chunks went out and whether it is over, so a batch that is run again reads the same bytes
-and a restart goes on where the checkpoint stands. Files must only grow.
+and a restart goes on where the checkpoint stands. Files must only grow. Small files are read several to a task, up to
+partitionBytes (64 MiB), where each counts for 256 KiB more than its bytes; a long one is read by several tasks.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 SCHEMA = "stream_id string, seq long, bytes binary, is_last boolean"
 
 
+OPEN_BYTES = 1 << 18  # what opening a file counts for when files are dealt to tasks
+ROWS, BATCH = 4096, 4 << 20  # rows of a batch at most, and the bytes that close one
+
+
 @dataclass
 class Chunks(InputPartition):
-    """Chunks [low, high) of a file; the last of them is the file's rest if it is over."""
+    """For each of some files below root (stream_id, low, high, over): chunks [low, high), the last of them the file's rest if it is over."""
 
-    path: str
-    stream_id: str
-    low: int
-    high: int
-    over: bool
+    root: str
+    files: list[tuple[str, int, int, bool]]
 
 
 class ChunkReader(DataSourceStreamReader):
@@ -60,22 +62,41 @@ class ChunkReader(DataSourceStreamReader):
         return out
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Small files several to a task, long ones in several tasks."""
         _, root = pafs.FileSystem.from_uri(self.where)
         step = max(1, self.most // self.size)
-        out = []
+        out, some, held = [], [], 0
         for name, (n, over) in sorted(end.items()):
             done = start.get(name, [0, False])[0]
             cuts = [*range(done, n, step), n]
-            out += [Chunks(f"{root.rstrip('/')}/{name}", name, a, b, over and b == n) for a, b in zip(cuts, cuts[1:])]
-        return out
+            for a, b in zip(cuts, cuts[1:]):
+                cost = (b - a) * self.size + OPEN_BYTES
+                if some and held + cost > self.most:
+                    out.append(Chunks(root.rstrip("/"), some))
+                    some, held = [], 0
+                some.append((name, a, b, over and b == n))
+                held += cost
+        return [*out, Chunks(root.rstrip("/"), some)] if some else out
 
     def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(self.where)
-        with fs.open_input_file(partition.path) as file:
-            for k in range(partition.low, partition.high):
-                data, last = file.read_at(self.size, k * self.size), partition.over and k + 1 == partition.high
-                columns = [pa.array([partition.stream_id]), pa.array([k], pa.int64()), pa.array([data], pa.binary()), pa.array([last])]
-                yield pa.RecordBatch.from_arrays(columns, ["stream_id", "seq", "bytes", "is_last"])
+        rows, held = [], 0
+        for name, low, high, over in partition.files:
+            with fs.open_input_file(f"{partition.root}/{name}") as file:
+                for k in range(low, high):
+                    data = file.read_at(self.size, k * self.size)
+                    rows.append((name, k, data, over and k + 1 == high))
+                    held += len(data)
+                    if held >= BATCH or len(rows) >= ROWS:
+                        yield self._batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple[str, int, bytes, bool]]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["stream_id", "seq", "bytes", "is_last"])
 
 
 class ChunkSource(DataSource):
