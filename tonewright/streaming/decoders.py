@@ -7,8 +7,10 @@ follows it. `is_last` marks the flush: the last partial chunk, then end.
     events = decode_stream(chunks, "Wav", idle=60).writeStream...
     decode_chunks(chunks, "Flac")          # the same machine over a batch, for tests and backfill
 
-A stream's state is one typed row (bytes short of a chunk or a frame, the layout as text, counters) and a map of the chunks
-that came early, of which only those in turn are read. Both are cleared with the end event. A stream that
+A stream's state is one typed row (bytes short of a chunk or a frame, the layout as text, counters) and the chunks
+that came early, of which only those in turn are read. Both are cleared with the end event. Streams are dealt to a fixed number of
+buckets, the keys of the state, so that calls and frames of Python are by bucket, not by stream: a stream that begins and ends in one batch costs no access to state
+beside one count a bucket. A stream that
 fails keeps its counters alone until its last chunk, so that what still comes is dropped. With `idle`, a timer ends streams for which no chunk
 came in so many seconds: what is there is flushed, and the end event carries an error. A chunk that comes again after its
 stream's end begins a stream of that id anew. Events are made as they are taken, so a feed costs its own bytes and one
@@ -24,6 +26,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tonewright.sources import aiff, flac, wav
@@ -32,6 +35,8 @@ from tonewright.sources.info import ERROR_TYPE, INFO_TYPE, info
 
 CHUNK_FRAMES = 4096
 PIECE = 1 << 20  # bytes searched, and samples decoded, at once
+BUCKETS = 1024  # state keys; a checkpoint holds for one number only
+PORTION = 64 << 20  # bytes of chunks, with 256 for each, that a call takes in hand at once
 OUT = f"stream_id string, event_no long, kind string, info {INFO_TYPE}, pcm array<float>, error {ERROR_TYPE}"
 STATE = "next long, events long, early long, timer long, failed boolean, layout string, left long, pending binary, ready binary, look long, crc long, crc_at long, now_at long"
 EARLY = "bytes binary, is_last boolean"
@@ -232,28 +237,32 @@ class Stream:
 
 
 class EarlyChunks:
-    """The dict of a stream's early chunks over a map state."""
+    """The dict of a stream's early chunks over a map state of the bucket."""
 
-    def __init__(self, state):
-        self.state = state
+    def __init__(self, state, name: str):
+        self.state, self.name = state, name
 
     def __contains__(self, seq: int) -> bool:
-        return self.state.containsKey((seq,))
+        return self.state.containsKey((self.name, seq))
 
     def __setitem__(self, seq: int, chunk: tuple[bytes, bool]) -> None:
-        self.state.updateValue((seq,), chunk)
+        self.state.updateValue((self.name, seq), chunk)
 
     def pop(self, seq: int) -> tuple[bytes, bool]:
-        data, last = self.state.getValue((seq,))
-        self.state.removeKey((seq,))
+        data, last = self.state.getValue((self.name, seq))
+        self.state.removeKey((self.name, seq))
         return bytes(data), last
 
+    def clear(self) -> None:
+        for name, seq in [k for k in self.state.keys() if k[0] == self.name]:
+            self.state.removeKey((name, seq))
 
-def _frame(key: str, events: list[tuple]) -> pd.DataFrame:
+
+def _frame(keys: list[str], events: list[tuple]) -> pd.DataFrame:
     names = ("format", "sample_rate", "channels", "bit_depth", "duration_secs", "total_samples")
     return pd.DataFrame(
         {
-            "stream_id": [key] * len(events),
+            "stream_id": keys,
             "event_no": [e[0] for e in events],
             "kind": [e[1] for e in events],
             "info": [dict(zip(names, e[2].row(), strict=True)) if e[2] else None for e in events],
@@ -263,75 +272,132 @@ def _frame(key: str, events: list[tuple]) -> pd.DataFrame:
     )
 
 
-def _frames(key: str, events: Iterable[tuple], most: int = PIECE) -> Iterator[pd.DataFrame]:
-    """Events in frames of a bounded number of samples."""
-    some, held = [], 0
-    for e in events:
+def _frames(events: Iterable[tuple[str, tuple]], most: int = PIECE) -> Iterator[pd.DataFrame]:
+    """Events (stream_id, event) in frames of a bounded number of samples."""
+    keys, some, held = [], [], 0
+    for key, e in events:
+        keys.append(key)
         some.append(e)
         held += len(e[3]) if e[3] is not None else 1
         if held >= most:
-            yield _frame(key, some)
-            some, held = [], 0
+            yield _frame(keys, some)
+            keys, some, held = [], [], 0
     if some:
-        yield _frame(key, some)
+        yield _frame(keys, some)
 
 
 def _rows(pdf: pd.DataFrame) -> list[tuple[int, bytes, bool]]:
     return [(int(s), bytes(b) if b is not None else b"", bool(e)) for s, b, e in zip(pdf.seq, pdf.bytes, pdf.is_last, strict=True)]
 
 
+def _portions(frames: Iterable[pd.DataFrame], most: int = PORTION) -> Iterator[dict[str, list[tuple[int, bytes, bool]]]]:
+    """The chunks of each stream, of so many frames at once that they fit a portion."""
+    some, held = {}, 0
+    for pdf in frames:
+        for key, row in zip(pdf.stream_id, _rows(pdf), strict=True):
+            some.setdefault(key, []).append(row)
+            held += len(row[1]) + 256
+        if held >= most:
+            yield some
+            some, held = {}, 0
+    if some:
+        yield some
+
+
 class Decoder(StatefulProcessor):
+    """By bucket of streams: how many of them are open, the row of each open one, early chunks, and the streams to look at when a timer expires."""
+
     def __init__(self, kind: str, chunk: int, idle: float | None = None):
         self.kind, self.chunk, self.idle = kind, chunk, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("stream", STATE)
-        self.early = handle.getMapState("early", "seq long", EARLY)
+        self.open = handle.getValueState("open", "n long")
+        self.state = handle.getMapState("stream", "stream_id string", STATE)
+        self.early = handle.getMapState("early", "stream_id string, seq long", EARLY)
+        self.due = handle.getMapState("due", "at long", "streams array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stream, timer = self._loaded()
-        for pdf in rows:
-            yield from _frames(key[0], stream.take(_rows(pdf)))
-        if self.idle is not None:
-            if timer >= 0:
-                self.handle.deleteTimer(timer)
-            timer = timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.idle)
-        if stream.machine.done and stream.over:
-            self._clear()
-            return
-        if self.idle is not None:
+        self.n_open = before = self._count()
+        timer = -1 if self.idle is None else timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.idle)
+        waiting = set()
+        for portion in _portions(rows):
+            yield from _frames(self._taken(portion, timer, waiting))
+        if waiting and self.idle is not None:
             self.handle.registerTimer(timer)
-        self._save(stream, timer)
+            known = self.due.getValue((timer,))[0] if self.due.containsKey((timer,)) else []
+            self.due.updateValue((timer,), (sorted({*known, *waiting}),))
+        self._counted(before)
+
+    def _taken(self, portion: dict[str, list[tuple[int, bytes, bool]]], timer: int, waiting: set[str]) -> Iterator[tuple[str, tuple]]:
+        for name, rows in portion.items():
+            stream, known = self._loaded(name)
+            for event in stream.take(rows):
+                yield name, event
+            if stream.machine.done and stream.over:
+                self._clear(name, stream, known)
+                waiting.discard(name)
+            else:
+                self._save(name, stream, known, timer)
+                waiting.add(name)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.due.containsKey((at,)):
             return
-        stream, _ = self._loaded()
-        detail = f"no chunk came for {self.idle:g} seconds" + (f"; chunk {stream.next} is missing" if stream.n_early else "")
-        events = ((*e[:4], e[4] or {"code": "EndOfStream", "detail": detail}) if e[1] == "end" else e for e in stream.flush())
-        yield from _frames(key[0], events)
-        self._clear()
-
-    def _loaded(self) -> tuple[Stream, int]:
-        if not self.state.exists():
-            return Stream(Machine(self.kind, self.chunk), early=EarlyChunks(self.early)), -1
-        row = dict(zip([x.split(" ")[0] for x in STATE.split(", ")], self.state.get(), strict=True))
+        names = self.due.getValue((at,))[0]
+        self.due.removeKey((at,))
+        self.n_open = before = self._count()
+        yield from _frames(self._flushed(names, at))
+        self._counted(before)
+
+    def _flushed(self, names: list[str], at: int) -> Iterator[tuple[str, tuple]]:
+        for name in names:
+            if not self.state.containsKey((name,)) or self._row(name)["timer"] != at:
+                continue  # ended, or chunks came since
+            stream, _ = self._loaded(name)
+            detail = f"no chunk came for {self.idle:g} seconds" + (f"; chunk {stream.next} is missing" if stream.n_early else "")
+            for e in stream.flush():
+                yield name, ((*e[:4], e[4] or {"code": "EndOfStream", "detail": detail}) if e[1] == "end" else e)
+            self._clear(name, stream, True)
+
+    def _count(self) -> int:
+        return self.open.get()[0] if self.open.exists() else 0
+
+    def _counted(self, before: int) -> None:
+        if self.n_open != before and self.n_open:
+            self.open.update((self.n_open,))
+        elif before and not self.n_open:
+            self.open.clear()
+
+    def _row(self, name: str) -> dict:
+        return dict(zip([x.split(" ")[0] for x in STATE.split(", ")], self.state.getValue((name,)), strict=True))
+
+    def _loaded(self, name: str) -> tuple[Stream, bool]:
+        """The stream and whether state holds it."""
+        early = EarlyChunks(self.early, name)
+        if not self.n_open or not self.state.containsKey((name,)):
+            return Stream(Machine(self.kind, self.chunk), early=early), False
+        row = self._row(name)
         machine = Machine(self.kind, self.chunk, done=True) if row["failed"] else Machine.loaded(self.kind, self.chunk, row)
-        return Stream(machine, row["next"], row["events"], row["early"], EarlyChunks(self.early)), row["timer"]
+        return Stream(machine, row["next"], row["events"], row["early"], early), True
 
-    def _save(self, stream: Stream, timer: int) -> None:
+    def _save(self, name: str, stream: Stream, known: bool, timer: int) -> None:
         failed = stream.machine.done
         if failed and stream.n_early:
-            self.early.clear()
+            stream.early.clear()
             stream.n_early = 0
         row = {"next": stream.next, "events": stream.events, "early": stream.n_early, "timer": timer, "failed": failed}
         row |= (Machine(self.kind) if failed else stream.machine).saved()
-        self.state.update(tuple(row[x.split(" ")[0]] for x in STATE.split(", ")))
+        self.state.updateValue((name,), tuple(row[x.split(" ")[0]] for x in STATE.split(", ")))
+        self.n_open += not known
 
-    def _clear(self) -> None:
-        self.state.clear()
-        self.early.clear()
+    def _clear(self, name: str, stream: Stream, known: bool) -> None:
+        if stream.n_early:
+            stream.early.clear()
+        if known:
+            self.state.removeKey((name,))
+            self.n_open -= 1
 
     def close(self) -> None:
         pass
@@ -344,14 +410,16 @@ def decode_stream(chunks: DataFrame, kind: str, chunk_frames: int = CHUNK_FRAMES
     triggers by processing time, not for availableNow, which would not end.
     """
     mode = "None" if idle is None else "ProcessingTime"
-    return chunks.groupBy("stream_id").transformWithStateInPandas(Decoder(kind, chunk_frames, idle), OUT, "Append", mode)
+    dealt = chunks.withColumn("bucket", F.pmod(F.xxhash64("stream_id"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(Decoder(kind, chunk_frames, idle), OUT, "Append", mode)
 
 
 def decode_chunks(chunks: DataFrame, kind: str, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
     """The same over a batch, for tests and backfill: a stream's chunks meet in one task, and in its memory."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key[0], list(Stream(Machine(kind, chunk_frames)).take(_rows(pdf))))
+        events = list(Stream(Machine(kind, chunk_frames)).take(_rows(pdf)))
+        return _frame([key[0]] * len(events), events)
 
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an explicit number: few bytes are much work here
     return chunks.repartition(tasks, "stream_id").groupBy("stream_id").applyInPandas(one, OUT)
