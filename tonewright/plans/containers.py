@@ -652,9 +652,14 @@ def events_to_rows(events: DataFrame) -> DataFrame:
 
 def streamed(chunks: DataFrame, kind: str, size: int = 0) -> DataFrame:
     """The events that a running query made of the chunks; size in frames, 0 for the usual one."""
+    return run_through(put(chunks), kind, size)
+
+
+def put(chunks: DataFrame) -> DataFrame:
+    """The chunks, written out, as a stream."""
     where = scratch(chunks.sparkSession, "chunks")
     chunks.write.parquet(f"{where}/in")
-    return run_through(chunks.sparkSession.readStream.schema(chunks.schema).parquet(f"{where}/in"), kind, size)
+    return chunks.sparkSession.readStream.schema(chunks.schema).parquet(f"{where}/in")
 
 
 def run_through(stream: DataFrame, kind: str, size: int = 0) -> DataFrame:
@@ -714,10 +719,10 @@ def stream_header_event(spark, sf_dir):
 @query("stream_new", f"WITH {GROWN} SELECT clip, size::INT AS size, (2 + ceil(n / CASE WHEN size = 0 THEN 4096 ELSE size END::DOUBLE))::BIGINT AS events FROM grown, (VALUES (0), (7), (64), (1000)) s(size)")
 def stream_new(spark, sf_dir):
     """Chunk sizes in frames; 0 stands for 4096."""
-    chunks = chunked(grown(spark, sf_dir, "Aiff", 16), 200)
+    stream = put(chunked(grown(spark, sf_dir, "Aiff", 16), 200))
     found = None
     for size in (0, 7, 64, 1000):
-        events = streamed(chunks, "Aiff", size).groupBy(F.col("stream_id").cast("long").alias("clip")).agg(F.count("*").alias("events"))
+        events = run_through(stream, "Aiff", size).groupBy(F.col("stream_id").cast("long").alias("clip")).agg(F.count("*").alias("events"))
         events = events.select("clip", F.lit(size).alias("size"), "events")
         found = events if found is None else found.unionByName(events)
     return found
