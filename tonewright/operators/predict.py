@@ -101,20 +101,30 @@ def decorrelate(a: Column, b: Column, code: Column) -> tuple[Column, Column]:
 
 
 def crc(content: Column, width: int, poly: int) -> Column:
-    """CRC of BINARY, most significant bit first from zero, as a fold with a lookup array."""
+    """CRC of BINARY, most significant bit first from zero, as a fold over words of four bytes with lookup arrays; width up to 32.
+
+    A CRC from zero doesn't see zeros in front, so those fill the first word. Words are cut from BINARY, where a place is found at once.
+    """
     from tonewright.sources.bits import crc_table
 
-    mask = (1 << width) - 1
-    hexed = F.hex(content)
-    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(content)), lambda i: F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    table = F.array(*[F.lit(x).cast("long") for x in crc_table(width, poly)])
+    mask, table = (1 << width) - 1, crc_table(width, poly)
+    tables = [table]  # of a byte and so many zeros behind it
+    for _ in range(3):
+        tables.append([(x << 8 & mask) ^ table[x >> (width - 8)] for x in tables[-1]])
+    n = F.octet_length(content)
+    filled = F.concat(F.substring(F.lit(bytearray(3)), F.lit(1), F.pmod(-n, F.lit(4))), content)
+
+    def step(acc: Column, word: Column) -> Column:
+        x = F.shiftleft(acc, 32 - width).bitwiseXOR(word)
+        found = [F.get(F.array(*[F.lit(v).cast("long") for v in t]), F.shiftright(x, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")) for k, t in enumerate(tables)]
+        return found[0].bitwiseXOR(found[1]).bitwiseXOR(found[2]).bitwiseXOR(found[3])
 
-    def step(acc: Column, b: Column) -> Column:
-        at = F.shiftright(acc, width - 8).bitwiseXOR(b).cast("int")
-        moved = F.shiftleft(acc, 8).bitwiseAND(F.lit(mask).cast("long")) if width > 8 else F.lit(0).cast("long")
-        return moved.bitwiseXOR(F.get(table, at))
+    def fold(raw: Column) -> Column:
+        words = F.transform(F.sequence(F.lit(1), F.octet_length(raw), F.lit(4)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(4))), 16, 10).cast("long"))
+        return F.aggregate(words, F.lit(0).cast("long"), step)
 
-    return F.when(F.octet_length(content) > 0, F.aggregate(bytes_, F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
+    # The bytes are bound to a variable: an expression inside a fold is evaluated anew at each step.
+    return F.when(n > 0, F.get(F.transform(F.array(filled), fold), F.lit(0))).otherwise(F.lit(0).cast("long"))
 
 
 def md5_of(values: Column, bits: int) -> Column:

@@ -459,13 +459,9 @@ def ogg_extract_packets(spark, sf_dir):
 @query("ogg_build_page", f"{PAGE} SELECT stream, count(*) AS pages, true AS closes FROM p GROUP BY stream")
 def ogg_build_page(spark, sf_dir):
     """The CRC of each page built, over its bytes with the field as zeros, by the fold."""
-    udtf.register_all(spark)
-    ogg_files(spark, sf_dir).createOrReplaceTempView("_ogg_files")
-    rows = spark.sql("SELECT f.stream, f.content, p.at, p.lacing, p.body FROM _ogg_files f, LATERAL ogg_pages(f.content) p")
-    size = 27 + F.size("lacing") + F.octet_length("body")
-    page = part(F.col("content"), F.col("at"), size)
-    blank = F.concat(part(page, 0, 22), F.lit(bytearray(4)), F.substring(page, 27, 1 << 30))
-    told = F.lower(F.hex(part(page, 22, 4)))
+    rows = _pages(spark, sf_dir)
+    blank = F.concat(part(F.col("head"), 0, 22), F.lit(bytearray(4)), F.substring("head", 27, 1 << 30), F.col("body"))
+    told = F.lower(F.hex(part(F.col("head"), 22, 4)))
     own = predict.crc(blank, 32, 0x04C11DB7)
     back = F.concat(*[F.lower(F.lpad(F.hex(F.shiftright(own, s).bitwiseAND(F.lit(255).cast("long"))), 2, "0")) for s in (0, 8, 16, 24)])
     return rows.groupBy("stream").agg(F.count("*").alias("pages"), F.min(told == back).alias("closes"))

@@ -18,7 +18,7 @@ from tonewright.sources import aac, flac, mpeg, ogg, tags
 from tonewright.sources.errors import AudioError
 
 
-@udtf(returnType="page_no int, at int, flags int, granule bigint, serial bigint, number bigint, lacing array<int>, body binary")
+@udtf(returnType="page_no int, at int, flags int, granule bigint, serial bigint, number bigint, lacing array<int>, body binary, head binary")
 class OggPages:
     def eval(self, content: bytes) -> Iterator[tuple]:
         at = k = 0
@@ -27,7 +27,7 @@ class OggPages:
                 p, at = ogg.parse_page(content, at)
             except AudioError:
                 return
-            yield k, p.at, p.flags, p.granule, p.serial, p.number, list(p.lacing), p.body
+            yield k, p.at, p.flags, p.granule, p.serial, p.number, list(p.lacing), p.body, content[p.at : p.at + 27 + len(p.lacing)]
             k += 1
 
 
