@@ -186,3 +186,19 @@ def test_crowded_keys_leave_one_of_each(docs, unlike):
     rows += [(1000 + i, " ".join(rng.sample(base, 300))) for i in range(unlike)]
     got = {r.doc_id for r in simhash.without_alike(docs(rows, extra=False), pairwise=8).collect()}
     assert got == {0, *range(1000, 1000 + unlike)}
+
+
+def test_unlike_documents_of_one_key_meet_by_rare_shingles_only(spark):
+    """120 texts of one vocabulary and a common passage, all within d bits, joined no pairs but those that can be alike."""
+    rng = random.Random(6)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for i in range(120):
+        own = [f"w{i}x{k}" for k in range(60)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(passage + edited(rng, own, 1))))
+    each = spark.createDataFrame([(i, i, [0, 0, 0]) for i, _ in rows], "no long, key long, fps array<long>")
+    texts = spark.createDataFrame(rows, "key long, text string")
+    got = {(r.a, r.b) for r in simhash._by_rare_shingles(each.select("no"), each, texts, 5, 0.8, 4).collect()}
+    alike = {(i, j) for i, a in rows for j, b in rows if i < j and slow_alike(a, b)}
+    assert len(alike) == 12 and alike <= got and len(got) <= 2 * len(alike)

@@ -32,8 +32,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        now = settled(small, "edges")
-        mark = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        now = settled(small, "edges", F.expr("bit_xor(xxhash64(a, b))"))
+        mark = now.settled_sums
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -20,7 +20,7 @@ a five-word similarity of 0.8, too far for blocks. Fingerprints of single words,
 apart there. Several such fingerprints, of unlike hashes, are cut into blocks; a pair that is within d bits in any of them is
 verified by the Jaccard similarity of its sets of five-word shingles. Keys of up to pairwise documents are joined pair by
 pair. In a crowded key all are compared to a few leaders, those found alike are represented by one and leave, and the rest goes
-into the next round; a round that hardly helps ends with all pairs within d bits. So of two documents that stay none are alike,
+into the next round; after a round that hardly helps, only pairs within d bits that share one of their rarest shingles meet, which loses none. So of two documents that stay none are alike,
 if any fingerprint shows it. Texts of fewer words than a shingle and rows without a doc_id take no part.
 
 A key or a fingerprint with very many rows is never collected: counts and minima are partial
@@ -166,23 +166,48 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(ws[i : i + width]), 42) for i in range(n)), np.uint64, n)).view(np.int64)
 
 
-def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have the similarity. texts: key, text."""
+def _sets(each: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, *carry: str) -> DataFrame:
+    """no, carry and set, the shingles, of the nodes (no). texts: key, text."""
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width) for t in texts], dtype=object)
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
-    need = settled(each.join(nodes, "no").select("no", "key"), "candidates")
-    sets = settled(texts.join(small(need), "key").select("no", shingles("text").alias("set")), "shingles")
+    need = settled(each.join(nodes, "no").select("no", *carry, "key"), "candidates")
+    return settled(texts.join(small(need), "key").select("no", *carry, shingles("text").alias("set")), "shingles")
+
+
+def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have the similarity."""
+    sets = _sets(each, pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct(), texts, width)
     both = pairs.join(sets.select(F.col("no").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("no").alias("b"), F.col("set").alias("y")), "b")
     n, m, common = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
     alike = (F.least(n, m) >= similarity * F.greatest(n, m)) & (common / (n + m - common) >= similarity)
     return settled(both.filter(alike).select("a", "b"), "alike")
 
 
-def _round(keyed: DataFrame, d: int, pairwise: int | None, leaders: int, turn: int) -> tuple[DataFrame, DataFrame, int]:
+def _by_rare_shingles(nodes: DataFrame, each: DataFrame, texts: DataFrame, width: int, similarity: float, d: int) -> DataFrame:
+    """Candidate pairs among the nodes: all that can have the similarity and are within d bits in a fingerprint.
+
+    Two sets of the similarity s share one of their n - ceil(s n) + 1 rarest elements, in any order that is the same for both. So
+    only pairs that share one of these shingles meet, however many share a key of words or a common passage.
+    """
+    sets = _sets(each, nodes, texts, width, "fps")
+    words = sets.select("no", F.explode("set").alias("s"))
+    shared = settled(words.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1"), "shared-shingles")
+    ranked = words.join(small(shared), "s").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("ranked"))
+    size = F.size("set")
+    # Shingles of one set alone are its rarest and lead nowhere: they only take their places.
+    places = size - F.ceil(size * similarity - 1e-9).cast("int") + 1 - (size - F.size("ranked"))
+    rare = sets.join(ranked, "no").select("no", "fps", size.alias("size"), F.explode(F.slice("ranked", 1, F.greatest(places, F.lit(0)))).alias("r"))
+    rare = settled(rare.select("no", "fps", "size", F.col("r.s").alias("s")), "rare-shingles")
+    left, right = (rare.select("s", F.col("no").alias(x), F.col("fps").alias(f"f{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    near = F.exists(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), lambda n: n <= d)
+    sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+    return settled(left.join(right, "s").filter((F.col("a") < F.col("b")) & sized & near).select("a", "b").distinct(), "rare-pairs")
+
+
+def _round(keyed: DataFrame, d: int, pairwise: int, leaders: int, turn: int) -> tuple[DataFrame, DataFrame, int]:
     """Candidate pairs of rows (key, no, fp), the crowded keys, and the number of rows in these."""
     groups = settled(
         keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("no").alias("a"), F.max("no").alias("b"), F.bit_xor("fp").alias("x")).filter("n > 1"),
@@ -190,7 +215,7 @@ def _round(keyed: DataFrame, d: int, pairwise: int | None, leaders: int, turn: i
     )
     more = settled(groups.filter("n > 2").select("key", "n"), "shared-word-blocks")
     shared = settled(keyed.join(small(more), "key"), "shared-words")
-    crowded = F.lit(False) if pairwise is None else F.col("n") > pairwise
+    crowded = F.col("n") > pairwise
     few, crowd = shared.filter(~crowded), shared.filter(crowded)
     pairs = (
         few.select("key", F.col("no").alias("a"), F.col("fp").alias("fa"))
@@ -224,21 +249,23 @@ def without_alike(docs: DataFrame, similarity: float = 0.8, width: int = 5, prin
         "word-prints",
     )
     masks = [_signed(m) for m in _keys(blocks, d)]
-    alive, keys, found, before = each, None, None, None
+    alive, keys, found, before, last = each, None, None, None, False
     for turn in count():
         rows = alive.select("no", F.posexplode("fps").alias("t", "fp"))
         keyed = rows.select("no", "fp", F.explode(F.array(*[F.xxhash64("t", F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])).alias("key"))
         if keys is not None:
             keyed = keyed.join(small(keys), "key", "left_semi")
-        pairs, crowded, size = _round(keyed, d, pairwise, leaders, turn)
+        if last:  # leaders no longer help: unlike documents in one key
+            pairs, size = _by_rare_shingles(keyed.select("no").distinct(), each, texts.select("key", "text"), width, similarity, d), 0
+        else:
+            pairs, crowded, size = _round(keyed, d, pairwise, leaders, turn)
         links = _verified(pairs, each, texts.select("key", "text"), width, similarity)
         if found is None or links.settled_rows:
             found = links if found is None else settled(found.unionByName(links), "links")
             roots = components(found)
         if not size:
             break
-        if before is not None and size > 0.9 * before:
-            pairwise = None  # unlike documents in one key: all pairs within d bits, which are few
+        last = before is not None and size > 0.9 * before
         keys, before = settled(crowded, "crowded-keys"), size
         alive = each.join(small(settled(roots.filter("node <> root").select(F.col("node").alias("no")), "represented")), "no", "left_anti")
     grouped = settled(each.join(roots.withColumnRenamed("node", "no"), "no").select("no", "root", F.struct("doc_id", "key").alias("name")), "alike-groups")

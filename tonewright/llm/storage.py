@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -37,12 +37,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{_folder.get() or _of_application(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: later steps survive lost executors and don't repeat it."""
+def settled(df: DataFrame, name: str, *told: Column) -> DataFrame:
+    """df written to the shared folder and read again: later steps survive lost executors and don't repeat it. told: further sums, taken as it is written."""
     spark, path, seen = df.sparkSession, fresh(df.sparkSession, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(f"told{k}") for k, c in enumerate(told)]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_rows = seen.get["n"]
+    out.settled_sums = tuple(seen.get.values())
     return out
 
 
